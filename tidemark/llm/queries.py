@@ -3,17 +3,61 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm import bpe, toxicity, url_rules
 from tidemark.llm.jaccard_join import jaccard_join
+from tidemark.llm.language_id import identify
+from tidemark.llm.line_dedup import line_dedup
+from tidemark.llm.vector_search import nearest
 from tidemark.session import table
 
 
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where a public vocabulary file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def toxicity_grades(labels: DataFrame) -> DataFrame:
+    """Ordered severity: 0 not toxic, 1 toxic, 2 toxic and of low quality."""
+    grade = F.when(F.col("toxic") == 0, 0).when(F.col("quality") == 0, 2).when(F.col("toxic") == 1, 1)
+    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.alias("grade"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, toxicity_grades(table(spark, sf_dir, "labels"))))
+
+
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_digests(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", F.col("removed").alias("chunks_removed"), F.length("text").alias("n_chars_left"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "text")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {"op3_ngram_jaccard_join": op3_ngram_jaccard_join}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_rules, op3_ngram_jaccard_join, op6_bpe, op7_line_dedup, op9_language_id, op10_vector_search)}
 
 
 def oracle_sql() -> dict[str, str]:
