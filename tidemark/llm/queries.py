@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, toxicity, url_rules
+from tidemark.llm import bpe, decontaminate, license_scan, secret_scan, toxicity, url_rules
 from tidemark.llm.jaccard_join import jaccard_join
 from tidemark.llm.language_id import identify
 from tidemark.llm.line_dedup import line_dedup
@@ -39,6 +39,15 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("same")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -48,6 +57,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", F.col("removed").alias("chunks_removed"), F.length("text").alias("n_chars_left"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "text")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("value_sha256", F.sha2(F.col("value").cast("binary"), 256)).drop("value")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -57,7 +71,7 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_url_rules, op3_ngram_jaccard_join, op6_bpe, op7_line_dedup, op9_language_id, op10_vector_search)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_rules, op3_ngram_jaccard_join, op4_license_scan, op5_decontamination, op6_bpe, op7_line_dedup, op8_secret_scan, op9_language_id, op10_vector_search)}
 
 
 def oracle_sql() -> dict[str, str]:
