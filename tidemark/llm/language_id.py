@@ -149,14 +149,13 @@ def fit(labelled: DataFrame, max_fit_docs: int = MAX_FIT_DOCS) -> Model:
 
 
 def _predict(model):
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            for part in slices(batch, "text"):
-                langs, top = predict_batch(m, part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(langs, pa.string()), pa.array(top)], schema=schema)
+            for part in slices(batch, "_text"):
+                langs, top = predict_batch(m, part.column("_text"))
+                rest = [n for n in part.schema.names if n != "_text"]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in rest), pa.array(langs, pa.string()), pa.array(top)], names=[*rest, "_pred", "_score"])
 
     return run
 
@@ -176,9 +175,11 @@ def predict_batch(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray
     return [model.languages[k] if ok else UNKNOWN for k, ok in zip(best, lettered, strict=True)], top
 
 
-def identify(docs: DataFrame, max_fit_docs: int = MAX_FIT_DOCS) -> DataFrame:
+def identify(docs: DataFrame, max_fit_docs: int = MAX_FIT_DOCS, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of ``docs(doc_id, text, lang)``.
 
+    ``keep`` names columns of ``docs`` to return in front of the prediction instead of doc_id.
+
     Learns from the texts and non-null languages of the rows whose
     ``crc32(doc_id) mod 5`` is not 0; ``held_out`` says that it is 0 (false for a
     null doc_id, from which nothing is learned). ``und`` with score 0 goes to a null
@@ -190,5 +191,13 @@ def identify(docs: DataFrame, max_fit_docs: int = MAX_FIT_DOCS) -> DataFrame:
     rest = F.pmod(F.crc32(doc_id.cast("string")), F.lit(5))
     base = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), rest.alias("rest"))
     model = fit(base.where("rest <> 0").select(F.col("doc_id").alias("key"), "text", "lang"), max_fit_docs)
-    rows = base.select("doc_id", "text", F.coalesce(F.col("rest") == 0, F.lit(False)).alias("held_out"))
-    return rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, held_out boolean, lang_pred string, score double")
+    names = ["doc_id"] if keep is None else list(keep)
+    held = F.coalesce(rest == 0, F.lit(False))
+    rows = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)], held.alias("_held"), F.col("text").cast("string").alias("_text"))
+    if keep is None:
+        rows = rows.withColumn("_c0", F.col("_c0").cast("long"))
+    kept = rows.drop("_text")
+    schema = kept.withColumns({"_pred": F.lit(None).cast("string"), "_score": F.lit(None).cast("double")}).schema
+    out = rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), schema)
+    columns = [F.col(f"_c{i}").alias(c) for i, c in enumerate(names)]
+    return out.select(*columns, F.col("_held").alias("held_out"), F.col("_pred").alias("lang_pred"), F.col("_score").alias("score"))

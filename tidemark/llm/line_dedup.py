@@ -98,8 +98,6 @@ def _chunks(window: int, one_in: int, long_line: int, with_text: bool):
 
 
 def _cut(window: int, one_in: int, long_line: int, min_words: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("same", pa.int64()), ("text", pa.string()), ("removed", pa.int32())])
-
     def clean(text: str, marked: list[int]) -> tuple[str, int]:
         raw = text.encode()
         data = np.frombuffer(raw, np.uint8)
@@ -126,14 +124,17 @@ def _cut(window: int, one_in: int, long_line: int, min_words: int):
                     text, k = clean(text, marked) if marked and text else (text, 0)
                     texts.append(text)
                     counts.append(k)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("same"), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], schema=schema)
+                rest = [n for n in part.schema.names if n not in ("text", "marked")]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in rest), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], names=[*rest, "text", "removed"])
 
     return run
 
 
-def line_dedup(docs: DataFrame, window: int = WINDOW, one_in: int = ONE_IN, long_line: int = LONG_LINE, min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, window: int = WINDOW, one_in: int = ONE_IN, long_line: int = LONG_LINE, min_words: int = MIN_WORDS, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, text, removed) of every row of ``docs(doc_id, text)``: its text without repeated runs.
 
+    ``keep`` names further columns of ``docs`` to return as they are.
+
     Of equal chunks the first by (doc_id, text hash, place) stays; nulls sort last.
     A run of neighbouring later occurrences is removed if it has ``min_words`` words.
 
@@ -159,7 +160,12 @@ def line_dedup(docs: DataFrame, window: int = WINDOW, one_in: int = ONE_IN, long
     later = held.where(where != F.col("first")).join(model, "key").where(F.col("body") == F.col("model"))
     marks = later.groupBy("doc_id", "same").agg(F.collect_set("place").alias("marked"))
     marks = materialise(marks)
-    joined = rows.join(marks.withColumnRenamed("doc_id", "d").withColumnRenamed("same", "s"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("same") == F.col("s")), "left")
-    out = joined.select("doc_id", "same", "text", F.coalesce("marked", F.array().cast("array<int>")).alias("marked")).mapInArrow(_cut(window, one_in, long_line, min_words), "doc_id long, same long, text string, removed int")
+    carried = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keep or ())]
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("same"), text.alias("text"), *carried)
+    joined = whole.join(marks.withColumnRenamed("doc_id", "d").withColumnRenamed("same", "s"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("same") == F.col("s")), "left")
+    kept = [f"_k{i}" for i in range(len(carried))]
+    ready = joined.select("doc_id", *kept, "text", F.coalesce("marked", F.array().cast("array<int>")).alias("marked"))
+    schema = ready.drop("text", "marked").withColumns({"text": F.lit(None).cast("string"), "removed": F.lit(None).cast("int")}).schema
+    out = ready.mapInArrow(_cut(window, one_in, long_line, min_words), schema)
     discard(repeated, held)
-    return out.select("doc_id", "text", "removed")
+    return out.select("doc_id", *[F.col(k).alias(c) for k, c in zip(kept, keep or (), strict=True)], "text", "removed")

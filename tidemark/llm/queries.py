@@ -70,8 +70,14 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_url_rules, op3_ngram_jaccard_join, op4_license_scan, op5_decontamination, op6_bpe, op7_line_dedup, op8_secret_scan, op9_language_id, op10_vector_search)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_rules, op3_ngram_jaccard_join, op4_license_scan, op5_decontamination, op6_bpe, op7_line_dedup, op8_secret_scan, op9_language_id, op10_vector_search, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
