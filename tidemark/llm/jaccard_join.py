@@ -27,6 +27,9 @@ WIDTH = 5
 WINDOW_TOKENS = 4_000_000
 HEAVY_SHARE = 4000
 BITMAP_WORDS = 1 << 20
+#: Ids (8 bytes each) up to which a list of documents is broadcast to the scan of their texts.
+BROADCAST_IDS = 1_000_000
+POSTING = "token long, doc long, n int, pos int"
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -76,38 +79,57 @@ def _describe(width: int):
     return run
 
 
-def _prefixes(width: int, percent: int, heavy, bitmap=None):
+def _prefixes(width: int, percent: int, heavy, common, wanted):
     """Per document the tokens of its prefix, rare ones first: (token, doc, size, position).
 
-    ``heavy`` broadcasts (tokens, counts), sorted by token; ``bitmap`` the tokens worth a posting.
+    ``heavy`` broadcasts (tokens, counts), sorted by token, and ``common`` a bitmap of
+    tokens known to return: both order the tokens. ``wanted`` is a bitmap of the tokens
+    worth a posting, or None.
     """
     schema = pa.schema([("token", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = heavy.value
-        seen = bitmap.value if bitmap is not None else None
         for batch in batches:
             for ids, row, value, size in _sets(batch, width):
                 if not len(value):
                     continue
-                rank = np.zeros(len(value), np.int64)
+                rank = _in_bitmap(common.value, value).astype(np.int64) if common is not None else np.zeros(len(value), np.int64)
                 if len(tokens):
                     at = np.minimum(np.searchsorted(tokens, value), len(tokens) - 1)
-                    rank = np.where(tokens[at] == value, counts[at], 0)
-                order = np.lexsort((value, rank, row))
-                value = value[order]
+                    rank += np.where(tokens[at] == value, counts[at], 0)
+                # the values of a row ascend already, so a stable sort by rank is enough
+                value = value[np.argsort(row * (int(rank.max()) + 1) + rank, kind="stable")]
                 first = np.concatenate(([0], np.cumsum(size)[:-1]))
                 pos = np.arange(len(value)) - first[row]
                 need = -(-percent * size // 100)
-                take = pos < (size - need + 1)[row]
-                if seen is not None:
-                    take &= _in_bitmap(seen, value)
-                row, value, pos = row[take], value[take], pos[take]
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ids[row]), pa.array(size[row].astype(np.int32)), pa.array(pos.astype(np.int32))], schema=schema)
+                take = (pos < (size - need + 1)[row]) & _first_of_equals(row, value, size)[row]
+                if wanted is not None:
+                    take &= _in_bitmap(wanted.value, value)
+                own, value, pos = row[take], value[take], pos[take]
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ids[own]), pa.array(size[own].astype(np.int32)), pa.array(pos.astype(np.int32))], schema=schema)
 
     return run
 
 
+def _first_of_equals(row: np.ndarray, value: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each document is the first in this slice with its set; copies need no prefix of their own."""
+    total = np.stack((_sum_by_row(row, mix(value), len(size)), size.astype(np.uint64)), 1)
+    keep = np.zeros(len(size), bool)
+    keep[np.unique(total, axis=0, return_index=True)[1]] = True
+    return keep
+
+
+def _repeated(texts: DataFrame, width: int, percent: int, heavy, common):
+    """A broadcast bitmap of the tokens that stand in the prefixes of two documents or more."""
+    counted = texts.mapInArrow(_prefixes(width, percent, heavy, common, None), POSTING).groupBy("token").count().where("count > 1")
+    bit = F.col("token").bitwiseAND(F.lit(BITMAP_WORDS * 64 - 1))
+    words = counted.groupBy(F.shiftrightunsigned(bit, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(token & 63 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(BITMAP_WORDS, np.uint64)
+    bitmap[np.asarray(words["word"])] = np.asarray(words["bits"]).view(np.uint64)
+    return texts.sparkSession.sparkContext.broadcast(bitmap)
+
+
 def _in_bitmap(words: np.ndarray, value: np.ndarray) -> np.ndarray:
     word = words[(value & np.uint64(len(words) * 64 - 1)) >> np.uint64(6)]
     return (word >> (value & np.uint64(63))) & np.uint64(1) == 1
@@ -135,11 +157,19 @@ def _reachable(percent: int, x: str, y: str):
 def _verify(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """(x, y, distance, linked) by exact intersection of the two sets."""
     ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(_set_rows(width), "doc long, items array<long>")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    sets = materialise(texts.join(ids, "doc_id", "left_semi").mapInArrow(_set_rows(width), "doc long, items array<long>"))
     both = pairs.join(sets.select(F.col("doc").alias("x"), F.col("items").alias("xs")), "x").join(sets.select(F.col("doc").alias("y"), F.col("items").alias("ys")), "y")
     common = F.size(F.array_intersect("xs", "ys")).cast("long")
     union = F.size("xs") + F.size("ys") - common
-    return both.select("x", "y", (1 - common / union).alias("distance"), (100 * common >= percent * union).alias("linked"))
+    return _done(both.select("x", "y", (1 - common / union).alias("distance"), (100 * common >= percent * union).alias("linked")), sets)
+
+
+def _done(result: DataFrame, *held: DataFrame) -> DataFrame:
+    out = materialise(result)
+    discard(*held)
+    return out
 
 
 def jaccard_join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, heavy_share: int = HEAVY_SHARE) -> DataFrame:
@@ -171,33 +201,32 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, he
     heavy = sc.broadcast((token[order], np.asarray(top["times"])[order]))
 
     classes = materialise(members.where("n > 0 and doc_id is not null").groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("rep")))
-    leaders = texts.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    known = texts.where("doc_id is not null")
 
-    posting = "token long, doc long, n int, pos int"
-    counted = leaders.mapInArrow(_prefixes(width, percent, heavy), posting).groupBy("token").count().where("count > 1")
-    bit = F.col("token").bitwiseAND(F.lit(BITMAP_WORDS * 64 - 1))
-    words = counted.groupBy(F.shiftrightunsigned(bit, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(token & 63 as int))")).alias("bits")).toArrow()
-    bitmap = np.zeros(BITMAP_WORDS, np.uint64)
-    bitmap[np.asarray(words["word"])] = np.asarray(words["bits"]).view(np.uint64)
-    postings = materialise(leaders.mapInArrow(_prefixes(width, percent, heavy, sc.broadcast(bitmap)), posting))
+    # tokens found to return go behind the others, which leaves few of them in the second prefixes
+    common = _repeated(known, width, percent, heavy, None)
+    wanted = _repeated(known, width, percent, heavy, common)
+    reps = members.join(classes, ["n", "sig1", "sig2"]).select(F.col("doc_id").alias("doc"), "n", "rep")
+    raw = known.mapInArrow(_prefixes(width, percent, heavy, common, wanted), POSTING)
+    postings = materialise(raw.join(reps, ["doc", "n"]).select("token", F.col("rep").alias("doc"), "n", "pos").groupBy("token", "doc", "n").agg(F.min("pos").alias("pos")))
 
     # each set against the most central set of its lists
     leads = postings.groupBy("token").agg(F.min(F.struct("pos", "n", "doc")).alias("lead"), F.count("*").alias("k")).where("k > 1").select("token", F.col("lead.doc").alias("ydoc"), F.col("lead.n").alias("yn"), F.col("lead.pos").alias("ypos"))
     mine = postings.select("token", F.col("doc").alias("xdoc"), F.col("n").alias("xn"), F.col("pos").alias("xpos"))
     first = mine.join(leads, "token").where((F.col("xdoc") != F.col("ydoc")) & _reachable(percent, "x", "y"))
     first_pairs = materialise(first.select(F.least("xdoc", "ydoc").alias("x"), F.greatest("xdoc", "ydoc").alias("y")).distinct())
-    answers = materialise(_verify(texts, first_pairs, width, percent))
+    answers = _verify(texts, first_pairs, width, percent)
     links = answers.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
     found = materialise(components(links))
 
     rest = _remaining(postings, found, answers, percent)
     rest_pairs = materialise(rest)
-    more = materialise(_verify(texts, rest_pairs, width, percent).where("linked"))
+    more = _verify(texts, rest_pairs, width, percent).where("linked")
     final = components(links.unionByName(more.select(F.col("x").alias("a"), F.col("y").alias("b")))) if more.take(1) else found
 
     placed = members.join(classes, ["n", "sig1", "sig2"], "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     out = materialise(placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id")))
-    discard(described, classes, postings, first_pairs, answers, found, rest_pairs, more)
+    discard(described, classes, postings, first_pairs, answers, found, rest_pairs)
     return out
 
 

@@ -100,6 +100,17 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def by_row(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both arrays sorted by row, then value (one sort of packed keys, or two where those tie)."""
+    spare = np.uint64(max(1, int(row.max(initial=0)).bit_length()))
+    order = np.argsort((row.astype(np.uint64) << (np.uint64(64) - spare)) | (value >> spare))
+    a, b = row[order], value[order]
+    if ((a[1:] == a[:-1]) & (b[1:] < b[:-1])).any():
+        order = np.lexsort((value, row))
+        a, b = row[order], value[order]
+    return a, b
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every distinct word shingle, sorted by row and hash.
 
@@ -126,8 +137,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.
             own[has] += words[first[has] + k] * _ORDER[k]
         row = np.concatenate((row, short))
         value = np.concatenate((value, mix(own + n_words[short].astype(np.uint64) * _ORDER[9])))
-    order = np.lexsort((value, row))
-    row, value = row[order], value[order]
+    row, value = by_row(row, value)
     if len(row):
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
