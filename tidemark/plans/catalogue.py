@@ -1,19 +1,395 @@
-"""The engine's own queries and their SQL equivalents."""
+"""The engine's own queries over the driver's tables, with the SQL that DuckDB can run.
+
+The tables hold no capture time, digest or header, so captures are derived from
+``pages`` by arithmetic, and the text categories run over ``pages`` together with a
+few fixture pages that show them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from tidemark.functions import rules
+from tidemark.functions.text import host_of, month_of, path_norm
+from tidemark.operators import fold as folding
+from tidemark.operators import native_extract, report, search, selection
+from tidemark.operators.fold import ALL_CATEGORIES, fold
+from tidemark.operators.highlights import highlights
+from tidemark.plans.fixtures import fixture_pages, fixture_sql
+from tidemark.sources import sinks
+from tidemark.sources.captures import captures_of_pages
+from tidemark.streaming import live
 from tidemark.session import table
 
+LINK = '<a href="([^"]+)"'
+TITLE = "(?s)<title>(.*?)</title>"
+
+
+# --- inputs --------------------------------------------------------------------------
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captures_of_pages(table(spark, sf_dir, "pages"))
+
+
+def all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` and the fixture pages as the extractors take them."""
+    both = table(spark, sf_dir, "pages").select("page_id", "url", "html").unionByName(fixture_pages(spark))
+    stamped = captures_of_pages(both).select("page_seq", "timestamp")
+    host = host_of(F.col("url"))
+    domain = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
+    return both.withColumnRenamed("page_id", "page_seq").join(stamped, "page_seq").select("page_seq", "timestamp", "url", "html", domain.alias("domain"))
+
+
+def link_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits that every page has: its links and its title."""
+    pages = table(spark, sf_dir, "pages")
+    rows = captures_of_pages(pages).join(pages.select(F.col("page_id").alias("page_seq"), "html"), "page_seq")
+    link = F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), lambda x: F.struct(F.lit("links").alias("category"), x.alias("key")))
+    title = F.transform(F.regexp_extract_all("html", F.lit(TITLE), F.lit(1)), lambda x: F.struct(F.lit("titles").alias("category"), x.alias("key")))
+    source = F.concat(F.lit("https://web.archive.org/web/"), "timestamp", F.lit("/"), "url")
+    each = rows.select("page_seq", month_of(F.col("timestamp")).alias("month"), source.alias("source_url"), F.posexplode_outer(F.concat(title, link)).alias("hit_seq", "h")).where("h is not null")
+    return each.select("page_seq", F.col("hit_seq").cast("long").alias("hit_seq"), "h.category", "h.key", "month", "source_url", F.create_map(F.lit("value"), F.col("h.key")).alias("attrs"))
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folding.ranked(fold(link_hits(spark, sf_dir)))
+
+
+_CAPTURES = """caps AS (SELECT page_id AS page_seq, (2010 + page_id % 12)::VARCHAR || lpad((1 + (page_id * 7) % 12)::VARCHAR, 2, '0') || lpad((1 + page_id % 28)::VARCHAR, 2, '0') || '120000' AS timestamp, url, md5(html) AS digest, html,
+  CASE WHEN regexp_replace(lower(regexp_extract(regexp_replace(url, '^[A-Za-z]+://[^/?#]*', ''), '^([^?#]*)', 1)), '/+$', '') = '' THEN '/' ELSE regexp_replace(lower(regexp_extract(regexp_replace(url, '^[A-Za-z]+://[^/?#]*', ''), '^([^?#]*)', 1)), '/+$', '') END AS path FROM pages)"""
+_FINDINGS = (
+    _CAPTURES
+    + """, raw AS (SELECT page_seq, timestamp, url, 'links' AS category, unnest(regexp_extract_all(html, '<a href="([^"]+)"', 1)) AS key FROM caps
+  UNION ALL SELECT page_seq, timestamp, url, 'titles', unnest(regexp_extract_all(html, '(?s)<title>(.*?)</title>', 1)) FROM caps),
+hits AS (SELECT *, substr(timestamp, 1, 4) || '-' || substr(timestamp, 5, 2) AS month, 'https://web.archive.org/web/' || timestamp || '/' || url AS source_url FROM raw),
+f AS (SELECT category, key, min(month) AS first_seen, max(month) AS last_seen, count(*) AS occurrences, arg_min(source_url, page_seq) AS source_url, min(page_seq) AS first_page FROM hits GROUP BY ALL),
+b AS (SELECT min(first_seen) AS lo, max(last_seen) AS hi FROM f)"""
+)
+
+
+# --- extraction -------------------------------------------------------------------------
+
+
+def _counted(hits: DataFrame) -> DataFrame:
+    return hits.groupBy("category", "key").agg(F.count("*").alias("n"))
+
+
+def _ext(category: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _counted(native_extract.native_hits(all_pages(spark, sf_dir), [category]))
+
+    return run
+
+
+def _quote(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _in(words) -> str:
+    return "(" + ", ".join(map(_quote, words)) + ")"
+
+
+def _matches(pattern: str) -> str:
+    return f"SELECT page_id, unnest(regexp_extract_all(html, {_quote(pattern)}, 0)) AS m FROM p"
+
+
+def _over(body: str) -> str:
+    return f"WITH p AS (SELECT page_id, url, html FROM pages UNION ALL {fixture_sql()}) {body}"
+
+
+def _grouped(category: str, parts: list[str]) -> str:
+    return _over(f"SELECT {_quote(category)} AS category, key, count(*) AS n FROM ({' UNION ALL '.join(parts)}) GROUP BY key")
+
+
+def _ids_sql(category: str, table_, deny_x: bool) -> str:
+    parts = []
+    for kind, pattern, group in table_:
+        more = " AND NOT regexp_matches(replace(regexp_replace(v, '^[^-]*-', ''), '-', ''), '^[Xx]+$')" if deny_x else ""
+        parts.append(f"SELECT {_quote(kind + ':')} || v AS key FROM (SELECT regexp_extract(m, {_quote(pattern)}, {group}) AS v FROM ({_matches(pattern)})) WHERE v NOT IN {_in(rules.ID_DENYLIST)}{more}")
+    return _grouped(category, parts)
+
+
+def _tenant_sql(category: str, table_, reserved, missing: str = "") -> list[str]:
+    parts = []
+    for platform, pattern in table_:
+        tries = ", ".join(f"nullif(regexp_extract(m, {_quote(pattern)}, {g}), '')" for g in range(1, pattern.count("([") + 1))
+        slug = f"lower(coalesce({tries + ', ' if tries else ''}{_quote(missing)}))"
+        keep = f"(length(s) >= 2 AND s NOT IN {_in(reserved)})" + (f" OR s = {_quote(missing)}" if missing else "")
+        parts.append(f"SELECT {_quote(platform + ':')} || s AS key FROM (SELECT {slug} AS s FROM ({_matches(pattern)})) WHERE {keep}")
+    return parts
+
+
+def _ext_sql() -> dict[str, str]:
+    out = {
+        "ext_analytics_trackers": _ids_sql("analytics_trackers", rules.TRACKERS, True),
+        "ext_analytics_ids": _ids_sql("analytics_ids", rules.ANALYTICS, False),
+        "ext_cloud_buckets": _grouped("cloud_buckets", [f"SELECT lower(m) AS key FROM ({_matches(p)})" for p in rules.CLOUD_BUCKETS]),
+        "ext_adsense_ids": _grouped("adsense_ids", [f"SELECT DISTINCT page_id, {_quote(k + ':')} || regexp_extract(m, {_quote(p)}, {g}) AS key FROM ({_matches(p)})" for k, p, g in rules.ADSENSE]),
+        "ext_job_boards": _grouped("job_boards", _tenant_sql("job_boards", rules.JOB_BOARDS, rules.JOB_BOARD_RESERVED)),
+        "ext_auth_providers": _grouped("auth_providers", _tenant_sql("auth_providers", rules.AUTH_PROVIDERS, rules.AUTH_RESERVED, "_")),
+        "ext_status_pages": _grouped("status_pages", [*_tenant_sql("status_pages", rules.STATUS_PAGES, rules.STATUS_PAGE_RESERVED), f"SELECT 'custom-domain:' || regexp_replace(lower(regexp_extract(m, {_quote(rules.STATUS_CUSTOM)}, 1)), '\\.+$', '') AS key FROM ({_matches(rules.STATUS_CUSTOM)})"]),
+        "ext_hosting": _grouped("hosting", [f"SELECT {_quote(n)} AS key FROM p WHERE regexp_matches(html, {_quote(x)})" for n, _, x in rules.HOSTING]),
+    }
+    consent = []
+    for platform, pattern in rules.COOKIE_CONSENT:
+        account = f"regexp_extract(html, {_quote(rules.COOKIE_ACCOUNTS[platform])}, 1)" if platform in rules.COOKIE_ACCOUNTS else "''"
+        consent.append(f"SELECT CASE WHEN a = '' THEN {_quote(platform)} ELSE {_quote(platform + ':')} || a END AS key FROM (SELECT {account} AS a FROM p WHERE regexp_matches(html, {_quote(pattern)}))")
+    out["ext_cookie_consent"] = _grouped("cookie_consent", consent)
+    repos = []
+    for n, pattern in enumerate(rules.GITHUB_URLS):
+        repo = f"regexp_extract(m, {_quote(pattern)}, 2)"
+        owner = f"regexp_extract(m, {_quote(pattern)}, 1)"
+        repo = f"CASE WHEN {repo} = '' THEN {owner} || '.github.io' ELSE {repo} END" if n == 2 else repo
+        repos.append(f"SELECT lower(o) || '/' || lower(r) AS key FROM (SELECT {owner} AS o, regexp_replace({repo}, '\\.git$', '') AS r FROM ({_matches(pattern)})) WHERE r <> '' AND lower(o) NOT IN {_in(rules.GITHUB_RESERVED_OWNERS)} AND lower(r) NOT IN {_in(rules.GITHUB_RESERVED_REPOS)}")
+    out["ext_github_repos"] = _grouped("github_repos", repos)
+    bad = " OR ".join([f"contains(split_part(e, '@', 1), {_quote(w)})" for w in rules.EMAIL_EXCLUDE] + [f"ends_with(e, {_quote(x)})" for x in rules.IMAGE_EXTENSIONS + rules.ASSET_EXTENSIONS])
+    out["ext_emails"] = _grouped("emails", [f"SELECT DISTINCT page_id, e AS key FROM (SELECT page_id, lower(m) AS e FROM ({_matches(rules.EMAIL)})) WHERE NOT ({bad}) AND split_part(e, '@', 2) NOT IN {_in(rules.EMAIL_PLACEHOLDER_DOMAINS)} AND NOT regexp_matches(split_part(e, '@', 2), '^[0-9]+\\.[0-9]+') AND NOT regexp_matches(e, '^u00[0-9a-f]{{2}}')"])
+    noise = " OR ".join([f"starts_with(lower(c), {_quote(x)})" for x in rules.COMMENT_EXCLUDE] + [f"contains(lower(c), {_quote(x)})" for x in ("wayback", *rules.COMMENT_NOISE)])
+    out["ext_html_comments"] = _grouped("html_comments", [f"SELECT lower(substr(c, 1, 80)) AS key FROM (SELECT regexp_replace(regexp_extract(m, {_quote(rules.COMMENT)}, 1), '^\\s+|\\s+$', '', 'g') AS c FROM ({_matches(rules.COMMENT)})) WHERE length(c) BETWEEN 10 AND 500 AND NOT ({noise})"])
+    listing = " ".join(f"WHEN regexp_matches(html, {_quote(x)}) THEN {_quote(n)}" for x, n in rules.LISTINGS)
+    out["ext_directory_listings"] = _grouped("directory_listings", [f"SELECT regexp_extract(regexp_replace(url, '^[A-Za-z]+://[^/?#]*', ''), '^([^?#]*)', 1) AS key FROM (SELECT url, CASE {listing} END AS kind FROM p) WHERE kind IS NOT NULL"])
+    host = "lower(regexp_replace(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1), ':[0-9]*$', ''))"
+    out["ext_url_subdomains"] = _over(f"SELECT 'subdomains' AS category, h AS key, count(*) AS n FROM (SELECT {host} AS h FROM p) WHERE h <> regexp_extract(h, '([^.]+\\.[^.]+)$', 1) AND h <> 'www.' || regexp_extract(h, '([^.]+\\.[^.]+)$', 1) AND regexp_matches(h, '^[a-z0-9.-]+$') GROUP BY h")
+    out["ext_titles_links"] = f"WITH {_FINDINGS} SELECT category, key, count(*) AS n FROM hits GROUP BY ALL"
+    return out
+
+
+# --- queries --------------------------------------------------------------------------------
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", "url")
+    """Every category over the pages and fixtures, folded, reconciled and ranked."""
+    found = folding.findings_of(all_pages(spark, sf_dir))
+    return found.select("category", "key", folding.value_of().alias("value"), "first_seen", "last_seen", "occurrences", "source_url", "source_page_id", "rank")
+
+
+def ext_all_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flagship(spark, sf_dir)
+
+
+def ext_url_subdomains(spark, sf_dir):
+    return _counted(folding.url_subdomains(all_pages(spark, sf_dir)))
+
+
+def ext_titles_links(spark, sf_dir):
+    return _counted(link_hits(spark, sf_dir))
+
+
+def sel_preflight(spark, sf_dir):
+    return selection.preflight_summary(captures(spark, sf_dir))
+
+
+def sel_path_groups(spark, sf_dir):
+    rows = captures(spark, sf_dir).withColumn("path", path_norm(F.col("url")))
+    return rows.groupBy("path").agg(F.count("*").alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")).withColumn("score", selection.path_score(F.col("path")))
+
+
+def sel_host_groups(spark, sf_dir):
+    return captures(spark, sf_dir).groupBy(host_of(F.col("url")).alias("host")).agg(F.count("*").alias("n"), F.countDistinct("url").alias("urls"))
+
+
+def sel_year_histogram(spark, sf_dir):
+    return report.year_histogram(captures(spark, sf_dir))
+
+
+def sel_day_density(spark, sf_dir):
+    return captures(spark, sf_dir).groupBy(F.substring("timestamp", 1, 8).alias("day")).agg(F.count("*").alias("n"))
+
+
+def sel_date_range(spark, sf_dir):
+    return selection.in_months(captures(spark, sf_dir), "2012-03", "2018-10").select("page_seq", "timestamp", "url")
+
+
+def sel_exclude_keywords(spark, sf_dir):
+    return selection.without_keywords(captures(spark, sf_dir), ("casino", "/fr/")).select("page_seq", "url")
+
+
+def sel_content_dedup(spark, sf_dir):
+    return selection.first_of_content(captures(spark, sf_dir)).select("page_seq", "timestamp", "digest")
+
+
+def sel_month_collapse(spark, sf_dir):
+    return selection.collapse_month(captures(spark, sf_dir)).select("page_seq", "timestamp", "url")
+
+
+def sel_year_allocation(spark, sf_dir):
+    return selection.year_allocation(captures(spark, sf_dir), 100)
+
+
+def sel_evenly_by_year(spark, sf_dir):
+    rows = captures(spark, sf_dir).withColumn("year", F.substring("timestamp", 1, 4))
+    groups = rows.select("year").distinct().withColumn("allocated", F.lit(5))
+    return selection.evenly(rows, groups, ["year"]).select("page_seq", "timestamp")
+
+
+def sel_score_allocation(spark, sf_dir):
+    return selection.score_allocation(captures(spark, sf_dir), 60).select(F.col("_path").alias("path"), "n", "score", "allocated")
+
+
+def sel_full_selection(spark, sf_dir):
+    return selection.select_captures(captures(spark, sf_dir), selection.ScanConfig(cap=100)).select("page_seq", "timestamp", "url")
+
+
+def fold_findings(spark, sf_dir):
+    return fold(link_hits(spark, sf_dir)).select("category", "key", "first_seen", "last_seen", "occurrences", "source_url")
+
+
+def fold_page_ids(spark, sf_dir):
+    pages = captures(spark, sf_dir).withColumn("html", F.lit(""))
+    return folding.page_ids(pages)
+
+
+def rep_summary(spark, sf_dir):
+    return report.summary(findings(spark, sf_dir))
+
+
+def rep_presence(spark, sf_dir):
+    return report.with_presence(findings(spark, sf_dir)).groupBy("category", "live").agg(F.count("*").alias("n"))
+
+
+def rep_change_feed(spark, sf_dir):
+    return report.change_feed(findings(spark, sf_dir))
+
+
+def rep_lanes(spark, sf_dir):
+    return report.lanes(findings(spark, sf_dir))
+
+
+def rep_category_rail(spark, sf_dir):
+    return report.category_rail(findings(spark, sf_dir), ("titles", "links", "emails"))
+
+
+def rep_co_occurrence(spark, sf_dir):
+    found = findings(spark, sf_dir)
+    return found.join(found.where("category = 'titles'").select("source_url", F.col("key").alias("title")), "source_url").where("category = 'links'").groupBy("title").agg(F.count("*").alias("links"))
+
+
+def rep_top_links(spark, sf_dir):
+    return report.top_of_category(findings(spark, sf_dir), text="a", rows=20).select("category", "key", "occurrences", "place")
+
+
+def rep_highlights(spark, sf_dir):
+    return highlights(folding.findings_of(all_pages(spark, sf_dir)), "acme-corp.test")
+
+
+def merge_analytics(spark, sf_dir):
+    found = fold(native_extract.native_hits(all_pages(spark, sf_dir), ["analytics_trackers", "analytics_ids"]))
+    merged = folding.merge_analytics(found)
+    return merged.select("category", F.coalesce(F.col("attrs")["id"], F.col("attrs")["id_value"]).alias("id"), "first_seen", "last_seen", "occurrences", F.col("attrs")["pivot_url"].alias("pivot_url"))
+
+
+def search_bm25(spark, sf_dir):
+    return search.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", "under the mit lic", 50)
+
+
+def search_accent_fold(spark, sf_dir):
+    return search.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", "être", 20)
+
+
+def search_postings(spark, sf_dir):
+    found = search.postings(table(spark, sf_dir, "conversations").where("turn = 0"), "conv_id", "text")
+    return found.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def export_csv_rows(spark, sf_dir):
+    return sinks.csv_rows(findings(spark, sf_dir))
+
+
+def export_json(spark, sf_dir):
+    return sinks.json_rows(findings(spark, sf_dir))
+
+
+def export_markdown(spark, sf_dir):
+    return sinks.markdown_rows(findings(spark, sf_dir))
+
+
+def stream_running_counts(spark, sf_dir):
+    return live.running_counts(table(spark, sf_dir, "events"), "event_type")
+
+
+def stream_windows(spark, sf_dir):
+    return live.windowed(table(spark, sf_dir, "events"), "ts", "1 hour", "2 hours")
+
+
+def stream_sessions(spark, sf_dir):
+    return live.sessions(table(spark, sf_dir, "events"), "ts", "30 minutes", "2 hours")
+
+
+def stream_governor(spark, sf_dir):
+    outcome = F.when(F.col("event_type") == "error", "refused").otherwise("ok")
+    return live.governor(table(spark, sf_dir, "events").select(F.col("event_type").alias("_"), (F.col("user_id") % 50).cast("string").alias("host"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"), outcome.alias("outcome")).select("host", (F.col("us") / 1e6).alias("at"), "outcome"))
+
+
+def ops_recent(spark, sf_dir):
+    """Events of the last seven days before the newest."""
+    events = table(spark, sf_dir, "events")
+    newest = events.agg(F.max("ts").alias("top"))
+    return events.crossJoin(F.broadcast(newest)).where(F.col("ts") >= F.col("top") - F.expr("interval 7 days")).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+def ops_fair_queue(spark, sf_dir):
+    """The next order of each priority: owners with the fewest open orders first, then arrival."""
+    orders = table(spark, sf_dir, "orders")
+    active = orders.where("o_orderstatus = 'O'").groupBy("o_custkey").agg(F.count("*").alias("active"))
+    waiting = orders.where("o_orderstatus = 'P'").join(active, "o_custkey", "left").withColumn("active", F.coalesce("active", F.lit(0)))
+    best = waiting.groupBy("o_orderpriority").agg(F.min(F.struct("active", "o_orderdate", "o_orderkey")).alias("b"))
+    return best.select("o_orderpriority", F.col("b.o_orderkey").alias("o_orderkey"), F.col("b.active").alias("active"))
+
+
+def ops_latest_per_owner(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    place = F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
+    return orders.withColumn("n", place).where("n = 1").select("o_custkey", "o_orderkey")
+
+
+_NATIVE = ("analytics_trackers", "analytics_ids", "cloud_buckets", "adsense_ids", "job_boards", "auth_providers", "status_pages", "hosting", "cookie_consent", "github_repos", "emails", "html_comments", "directory_listings", "social_profiles", "api_keys", "connection_strings", "jwt_tokens", "bug_bounty_programs")
+_PLAIN = (
+    ext_all_categories, ext_url_subdomains, ext_titles_links, sel_preflight, sel_path_groups, sel_host_groups, sel_year_histogram, sel_day_density, sel_date_range, sel_exclude_keywords, sel_content_dedup, sel_month_collapse, sel_year_allocation, sel_evenly_by_year, sel_score_allocation, sel_full_selection,
+    fold_findings, fold_page_ids, rep_summary, rep_presence, rep_change_feed, rep_lanes, rep_category_rail, rep_co_occurrence, rep_top_links, rep_highlights, merge_analytics, search_bm25, search_accent_fold, search_postings, export_csv_rows, export_json, export_markdown,
+    stream_running_counts, stream_windows, stream_sessions, stream_governor, ops_recent, ops_fair_queue, ops_latest_per_owner,
+)
 
 
 def queries() -> dict:
-    return {}
+    return {f"ext_{c}": _ext(c) for c in _NATIVE} | {f.__name__: f for f in _PLAIN}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    caps, found = f"WITH {_CAPTURES}", f"WITH {_FINDINGS}"
+    score = "CASE WHEN regexp_matches(path, '" + "|".join(selection.HIGH_VALUE) + "') THEN 3 WHEN path = '/' THEN 2 ELSE 1 END"
+    return _ext_sql() | {
+        "sel_preflight": f"{caps}, s AS (SELECT count(*) AS captures, count(DISTINCT path) AS paths, count(DISTINCT (path, digest)) AS contents, min(substr(timestamp, 1, 4) || '-' || substr(timestamp, 5, 2)) AS first_month, max(substr(timestamp, 1, 4) || '-' || substr(timestamp, 5, 2)) AS last_month FROM caps) SELECT *, greatest(CASE WHEN paths <= 30 THEN least(contents, 100) WHEN paths <= 200 THEN least(3 * paths, 500) WHEN paths <= 1000 THEN least(floor(1.5 * paths), 1000) ELSE 1500 END, least(contents, 50))::BIGINT AS suggested_cap FROM s",
+        "sel_path_groups": f'{caps} SELECT path, count(*) AS n, min(timestamp) AS "first", max(timestamp) AS "last", {score} AS score FROM caps GROUP BY path',
+        "sel_host_groups": f"{caps} SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, count(*) AS n, count(DISTINCT url) AS urls FROM caps GROUP BY 1",
+        "sel_year_histogram": f"{caps}, y AS (SELECT substr(timestamp, 1, 4)::INT AS year, count(*) AS n FROM caps GROUP BY 1), e AS (SELECT unnest(range(min(year), max(year) + 1)) AS year, max(n) AS top FROM y) SELECT e.year::INT AS year, coalesce(n, 0) AS n, greatest(2, round(100.0 * coalesce(n, 0) / top))::INT AS pct FROM e LEFT JOIN y ON e.year = y.year",
+        "sel_day_density": f"{caps} SELECT substr(timestamp, 1, 8) AS day, count(*) AS n FROM caps GROUP BY 1",
+        "sel_date_range": f"{caps} SELECT page_seq, timestamp, url FROM caps WHERE timestamp BETWEEN '20120301000000' AND '20181031235959'",
+        "sel_exclude_keywords": f"{caps} SELECT page_seq, url FROM caps WHERE NOT contains(lower(url), 'casino') AND NOT contains(lower(url), '/fr/')",
+        "sel_content_dedup": f"{caps} SELECT page_seq, timestamp, digest FROM caps QUALIFY row_number() OVER (PARTITION BY path, digest ORDER BY timestamp, url) = 1",
+        "sel_month_collapse": f"{caps} SELECT page_seq, timestamp, url FROM caps QUALIFY row_number() OVER (PARTITION BY url, substr(timestamp, 1, 6) ORDER BY timestamp) = 1",
+        "sel_year_allocation": f"""{caps}, y AS (SELECT substr(timestamp, 1, 4) AS year, count(*) AS n FROM caps GROUP BY 1),
+g AS (SELECT *, greatest(0, least(least(n, 3), 100 - coalesce(sum(least(n, 3)) OVER (ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS given FROM y),
+i AS (SELECT *, (100 - sum(given) OVER ()) AS budget, n - given AS room FROM g), j AS (SELECT *, CASE WHEN sum(room) OVER () > 0 THEN budget * room::DOUBLE / sum(room) OVER () ELSE 0 END AS ideal FROM i),
+k AS (SELECT *, least(room, floor(ideal)) AS base FROM j), l AS (SELECT *, budget - sum(base) OVER () AS spare, row_number() OVER (ORDER BY (given + base < n) DESC, ideal - floor(ideal) DESC, year DESC) AS place FROM k)
+SELECT year, n, least(n, given + base + CASE WHEN given + base < n AND place <= spare THEN 1 ELSE 0 END)::BIGINT AS allocated FROM l""",
+        "sel_evenly_by_year": f"""{caps}, r AS (SELECT page_seq, timestamp, substr(timestamp, 1, 4) AS year, row_number() OVER (PARTITION BY substr(timestamp, 1, 4) ORDER BY timestamp, url) - 1 AS i, count(*) OVER (PARTITION BY substr(timestamp, 1, 4)) AS k FROM caps)
+SELECT page_seq, timestamp FROM r WHERE k <= 5 OR i IN (round_even(0 * (k - 1) / 4.0, 0), round_even(1 * (k - 1) / 4.0, 0), round_even(2 * (k - 1) / 4.0, 0), round_even(3 * (k - 1) / 4.0, 0), round_even(4 * (k - 1) / 4.0, 0))""",
+        "fold_findings": f"{found} SELECT category, key, first_seen, last_seen, occurrences, source_url FROM f",
+        "fold_page_ids": f"{caps} SELECT 'https://web.archive.org/web/' || timestamp || '/' || url AS source_url, row_number() OVER (ORDER BY min(page_seq)) AS source_page_id FROM caps GROUP BY 1",
+        "rep_summary": f"{found} SELECT count(*) AS findings, count(DISTINCT category) AS categories, count(*) FILTER (last_seen >= hi) AS live, count(*) FILTER (last_seen < hi) AS gone FROM f, b",
+        "rep_presence": f"{found} SELECT category, last_seen >= hi AS live, count(*) AS n FROM f, b GROUP BY ALL",
+        "rep_change_feed": f"{found} SELECT first_seen AS month, 'up' AS kind, category, key FROM f UNION ALL SELECT last_seen, 'down', category, key FROM f, b WHERE last_seen < hi",
+        "rep_lanes": f"{found}, m AS (SELECT category, key, last_seen < hi AS disappeared, substr(first_seen, 1, 4)::INT * 12 + substr(first_seen, 6, 2)::INT AS a, substr(last_seen, 1, 4)::INT * 12 + substr(last_seen, 6, 2)::INT AS z, substr(lo, 1, 4)::INT * 12 + substr(lo, 6, 2)::INT AS l, substr(hi, 1, 4)::INT * 12 + substr(hi, 6, 2)::INT AS h FROM f, b) SELECT category, key, round(100.0::DOUBLE * (a - l) / greatest(h - l, 1), 6) AS left_pct, round(greatest(100.0::DOUBLE * (z - a) / greatest(h - l, 1), 1.5), 6) AS width_pct, disappeared FROM m",
+        "rep_category_rail": f"{found} SELECT c.category, coalesce(n, 0) AS n FROM (VALUES ('titles'), ('links'), ('emails')) c(category) LEFT JOIN (SELECT category, count(*) AS n FROM f GROUP BY 1) x ON x.category = c.category",
+        "rep_co_occurrence": f"{found} SELECT t.key AS title, count(*) AS links FROM f JOIN f t ON t.source_url = f.source_url AND t.category = 'titles' WHERE f.category = 'links' GROUP BY 1",
+        "search_postings": "SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT conv_id, term, count(*) AS tf FROM (SELECT conv_id, unnest(regexp_extract_all(translate(lower(text), '" + search._ACCENTED + "', '" + search._PLAIN + "'), '[\\p{L}\\p{N}]+')) AS term FROM conversations WHERE turn = 0) GROUP BY ALL) GROUP BY term",
+        "export_csv_rows": f"{found} SELECT category, key AS value, first_seen, last_seen, occurrences, source_url AS source FROM f WHERE key <> ''",
+        "stream_running_counts": "SELECT event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1",
+        "stream_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n FROM events GROUP BY ALL",
+        "ops_recent": "SELECT event_type, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY 1",
+        "ops_fair_queue": "WITH a AS (SELECT o_custkey, count(*) AS active FROM orders WHERE o_orderstatus = 'O' GROUP BY 1), w AS (SELECT o.*, coalesce(active, 0) AS active FROM orders o LEFT JOIN a USING (o_custkey) WHERE o_orderstatus = 'P') SELECT o_orderpriority, o_orderkey, active FROM w QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY active, o_orderdate, o_orderkey) = 1",
+        "ops_latest_per_owner": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
+    }
