@@ -22,13 +22,15 @@ K = 20
 QUERY_STEP = 20
 SHARD_ROWS = 4096
 BLOCK_ROWS = 512
-LEAF = 64
-FACTOR = 1.25
+LEAF = 256
+FACTOR = 2.0
+#: Places kept beyond k while searching, for scores that differ by rounding only.
+MARGIN = 12
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """All inner products in double precision, each summed in the same order wherever it stands."""
-    return np.einsum("ij,kj->ik", a, b)
+def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row-wise inner products in double precision, each summed in the same order wherever it stands."""
+    return np.einsum("ij,ij->i", a, b)
 
 
 class Tree:
@@ -68,53 +70,62 @@ class Tree:
         return np.sqrt((gap**2).sum(1) + (self.lift[others] - self.lift[a]) ** 2)
 
     def search(self, own: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query place, id, score) of each query's k nearest entries, itself left out."""
-        n = len(queries)
-        best_score = np.full((n, k), -np.inf)
-        best_id = np.full((n, k), np.iinfo(np.int64).max)
+        """(query place, id, score) of each query's k nearest entries, itself left out.
+
+        The search ranks distinct vectors by fast products and keeps a margin; the
+        kept ones are scored exactly, spread to their ids and ranked again.
+        """
+        n, keep = len(queries), k + 1 + MARGIN
+        best = np.full((n, keep), -np.inf)
+        which = np.full((n, keep), -1)
         base = (queries**2).sum(1) + self.norm2
-        members = np.split(np.arange(len(self.ids)), np.flatnonzero(np.diff(self.entry)) + 1) if len(self.ids) else []
-
-        def farthest(q: np.ndarray) -> np.ndarray:
-            kth = best_score[q, -1]
-            return np.where(np.isinf(kth), np.inf, np.sqrt(np.maximum(base[q] - 2 * np.where(np.isinf(kth), 0, kth), 0)))
 
         def leaf(q: np.ndarray, at: np.ndarray) -> None:
-            score = products(queries[q], self.vectors[at])
-            useful = score.max(1) >= best_score[q, -1]
+            score = queries[q] @ self.vectors[at].T
+            useful = score.max(1) > best[q, -1]
             q, score = q[useful], score[useful]
             if not len(q):
                 return
-            rows = np.concatenate([members[a] for a in at])
-            of = np.repeat(np.arange(len(at)), [len(members[a]) for a in at])
-            ids = self.ids[rows]
-            spread = np.where(ids[None, :] == own[q][:, None], -np.inf, score[:, of])
-            all_score = np.concatenate((best_score[q], spread), 1)
-            all_id = np.concatenate((best_id[q], np.broadcast_to(ids, spread.shape)), 1)
-            order = np.lexsort((all_id, -all_score), axis=1)[:, :k]
-            best_score[q] = np.take_along_axis(all_score, order, 1)
-            best_id[q] = np.take_along_axis(all_id, order, 1)
+            all_score = np.concatenate((best[q], score), 1)
+            top = np.argpartition(-all_score, keep - 1, axis=1)[:, :keep] if all_score.shape[1] > keep else np.broadcast_to(np.arange(all_score.shape[1]), all_score.shape)
+            score = np.take_along_axis(all_score, top, 1)
+            order = np.argsort(-score, axis=1)
+            top = np.take_along_axis(top, order, 1)
+            best[q] = np.take_along_axis(score, order, 1)
+            which[q] = np.take_along_axis(np.concatenate((which[q], np.broadcast_to(at, (len(q), len(at)))), 1), top, 1)
 
         def visit(node, q: np.ndarray) -> None:
-            if not len(q):
-                return
             if isinstance(node, int):
                 leaf(q, self.points[node])
                 return
             centre, (a, b, c, d), inner, outer = node
-            far = np.sqrt(np.maximum(base[q] - 2 * products(queries[q], self.vectors[centre : centre + 1])[:, 0], 0))
+            far = np.sqrt(np.maximum(base[q] - 2 * (queries[q] @ self.vectors[centre]), 0))
             near_first = far <= (b + c) / 2
-            for ahead, first, first_bounds, second, second_bounds in ((True, inner, (a, b), outer, (c, d)), (False, outer, (c, d), inner, (a, b))):
-                mine = q[near_first == ahead]
-                gap = far[near_first == ahead]
-                for child, (low, high) in ((first, first_bounds), (second, second_bounds)):
+            for ahead, children in ((True, ((inner, a, b), (outer, c, d))), (False, ((outer, c, d), (inner, a, b)))):
+                mine, gap = q[near_first == ahead], far[near_first == ahead]
+                for child, low, high in children if len(mine) else ():
+                    kth = best[mine, k]  # one place more than k: the query itself may be among them
+                    reach = np.sqrt(np.maximum(base[mine] - 2 * np.where(np.isinf(kth), 0, kth), 0))
                     bound = np.maximum(np.maximum(gap - high, low - gap), 0)
-                    visit(child, mine[bound * factor <= farthest(mine) * (1 + 1e-9) + 1e-12])
+                    asked = mine[np.isinf(kth) | (bound * factor <= reach * (1 + 1e-9) + 1e-12)]
+                    if len(asked):
+                        visit(child, asked)
 
         if self.root is not None:
             visit(self.root, np.arange(n))
-        place, column = np.nonzero(~np.isinf(best_score))
-        return place, best_id[place, column], best_score[place, column]
+        place, column = np.nonzero(which >= 0)
+        entry = which[place, column]
+        score = exact(queries[place], self.vectors[entry])
+        first = np.searchsorted(self.entry, np.arange(len(self.vectors) + 1))
+        size = np.diff(first)[entry]
+        rows = np.repeat(first[entry] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        place, score, ids = np.repeat(place, size), np.repeat(score, size), self.ids[rows]
+        other = ids != own[place]
+        place, score, ids = place[other], score[other], ids[other]
+        order = np.lexsort((ids, -score, place))
+        place, score, ids = place[order], score[order], ids[order]
+        rank = np.arange(len(place)) - np.searchsorted(place, place)
+        return place[rank < k], ids[rank < k], score[rank < k]
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
