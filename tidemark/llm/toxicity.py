@@ -23,7 +23,7 @@ MAX_FEATURES = 8192
 MIN_DOCS = 5
 MIN_Z = 3.0
 RIDGE = 1.0
-ROUNDS = 200
+ROUNDS = 600
 BEGINNINGS = (4, 5, 6)
 FLAG = 0.5
 
