@@ -28,8 +28,8 @@ SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 #: White space beside a space: there the pieces between spaces are not units of their own.
 AMBIGUOUS = regex.compile(r" \s|\s |^ | $")
 #: Units remembered between pieces of a partition; beyond it the memory starts anew.
-MEMORY_UNITS = 600_000
-PIECE_BYTES = 16 << 20
+MEMORY_UNITS = 200_000
+PIECE_BYTES = 4 << 20
 
 
 def byte_alphabet() -> dict[str, int]:

@@ -24,20 +24,22 @@ from tidemark.session import discard, materialise
 
 PERCENT = 80
 WIDTH = 5
-WINDOW_TOKENS = 4_000_000
-HEAVY_SHARE = 4000
+WINDOW_TOKENS = 2_000_000
+#: Tokens (16 bytes each) whose frequency orders the index, and the least count worth knowing.
+MAX_ORDERED = 1_000_000
+LEAST_COUNT = 4
 BITMAP_WORDS = 1 << 20
 #: Ids (8 bytes each) up to which a list of documents is broadcast to the scan of their texts.
 BROADCAST_IDS = 1_000_000
 POSTING = "token long, doc long, n int, pos int"
 
 
-def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
     for part in slices(batch, "text"):
         data, offsets = buffers(part.column("text"))
         row, value = shingles(data, offsets, width)
         size = np.bincount(row, minlength=part.num_rows).astype(np.int64)
-        yield np.asarray(part.column("doc_id")), row, value, size
+        yield part.column("doc_id"), row, value, size
 
 
 def _sum_by_row(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
@@ -54,11 +56,11 @@ def _describe(width: int):
 
     def rows(**given) -> pa.RecordBatch:
         n = len(next(iter(given.values())))
-        return pa.RecordBatch.from_arrays([pa.array(given[f.name], f.type) if f.name in given else pa.nulls(n, f.type) for f in schema], schema=schema)
+        return pa.RecordBatch.from_arrays([(v if isinstance(v := given[f.name], pa.Array) else pa.array(v, f.type)) if f.name in given else pa.nulls(n, f.type) for f in schema], schema=schema)
 
     def frequent(held: list[np.ndarray]) -> pa.RecordBatch:
         token, times = np.unique(np.concatenate(held), return_counts=True)
-        keep = times >= 3
+        keep = times >= 2
         return rows(token=token[keep].view(np.int64), times=times[keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,11 +109,22 @@ def _prefixes(width: int, percent: int, heavy, common, wanted):
                 if wanted is not None:
                     take &= _in_bitmap(wanted.value, value)
                 own, value, pos = row[take], value[take], pos[take]
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ids[own]), pa.array(size[own].astype(np.int32)), pa.array(pos.astype(np.int32))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), ids.take(pa.array(own)), pa.array(size[own].astype(np.int32)), pa.array(pos.astype(np.int32))], schema=schema)
 
     return run
 
 
+def _least(often: DataFrame, most: int) -> int:
+    """The least count that leaves at most ``most`` tokens; counts are gathered by powers of two."""
+    steps = {r.step: r.n for r in often.groupBy(F.floor(F.log2("times")).alias("step")).agg(F.count("*").alias("n")).collect()}
+    total = 0
+    for step in sorted(steps, reverse=True):
+        total += steps[step]
+        if total > most:
+            return 2 ** (step + 1)
+    return LEAST_COUNT
+
+
 def _first_of_equals(row: np.ndarray, value: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether each document is the first in this slice with its set; copies need no prefix of their own."""
     total = np.stack((_sum_by_row(row, mix(value), len(size)), size.astype(np.uint64)), 1)
@@ -142,7 +155,7 @@ def _set_rows(width: int):
         for batch in batches:
             for ids, _, value, size in _sets(batch, width):
                 offsets = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(offsets, pa.array(value.view(np.int64)))], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, pa.array(value.view(np.int64)))], schema=schema)
 
     return run
 
@@ -172,7 +185,7 @@ def _done(result: DataFrame, *held: DataFrame) -> DataFrame:
     return out
 
 
-def jaccard_join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, heavy_share: int = HEAVY_SHARE) -> DataFrame:
+def jaccard_join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, max_ordered: int = MAX_ORDERED) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``.
 
     Two documents link when ``100 * intersection >= percent * union`` of their
@@ -184,18 +197,17 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, he
       links if any of its texts does;
     * other columns, whatever their names, are ignored; an empty table gives no rows.
 
-    Tokens are 64-bit hashes. The list of frequent tokens that orders the index is
-    bounded by the mean set size times ``heavy_share``, the bitmap of repeated
-    tokens by ``BITMAP_WORDS`` words; both only save work and drop no candidate.
+    Tokens are 64-bit hashes. The list of frequent tokens that orders the index holds
+    ``max_ordered`` at most, the bitmap of repeated tokens ``BITMAP_WORDS`` words;
+    both only save work and drop no candidate.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = materialise(texts.mapInArrow(_describe(width), "doc_id long, n long, sig1 long, sig2 long, token long, times long"))
     members = described.where("n is not null").select("doc_id", "n", "sig1", "sig2")
-    n_docs = members.count()
-    least = max(8, n_docs // heavy_share)
-    top = described.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= least).toArrow()
+    often = materialise(described.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= LEAST_COUNT))
+    top = often.where(F.col("times") >= _least(often, max_ordered)).toArrow()
     token = np.asarray(top["token"]).view(np.uint64)
     order = np.argsort(token)
     heavy = sc.broadcast((token[order], np.asarray(top["times"])[order]))
@@ -210,6 +222,9 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, he
     raw = known.mapInArrow(_prefixes(width, percent, heavy, common, wanted), POSTING)
     postings = materialise(raw.join(reps, ["doc", "n"]).select("token", F.col("rep").alias("doc"), "n", "pos").groupBy("token", "doc", "n").agg(F.min("pos").alias("pos")))
 
+    for held in (heavy, common, wanted):
+        held.destroy()
+
     # each set against the most central set of its lists
     leads = postings.groupBy("token").agg(F.min(F.struct("pos", "n", "doc")).alias("lead"), F.count("*").alias("k")).where("k > 1").select("token", F.col("lead.doc").alias("ydoc"), F.col("lead.n").alias("yn"), F.col("lead.pos").alias("ypos"))
     mine = postings.select("token", F.col("doc").alias("xdoc"), F.col("n").alias("xn"), F.col("pos").alias("xpos"))
@@ -226,7 +241,7 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, he
 
     placed = members.join(classes, ["n", "sig1", "sig2"], "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     out = materialise(placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id")))
-    discard(described, classes, postings, first_pairs, answers, found, rest_pairs)
+    discard(described, often, classes, postings, first_pairs, answers, found, rest_pairs)
     return out
 
 
