@@ -114,8 +114,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT
 
     # equal windows share one fingerprint, one search and one verification
     shapes = materialise(cut.select("m", "ws").distinct().withColumn("shape", F.xxhash64("m", "ws")))
-    prints = fingerprints(shapes.select("m", "shape", F.explode("ws").alias("h")), "m", "shape")
-    item_prints = fingerprints(items.select("m", "item_id", F.explode("hs").alias("h")), "m", "item_id")
+    # written, so that the long expressions of the fingerprints stand in one small plan each
+    prints = materialise(fingerprints(shapes.select("m", "shape", F.explode("ws").alias("h")), "m", "shape"))
+    item_prints = materialise(fingerprints(items.select("m", "item_id", F.explode("hs").alias("h")), "m", "item_id"))
     left = prints.select("m", "shape", "blocks", F.posexplode("blocks").alias("k", "value"))
     right = item_prints.select("m", "item_id", F.col("blocks").alias("item_blocks"), F.posexplode("blocks").alias("k", "value"))
     near = left.join(hint(right), ["m", "k", "value"]).where(_distance(F.col("blocks"), F.col("item_blocks")) <= RADIUS).select("m", "shape", "item_id").distinct()
@@ -126,7 +127,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT
     found = cut.join(hits, ["m", "ws"])
     out = found.groupBy("doc_id", "same", "item_id").agg(F.count("*").alias("n_windows"), F.max(F.struct("similarity", (-F.greatest("start", F.lit(0))).alias("back"))).alias("best"))
     out = materialise(out.select("doc_id", "same", "item_id", "n_windows", (-F.col("best.back")).cast("long").alias("first_word"), F.col("best.similarity").alias("similarity")))
-    discard(items, windows, cut, shapes)
+    discard(items, windows, cut, shapes, prints, item_prints)
     return out
 
 
