@@ -101,6 +101,13 @@ def test_selection_fills_the_cap(spark):
     assert selection.first_of_content(same.withColumn("digest", F.lit(None).cast("string"))).count() == 400
 
 
+def test_postings_cover_every_turn(spark):
+    rows = [(1, 0, "one word"), (1, 1, "Word word"), (2, 0, None), (2, 1, "late")]
+    found = search.postings(spark.createDataFrame(rows, "conv_id long, turn int, text string"), F.struct("conv_id", "turn"), "text")
+    got = {(tuple(r.doc), r.term): r.tf for r in found.collect()}
+    assert got == {((1, 0), "one"): 1, ((1, 0), "word"): 1, ((1, 1), "word"): 2, ((2, 1), "late"): 1}
+
+
 def test_search(spark):
     df = spark.createDataFrame([(1, "La cybersécurité avancée, écrire à admin@x.com"), (2, "careers page: caring people"), (3, None), (4, "com x admin")], "id int, t string")
     ask = lambda q: [r.doc for r in search.bm25(df, "id", "t", q).collect()]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import unicodedata
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import let
@@ -23,10 +23,11 @@ def folded(text):
     return F.translate(F.lower(text), _ACCENTED, _PLAIN)
 
 
-def postings(texts: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, term, tf, positions) of each document's terms."""
+def postings(texts: DataFrame, doc: str | Column, text: str) -> DataFrame:
+    """(doc, term, tf, positions) of each document's terms; a struct as ``doc`` keys documents by several columns."""
+    key = F.col(doc) if isinstance(doc, str) else doc
     words = F.regexp_extract_all(folded(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0))
-    each = texts.select(F.col(doc).alias("doc"), F.posexplode_outer(words).alias("pos", "term")).where("term is not null")
+    each = texts.select(key.alias("doc"), F.posexplode_outer(words).alias("pos", "term")).where("term is not null")
     return each.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 

@@ -294,6 +294,12 @@ def search_postings(spark, sf_dir):
     return found.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+def search_postings_turns(spark, sf_dir):
+    """``search_postings`` over every turn: a document is one (conv_id, turn)."""
+    found = search.postings(table(spark, sf_dir, "conversations"), F.struct("conv_id", "turn"), "text")
+    return found.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
 def export_csv_rows(spark, sf_dir):
     return sinks.csv_rows(findings(spark, sf_dir))
 
@@ -348,7 +354,7 @@ def ops_latest_per_owner(spark, sf_dir):
 _NATIVE = ("analytics_trackers", "analytics_ids", "cloud_buckets", "adsense_ids", "job_boards", "auth_providers", "status_pages", "hosting", "cookie_consent", "github_repos", "emails", "html_comments", "directory_listings", "social_profiles", "api_keys", "connection_strings", "jwt_tokens", "bug_bounty_programs")
 _PLAIN = (
     ext_all_categories, ext_url_subdomains, ext_titles_links, sel_preflight, sel_path_groups, sel_host_groups, sel_year_histogram, sel_day_density, sel_date_range, sel_exclude_keywords, sel_content_dedup, sel_month_collapse, sel_year_allocation, sel_evenly_by_year, sel_score_allocation, sel_full_selection,
-    fold_findings, fold_page_ids, rep_summary, rep_presence, rep_change_feed, rep_lanes, rep_category_rail, rep_co_occurrence, rep_top_links, rep_highlights, merge_analytics, search_bm25, search_accent_fold, search_postings, export_csv_rows, export_json, export_markdown,
+    fold_findings, fold_page_ids, rep_summary, rep_presence, rep_change_feed, rep_lanes, rep_category_rail, rep_co_occurrence, rep_top_links, rep_highlights, merge_analytics, search_bm25, search_accent_fold, search_postings, search_postings_turns, export_csv_rows, export_json, export_markdown,
     stream_running_counts, stream_windows, stream_sessions, stream_governor, ops_recent, ops_fair_queue, ops_latest_per_owner,
 )
 
@@ -386,6 +392,7 @@ SELECT page_seq, timestamp FROM r WHERE k <= 5 OR i IN (round_even(0 * (k - 1) /
         "rep_category_rail": f"{found} SELECT c.category, coalesce(n, 0) AS n FROM (VALUES ('titles'), ('links'), ('emails')) c(category) LEFT JOIN (SELECT category, count(*) AS n FROM f GROUP BY 1) x ON x.category = c.category",
         "rep_co_occurrence": f"{found} SELECT t.key AS title, count(*) AS links FROM f JOIN f t ON t.source_url = f.source_url AND t.category = 'titles' WHERE f.category = 'links' GROUP BY 1",
         "search_postings": "SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT conv_id, term, count(*) AS tf FROM (SELECT conv_id, unnest(regexp_extract_all(translate(lower(text), '" + search._ACCENTED + "', '" + search._PLAIN + "'), '[\\p{L}\\p{N}]+')) AS term FROM conversations WHERE turn = 0) GROUP BY ALL) GROUP BY term",
+        "search_postings_turns": "SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT conv_id, turn, term, count(*) AS tf FROM (SELECT conv_id, turn, unnest(regexp_extract_all(translate(lower(text), '" + search._ACCENTED + "', '" + search._PLAIN + "'), '[\\p{L}\\p{N}]+')) AS term FROM conversations) GROUP BY ALL) GROUP BY term",
         "export_csv_rows": f"{found} SELECT category, key AS value, first_seen, last_seen, occurrences, source_url AS source FROM f WHERE key <> ''",
         "stream_running_counts": "SELECT event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1",
         "stream_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n FROM events GROUP BY ALL",
