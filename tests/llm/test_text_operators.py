@@ -121,6 +121,37 @@ def test_decontamination_equals_brute_force(spark):
     assert kept.count() == len(rows) - len([r for r in rows if r[0] in {d for d, _ in want}])
 
 
+def test_decontamination_tries_every_start(spark):
+    rng = random.Random(17)
+    items = [(k, words(rng, 60 if k % 2 else 33)) for k in range(6)]
+    rows = []
+    for n in range(60):
+        w = items[n % 6][1].split(" ")
+        at = rng.randrange(25, len(w) - 5) if n % 3 else len(w) // 2
+        moved = w[at:] + w[:at] if n % 2 else w[: at - 6] + w[at:] + w[at - 6 : at]
+        left, right = rng.choice((0, 20)), rng.choice((0, 20))
+        body = [*words(rng, left).split(" ")] * (left > 0) + moved[rng.randrange(3) :] + words(rng, right).split(" ") * (right > 0)
+        rows.append((n, " ".join(body), "en"))
+    swapped = items[1][1].split(" ")
+    rows.append((100, words(rng, 40) + " " + " ".join(swapped[30:] + swapped[:30]) + " " + words(rng, 40), "en"))
+    rows.append((101, " ".join(["again"] * 70), "en"))
+    items.append((7, " ".join(["again"] * 40)))
+    want = {}
+    cut = lambda text: [tuple(w[i : i + 5]) for w in [text.split(" ")] for i in range(len(w) - 4)]
+    for i, text, _ in rows:
+        hs = cut(text)
+        for item, body in items:
+            its = cut(body)
+            for start in range(1 - len(its), len(hs)):
+                common, union = _multiset_similarity(hs[max(0, start) : start + len(its)], its)
+                if 100 * common >= 80 * union:
+                    n, best = want.get((i, item), (0, (0, 0)))
+                    want[i, item] = n + 1, max(best, (common / union, -max(start, 0)))
+    found = decontaminate.contaminations(docs(spark, rows).repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert (100, 1) in want and (101, 7) in want and len(want) > 20
+    assert {(r.doc_id, r.item_id): (r.n_windows, (r.similarity, -r.first_word)) for r in found} == want
+
+
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 

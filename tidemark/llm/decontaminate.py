@@ -1,11 +1,13 @@
 """Operator 5: benchmark decontamination by item-sized SimHash windows (DataFrame functions only).
 
-A window of a document has as many words as a benchmark item. Windows are taken
-wherever a document's shingle stands in an item, aligned with it. Each window and
-each item has a 128-bit SimHash of its weighted shingles; 32 blocks of four bits
-index the fingerprints, so all pairs within a Hamming distance of 31 share a block
-and are found. Candidates are verified by the exact weighted Jaccard similarity of
-their shingles, a shingle weighing as often as it occurs.
+A window of a document has as many words as a benchmark item. Every start of every
+item length is considered; a window is left out only where it holds too few shingles
+of that length's items for any of them to reach the similarity, whatever their order,
+so none that could match is lost. Each window and each item has a 128-bit SimHash of
+its weighted shingles; 32 blocks of four bits index the fingerprints, so all pairs
+within a Hamming distance of 31 share a block and are found. Candidates are verified
+by the exact weighted Jaccard similarity of their shingles, a shingle weighing as
+often as it occurs.
 """
 
 from __future__ import annotations
@@ -79,6 +81,29 @@ def _distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
+def _least(percent: int, own: Column, size: Column) -> Column:
+    """The shingles that a window of ``own`` shingles must share with an item of ``size`` to reach ``percent``."""
+    return F.ceil(percent * (own + size) / F.lit(100 + percent)).cast("int")
+
+
+def _starts(places: Column, size: Column, percent: int) -> Column:
+    """(start, whole) of every window of ``size`` shingles that can match, from the sorted places of items' shingles.
+
+    At a text's ends a window may be cut to ``percent`` percent; ``whole`` says that it
+    holds enough of the places for one that is not cut. Each start is given once, by
+    the first place in its window.
+    """
+    least = F.ceil(percent * size / F.lit(100)).cast("int")
+    full = _least(percent, size, size)
+
+    def of(first: Column, i: Column) -> Column:
+        low = F.greatest(F.get(places, i + least - 1) - size + 1, F.coalesce(F.get(places, i - 1) + 1, -size))
+        each = lambda start: F.struct(start.alias("start"), F.coalesce(F.get(places, i + full - 1) < start + size, F.lit(False)).alias("whole"))
+        return F.when(low <= first, F.transform(F.sequence(low, first), each)).otherwise(F.array().cast("array<struct<start:int,whole:boolean>>"))
+
+    return F.flatten(F.transform(F.slice(places, F.lit(1), F.greatest(F.size(places) - least + 1, F.lit(0))), of))
+
+
 def contaminations(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """(doc_id, same, item_id, n_windows, first_word, similarity): documents that hold an item.
 
@@ -94,23 +119,25 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT
       and text are one document; other columns are ignored; empty tables give no rows.
     """
     items = materialise(items_of(benchmark))
-    index = items.select("m", F.posexplode("hs").alias("q", "h")).distinct()
+    index = items.select("m", F.explode("hs").alias("h")).distinct()
     small = index.count() <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda df: df)
     text = F.col("text").cast("string")
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("same"), shingles_of(words_of(text), width).alias("hs"))
 
-    # windows: where a shingle of the text stands in an item, aligned with it
+    # windows: every start with enough shingles of a length's items, in any order
     placed = hashed.select("doc_id", "same", F.posexplode_outer("hs").alias("p", "h")).where("h is not null")  # outer: no filter that computes hs again
-    windows = placed.join(hint(index), "h").select("doc_id", "same", (F.col("p") - F.col("q")).alias("start"), "m").distinct()
-    windows = materialise(windows)
+    size = F.greatest(F.col("m") - width + 1, F.lit(1))
+    held = placed.join(hint(index), "h").groupBy("doc_id", "same", "m").agg(F.collect_set("p").alias("ps")).where(100 * F.size("ps") >= percent * size)
+    windows = held.select("doc_id", "same", "m", let(F.array_sort("ps"), lambda ps: _starts(ps, size, percent)).alias("starts"))
+    windows = materialise(windows.where("size(starts) > 0"))
     owners = windows.select(F.col("doc_id").alias("d"), F.col("same").alias("s")).distinct()
     theirs = hashed.join(owners, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("same") == F.col("s")), "left_semi").dropDuplicates(["doc_id", "same"])
-    own = windows.groupBy("doc_id", "same").agg(F.collect_set(F.struct("start", "m")).alias("spans"))
-    own = own.withColumnsRenamed({"doc_id": "d", "same": "s"})
-    cut = theirs.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("same") == F.col("s"))).select("doc_id", "same", "hs", F.explode("spans").alias("w"))
-    first, last = F.greatest(F.col("w.start"), F.lit(0)), F.least(F.col("w.start") + F.greatest(F.col("w.m") - width + 1, F.lit(1)), F.size("hs"))
-    cut = materialise(cut.select("doc_id", "same", F.col("w.start").alias("start"), F.col("w.m").alias("m"), F.array_sort(F.slice("hs", first + 1, last - first)).alias("ws")))
+    own = windows.withColumnsRenamed({"doc_id": "d", "same": "s"})
+    cut = theirs.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("same") == F.col("s"))).select("doc_id", "same", "hs", "m", F.explode("starts").alias("w"))
+    cut = cut.where(F.col("w.whole") | (F.col("w.start") < 0) | (F.col("w.start") + size > F.size("hs")))
+    first, last = F.greatest(F.col("w.start"), F.lit(0)), F.least(F.col("w.start") + size, F.size("hs"))
+    cut = materialise(cut.select("doc_id", "same", F.col("w.start").alias("start"), "m", F.array_sort(F.slice("hs", first + 1, last - first)).alias("ws")))
 
     # equal windows share one fingerprint, one search and one verification
     shapes = materialise(cut.select("m", "ws").distinct().withColumn("shape", F.xxhash64("m", "ws")))
