@@ -207,6 +207,23 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(docs(spark, EDGES).limit(0)).count() == 0
 
 
+def test_line_dedup_removes_passages_of_short_lines(spark):
+    rng = random.Random(23)
+    rows, passages, firsts = [], {}, {}
+    for number, (lines, size) in enumerate([(4, 13), (5, 11), (6, 9), (4, 15), (7, 8)] * 6):
+        passage = passages[number] = "\n".join(words(rng, size) for _ in range(lines))
+        for k in range(10):
+            around = [words(rng, rng.randrange(3, 14)) for _ in range(4)]
+            rows.append((1000 * number + k, "\n".join([*around[:2], passage, *around[2:]]), "en"))
+            firsts[1000 * number + k] = "\n".join(around)
+    got = {r.doc_id: r for r in line_dedup.line_dedup(docs(spark, rows).repartition(4)).collect()}
+    for i, text, _ in rows:
+        if i % 1000:
+            assert got[i].text == firsts[i] and got[i].removed > 0
+        else:
+            assert got[i].text == text and got[i].removed == 0
+
+
 def test_line_dedup_compares_bytes(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
     rows = [(1, "a " * 40, "en"), (2, "b " * 40, "en"), (3, "a " * 40, "en")]

@@ -3,8 +3,10 @@
 Lines are grouped into content-defined chunks: rolling hashes over line hashes
 choose the boundaries, so an insertion shifts none beyond its neighbourhood.
 Chunks whose hash occurs more than once are compared byte for byte with the first
-occurrence; runs of repeated chunks that are long enough are removed everywhere
-but at their first place.
+occurrence. A passage's edge lines may hide in a chunk with an unrelated neighbour, so
+neighbouring lines, of which at least one is short, are compared in pairs too: they
+extend a run line by line. Runs of repeated lines that are long enough are removed
+everywhere but at their first place.
 """
 
 from __future__ import annotations
@@ -25,9 +27,12 @@ WINDOW = 1
 ONE_IN = 2
 #: A line of at least so many words is a chunk of its own.
 LONG_LINE = 16
-#: A run of repeated chunks goes if it has at least so many words.
+#: A run of repeated lines goes if it has at least so many words.
 MIN_WORDS = 30
 
+#: Places from here on are pairs of lines, those below are chunks.
+_PAIRS = 1 << 30
+_SEED_PAIR = np.uint64(0x9E6C63D0876A9A35)
 _SEED_AFTER, _SEED_BEFORE = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -45,15 +50,14 @@ def _rolling(line_hash: np.ndarray, row: np.ndarray, window: int, seed: np.uint6
     return mix(total ^ seed)
 
 
-def chunk_spans(data: np.ndarray, offsets: np.ndarray, window: int, one_in: int, long_line: int) -> tuple[np.ndarray, ...]:
-    """(row, start, end, words) of every chunk; a chunk's bytes include its line ends."""
-    n_rows = len(offsets) - 1
+def line_spans(data: np.ndarray, offsets: np.ndarray, window: int, one_in: int, long_line: int) -> tuple[np.ndarray, ...]:
+    """(row, start, end, words, fresh) of every line; ``fresh`` lines begin a chunk, bytes include the line end."""
     newline = np.flatnonzero(data == 10) + 1
     sizes = np.diff(offsets)
     starts = np.unique(np.concatenate((offsets[:-1][sizes > 0], newline[newline < len(data)])))
     if not len(starts):
         z = np.zeros(0, np.int64)
-        return z, z, z, z
+        return z, z, z, z, z.astype(bool)
     row = np.searchsorted(offsets, starts, "right") - 1
     ends = np.minimum(np.concatenate((starts[1:], [len(data)])), offsets[row + 1])
     bare = ends - (data[ends - 1] == 10)
@@ -65,11 +69,23 @@ def chunk_spans(data: np.ndarray, offsets: np.ndarray, window: int, one_in: int,
     long = words >= long_line
     fresh = np.ones(len(starts), bool)
     fresh[1:] = (row[1:] != row[:-1]) | after[:-1] | before[1:] | long[:-1] | long[1:]
+    return row, starts, ends, words, fresh
+
+
+def _chunks_of(row: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, start, end, words) of every chunk of the lines."""
+    if not len(starts):
+        return row, starts, ends, words
     first = np.flatnonzero(fresh)
     last = np.concatenate((first[1:], [len(starts)])) - 1
     return row[first], starts[first], ends[last], np.add.reduceat(words, first)
 
 
+def chunk_spans(data: np.ndarray, offsets: np.ndarray, window: int, one_in: int, long_line: int) -> tuple[np.ndarray, ...]:
+    """(row, start, end, words) of every chunk; a chunk's bytes include its line ends."""
+    return _chunks_of(*line_spans(data, offsets, window, one_in, long_line))
+
+
 def _content(data: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Where a chunk ends without its last line end."""
     return end - (data[end - 1] == 10)
@@ -83,10 +99,16 @@ def _chunks(window: int, one_in: int, long_line: int, with_text: bool):
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = buffers(part.column("text"))
-                row, start, end, words = chunk_spans(data, offsets, window, one_in, long_line)
-                stop = _content(data, end)
-                key = span_hashes(data, start, stop)
-                place = np.arange(len(row)) - np.searchsorted(row, row)
+                lines = line_spans(data, offsets, window, one_in, long_line)
+                row, start, end, words = _chunks_of(*lines)
+                line_row, line_start, line_end, line_words, _ = lines
+                # two long neighbours are chunks of their own already
+                two = np.flatnonzero((line_row[1:] == line_row[:-1]) & ((line_words[1:] < long_line) | (line_words[:-1] < long_line)))
+                pair_stop = _content(data, line_end[two + 1])
+                key = np.concatenate((span_hashes(data, start, _content(data, end)), mix(span_hashes(data, line_start[two], pair_stop) ^ _SEED_PAIR)))
+                place = np.concatenate((np.arange(len(row)) - np.searchsorted(row, row), _PAIRS + two - np.searchsorted(line_row, line_row[two])))
+                row, start, stop = np.concatenate((row, line_row[two])), np.concatenate((start, line_start[two])), np.concatenate((_content(data, end), pair_stop))
+                words = np.concatenate((words, line_words[two] + line_words[two + 1]))
                 take = pa.array(row)
                 out = [pa.array(key.view(np.int64)), part.column("doc_id").take(take), part.column("same").take(take), pa.array(place.astype(np.int32)), pa.array(words.astype(np.int32))]
                 if with_text:
@@ -101,9 +123,11 @@ def _cut(window: int, one_in: int, long_line: int, min_words: int):
     def clean(text: str, marked: list[int]) -> tuple[str, int]:
         raw = text.encode()
         data = np.frombuffer(raw, np.uint8)
-        _, start, end, words = chunk_spans(data, np.array([0, len(data)]), window, one_in, long_line)
-        hit = np.zeros(len(start), bool)
-        hit[marked] = True
+        _, start, end, words, fresh = line_spans(data, np.array([0, len(data)]), window, one_in, long_line)
+        chunk, places = np.cumsum(fresh) - 1, np.asarray(marked)
+        hit = np.isin(chunk, places[places < _PAIRS])
+        first = places[places >= _PAIRS] - _PAIRS
+        hit[first] = hit[first + 1] = True
         edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
         keep = np.ones(len(start), bool)
         for a, b in zip(edge[::2], edge[1::2], strict=True):
@@ -114,7 +138,7 @@ def _cut(window: int, one_in: int, long_line: int, min_words: int):
         left = b"".join(raw[a:b] for a, b, k in zip(start.tolist(), end.tolist(), keep, strict=True) if k)
         if not keep[-1] and left.endswith(b"\n") and not raw.endswith(b"\n"):
             left = left[:-1]
-        return left.decode(), int((~keep).sum())
+        return left.decode(), len(np.unique(chunk[~keep]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,10 +159,12 @@ def line_dedup(docs: DataFrame, window: int = WINDOW, one_in: int = ONE_IN, long
 
     ``keep`` names further columns of ``docs`` to return as they are.
 
-    Of equal chunks the first by (doc_id, text hash, place) stays; nulls sort last.
-    A run of neighbouring later occurrences is removed if it has ``min_words`` words.
+    Of equal chunks, and of equal pairs of lines, the first by (doc_id, text hash, place)
+    stays; nulls sort last. A run of lines in later occurrences is removed if it has
+    ``min_words`` words. The first occurrence of a line is in no later one, so it stays.
 
-    * null text stays null, an empty one empty; ``removed`` counts chunks (0 there);
+    * null text stays null, an empty one empty; ``removed`` counts chunks that lost a
+      line (0 there);
     * rows equal in doc_id and text are one document: all keep or lose the same;
       rows that share only the doc_id are different documents;
     * a null doc_id takes part like any other; other columns are ignored;
