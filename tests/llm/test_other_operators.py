@@ -1,5 +1,7 @@
 """Operators 1, 2, 4, 8 and 10."""
 
+import collections
+import itertools
 import random
 import re
 
@@ -86,6 +88,24 @@ def test_mined_rules_have_their_confidence(spark):
     assert all(c >= 0.9 for _, c, _ in rules) and not any(set(a) > {"p:casino"} and b <= 40 / 41 for a, b, _ in rules)
 
 
+def test_mining_equals_brute_force(spark):
+    rng = random.Random(12)
+    rows = [([f"p:{i}", f"h:{i % 3}"], True) for i in range(400) for _ in range(3)]
+    rows += [([f"q:{j}" for j in range(20) if rng.random() < 0.7], rng.random() < 0.5) for _ in range(120)]
+    rows += [([f"h:{i % 3}", f"p:{i}"], False) for i in range(0, 40)]
+    totals, hits = collections.Counter(), collections.Counter()
+    for tokens, blocked in rows:
+        for size in (1, 2, 3):
+            for p in itertools.combinations(sorted(tokens), size):
+                totals[p] += 1
+                hits[p] += blocked
+    good = {p: k / totals[p] for p, k in hits.items() if k >= 0.002 * len(rows) and k / totals[p] >= 0.7}
+    want = {p: c for p, c in good.items() if not any(good.get(q, -1) >= c for size in range(1, len(p)) for q in itertools.combinations(p, size))}
+    rules = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean").repartition(3), 0.002, 0.7)
+    assert {tuple(p): (c, s) for p, c, s in rules} == {p: (c, hits[p] / len(rows)) for p, c in want.items()}
+    assert len({t for p, _, _ in rules for t in p}) > 256 and max(map(len, want)) == 3
+
+
 def test_license_scan_equals_brute_force(spark):
     rng = random.Random(8)
     phrases = [p for p, _ in license_scan.BASE]

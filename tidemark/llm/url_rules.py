@@ -1,18 +1,21 @@
 """Operator 2: URL filtering with given host/path rules and mined association rules.
 
 The labels are whether a given rule blocks a URL; URLs that no rule decides count
-against a combination. FP-growth mines the token combinations of the labelled
-URLs; those whose confidence for ``block`` and whose support suffice become rules,
+against a combination. Pattern growth mines the token combinations of the labelled
+URLs: as FP-growth finds them, but a pattern stops growing at ``MAX_RULE`` tokens, which
+Spark's cannot, so that long URLs enter whole. Those whose confidence for ``block`` and whose support suffice become rules,
 and an inverted index from each rule's rarest token finds the rules that a URL
 fulfils.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +24,9 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.9
 MAX_RULE = 3
-MAX_TOKENS = 256
-MAX_ITEMS = 12
-MAX_RULES = 10_000
 MAX_FIT_URLS = 1_000_000
-_BLOCK = "label=block"
+#: Patterns that a task counts before it hands the counts on.
+_HELD = 200_000
 
 
 def with_parts(pages: DataFrame) -> DataFrame:
@@ -56,13 +57,45 @@ def tokens() -> Column:
     return F.array_distinct(F.concat(host, F.transform(words, lambda x: F.concat(F.lit("p:"), x)), F.transform(keys, lambda x: F.concat(F.lit("q:"), x))))
 
 
+def _patterns(own: list[str], known: set[tuple[str, ...]], size: int) -> list[tuple[str, ...]]:
+    """The patterns of ``size`` tokens of ``own`` (sorted) whose parts of one token less are all in ``known``."""
+    level = [(t,) for t in own]
+    for k in range(1, size):
+        level = [(*p, t) for p in level if p in known for t in own if t > p[-1] and all((*p[:i], *p[i + 1 :], t) in known for i in range(k))]
+    return level
+
+
+def _counts(rows: DataFrame, known: set[tuple[str, ...]], sizes: range, closed: bool) -> DataFrame:
+    """(items, n): how many of ``rows(tokens)`` hold each pattern of one of ``sizes`` grown from ``known`` (``closed``: that is in it)."""
+    held = rows.sparkSession.sparkContext.broadcast(known)
+
+    def table(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(map(list, counts)), pa.list_(pa.string())), pa.array(list(counts.values()), pa.int64())], names=["items", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            baskets = Counter(tuple(sorted(t for t in set(row or ()) if (t,) in held.value)) for row in batch.column("tokens").to_pylist())
+            for own, times in baskets.items():
+                for size in sizes:
+                    for p in _patterns(own, held.value, size):
+                        if not closed or p in held.value:
+                            counts[p] += times
+                if len(counts) > _HELD:
+                    yield table(counts)
+                    counts.clear()
+        yield table(counts)
+
+    return rows.select("tokens").mapInArrow(run, "items array<string>, n long").groupBy("items").agg(F.sum("n").alias("n"))
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_fit_urls: int = MAX_FIT_URLS) -> list[tuple[list[str], float, float]]:
     """(tokens, confidence, support) of the rules for ``block`` in ``labelled(tokens, blocked)``.
 
-    Fitted on about ``max_fit_urls`` rows, taken by a hash of the tokens; a URL enters
-    with its ``MAX_ITEMS`` most telling of the ``MAX_TOKENS`` most telling tokens. A rule
-    that contains another of at least its confidence is dropped. No blocked or no
-    allowed row: no rules.
+    Fitted on about ``max_fit_urls`` rows, taken by a hash of the tokens; every row
+    enters with all its tokens, and every combination of up to ``MAX_RULE`` tokens
+    that reaches the support and the confidence is a rule, unless it contains another
+    of at least its confidence. No blocked or no allowed row: no rules.
     """
     n, blocked = labelled.agg(F.count("*"), F.count_if("blocked")).first()
     if not blocked or blocked == n:
@@ -70,23 +103,30 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     sample = labelled
     if n > max_fit_urls:
         sample = labelled.where(F.pmod(F.xxhash64("tokens", "blocked"), F.lit(1_000_000)) < int(1_000_000 * max_fit_urls / n))
-    stats = sample.select(F.explode("tokens").alias("token"), "blocked").groupBy("token").agg(F.count("*").alias("n"), F.count_if("blocked").alias("b"))
-    telling = F.abs(F.col("b") / F.lit(blocked) - (F.col("n") - F.col("b")) / F.lit(n - blocked))
-    vocabulary = [r.token for r in stats.where(F.col("n") >= min_support * min(n, max_fit_urls)).orderBy(F.desc(telling), "token").limit(MAX_TOKENS).collect()]
-    if not vocabulary:
+        n = sample.count()
+    least = max(math.ceil(min_support * n), 1)
+    bad = sample.where("blocked")
+    # a rule's every part is as frequent among the blocked rows as the rule itself
+    singles = bad.select(F.explode(F.array_distinct("tokens")).alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    hits = {(r.t,): r.n for r in singles.collect()}
+    for size in range(2, MAX_RULE + 1):
+        grown = _counts(bad, set(hits), range(size, size + 1), False).where(F.col("n") >= least).collect()
+        hits |= {tuple(r["items"]): r.n for r in grown}
+        if not grown:
+            break
+    if not hits:
         return []
-    items = F.slice(F.array_intersect(F.array(*map(F.lit, vocabulary)), "tokens"), 1, MAX_ITEMS)
-    baskets = sample.select(F.when(F.col("blocked"), F.concat(items, F.array(F.lit(_BLOCK)))).otherwise(items).alias("items"))
-    frequent = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).freqItemsets
-    frequent = frequent.where(F.size("items") <= MAX_RULE + 1).select(F.array_sort(F.array_remove("items", _BLOCK)).alias("items"), F.array_contains("items", _BLOCK).alias("block"), "freq").where(F.size("items") > 0)
-    rules = frequent.where("block").select("items", F.col("freq").alias("hits")).join(frequent.where("not block and size(items) <= " + str(MAX_RULE)), "items")
-    rules = rules.select("items", (F.col("hits") / F.col("freq")).alias("confidence"), (F.col("hits") / n).alias("support")).where(F.col("confidence") >= min_confidence)
-    found = rules.orderBy(F.size("items"), F.desc("confidence"), F.desc("support"), "items").limit(MAX_RULES).collect()
-    kept: list[tuple[list[str], float, float]] = []
-    for r in found:
-        if not any(c >= r.confidence and set(k) <= set(r["items"]) for k, c, _ in kept):
-            kept.append((list(r["items"]), r.confidence, r.support))
-    return kept
+    total = {tuple(r["items"]): r.n for r in _counts(sample, set(hits), range(1, MAX_RULE + 1), True).collect()}
+    rules = [(p, k / total[p], k / n) for p, k in hits.items() if k / total[p] >= min_confidence]
+    rules.sort(key=lambda r: (len(r[0]), -r[1], -r[2], r[0]))
+    kept: dict[tuple[str, ...], float] = {}
+    out = []
+    for p, confidence, support in rules:
+        parts = (q for size in range(1, len(p)) for q in itertools.combinations(p, size))
+        if all(kept.get(q, -1.0) < confidence for q in parts):
+            kept[p] = confidence
+            out.append((list(p), confidence, support))
+    return out
 
 
 def match(pages: DataFrame, rules: list[tuple[list[str], float, float]]) -> DataFrame:
