@@ -153,6 +153,15 @@ def test_secret_scan(spark):
     assert secret_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_dictionary_counts_every_document(spark):
+    rows = [(i, "common words" + (" seldom" if i % 50 == 0 else "") + (" never" if i == 7 else "")) for i in range(6000)]
+    rows += [(6000 + i, f"x{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100 % 6]}") for i in range(600)]
+    rows += [(8000 + i, " ".join("".join("bcdfghjklm"[int(c)] for c in f"{w:04d}") for w in range(3200))) for i in range(70)]
+    triples = secret_scan.dictionary(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert {"com", "sel", "dom"} <= set(triples) and "nev" not in triples and "xak" not in triples
+    assert len([t for t in triples if set(t) <= set("bcdfghjklm")]) >= 1000  # more words than any fixed number of 3000
+
+
 def brute_nearest(ids, vectors, k):
     out = []
     for i in range(len(ids)):

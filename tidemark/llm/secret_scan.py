@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.native import let
 
 MIN_LENGTH = 16
-#: Bounds of what the dictionary and the forest are fitted on (rows, taken by a hash).
-MAX_DICTIONARY_DOCS = 5_000
+#: Bound of what the forest is fitted on (rows, taken by a hash).
 MAX_FIT_FINDINGS = 20_000
-DICTIONARY_WORDS = 3_000
+#: A word is in the dictionary if at least this share of all documents holds it.
+DICTIONARY_SHARE = 0.01
 TREES, DEPTH, SEED = 20, 6, 17
 KEPT = 0.5
 #: Words that announce a secret, and well-known shapes of one.
@@ -47,13 +47,11 @@ def findings(docs: DataFrame, path: str = "source") -> DataFrame:
     return runs.select("doc_id", "same", "word", "run", "value", F.substring("w", F.lit(1), at - 1).alias("lead"), F.expr("substring(w, instr(w, value) + length(value))").alias("tail"), "before", "path")
 
 
-def dictionary(docs: DataFrame, max_docs: int = MAX_DICTIONARY_DOCS) -> list[str]:
-    """Letter triples of the words most documents share, from about ``max_docs`` documents."""
+def dictionary(docs: DataFrame, share: float = DICTIONARY_SHARE) -> list[str]:
+    """Letter triples of the words that at least ``share`` of all documents hold."""
     n = docs.count()
-    share = min(1.0, max_docs / n) if n else 0.0
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    words = sample.select(F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}{3,12}"), F.lit(0)))).alias("w"))
-    top = words.where("w is not null").groupBy("w").count().orderBy(F.desc("count"), "w").limit(DICTIONARY_WORDS)
+    words = docs.select(F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}{3,12}"), F.lit(0)))).alias("w"))
+    top = words.where("w is not null").groupBy("w").count().where(F.col("count") >= share * n)
     triples = top.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substring("w", i, F.lit(3)))).alias("t")).distinct()
     return sorted(r.t for r in triples.collect())
 
@@ -131,7 +129,8 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source
     :func:`weak_labels` of the findings serve. A null or empty text has no finding; a
     null doc_id is kept; repeated rows give repeated findings; a missing or null path
     is an empty one; other columns are ignored; an empty table gives no rows. The
-    dictionary and the forest are fitted on bounded samples, everything is judged.
+    dictionary counts all documents, the forest is fitted on a bounded sample, and
+    everything is judged.
     """
     found = with_features(findings(docs, path), dictionary(docs)).withColumn("shape", shape())
     forest = fit(weak_labels(found) if labelled is None else labelled)
