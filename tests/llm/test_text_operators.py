@@ -152,6 +152,12 @@ def test_decontamination_tries_every_start(spark):
     assert {(r.doc_id, r.item_id): (r.n_windows, (r.similarity, -r.first_word)) for r in found} == want
 
 
+def test_fingerprints_of_very_long_items(spark):
+    one = spark.range(70_000).select(F.lit(1).alias("k"), F.xxhash64(F.lit("shingle")).alias("h"))
+    many = decontaminate.fingerprints(one, "k").first().blocks
+    assert many == decontaminate.fingerprints(one.limit(1), "k").first().blocks and any(many)
+
+
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 

@@ -42,14 +42,13 @@ def shingles_of(words: Column, width: int = WIDTH) -> Column:
 
 
 def _lanes() -> list[Column]:
-    """Per block, sums of four bits in four 16-bit lanes, over rows of (h, g, times)."""
+    """Per block, two sums of two bits each in two 32-bit lanes, over rows of (h, g, times)."""
     out = []
     for k in range(BLOCKS):
-        nibble = F.shiftright("h" if k < 16 else "g", 4 * (k % 16)).bitwiseAND(F.lit(15).cast("long"))
-        spread = nibble.bitwiseAND(F.lit(1).cast("long"))
-        for j in (1, 2, 3):
-            spread = spread.bitwiseOR(F.shiftleft(nibble.bitwiseAND(F.lit(1 << j).cast("long")), 15 * j))
-        out.append(F.sum(spread).alias(f"lane{k}"))
+        for half in range(2):
+            bits = F.shiftright("h" if k < 16 else "g", 4 * (k % 16) + 2 * half)
+            spread = bits.bitwiseAND(F.lit(1).cast("long")).bitwiseOR(F.shiftleft(bits.bitwiseAND(F.lit(2).cast("long")), 31))
+            out.append(F.sum(spread).alias(f"lane{k}_{half}"))
     return out
 
 
@@ -59,7 +58,7 @@ def _nibbles() -> Column:
     for k in range(BLOCKS):
         value = F.lit(0)
         for j in range(4):
-            count = F.shiftrightunsigned(f"lane{k}", 16 * j).bitwiseAND(F.lit(0xFFFF).cast("long"))
+            count = F.shiftrightunsigned(f"lane{k}_{j // 2}", 32 * (j % 2)).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
             value = value + F.when(2 * count > F.col("weight"), 1 << j).otherwise(0)
         blocks.append(value)
     return F.array(*blocks)
