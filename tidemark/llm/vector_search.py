@@ -5,7 +5,7 @@ x' = (x, sqrt(M^2 - |x|^2)) and q' = (q, 0) give |q' - x'|^2 = |q|^2 + M^2 - 2 q
 Rows are dealt to shards of bounded size by a hash, each shard builds one tree,
 and blocks of queries meet every shard. A subtree is skipped where the triangle
 inequality's lower bound, times ``factor``, exceeds the k-th distance so far;
-factor 1 is exact, a larger one prunes more.
+factor 1 is exact, ties included, a larger one prunes more.
 """
 
 from __future__ import annotations
@@ -20,12 +20,15 @@ from pyspark.sql import functions as F
 
 K = 20
 QUERY_STEP = 20
-SHARD_ROWS = 4096
-BLOCK_ROWS = 512
-LEAF = 256
-FACTOR = 2.0
-#: Places kept beyond k while searching, for scores that differ by rounding only.
-MARGIN = 12
+#: Rows of a shard and of a query block at most (on average: both are dealt by a hash).
+SHARD_ROWS = 65_536
+BLOCK_ROWS = 16_384
+#: Small tables get up to so many shards of at least so many rows, for parallel work.
+SPREAD, SPREAD_ROWS = 16, 1024
+LEAF = 128
+FACTOR = 1.5
+#: Fixed value: relative error that fast products and distances stay below.
+SLACK = 1e-13
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -72,27 +75,33 @@ class Tree:
     def search(self, own: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query place, id, score) of each query's k nearest entries, itself left out.
 
-        The search ranks distinct vectors by fast products and keeps a margin; the
-        kept ones are scored exactly, spread to their ids and ranked again.
+        Fast products choose what is scored exactly; of that the ``k + 1`` best
+        entries by (score, smallest id) stay. No answer needs another: each of them
+        gives an id that precedes all ids of the entries left out.
         """
-        n, keep = len(queries), k + 1 + MARGIN
-        best = np.full((n, keep), -np.inf)
-        which = np.full((n, keep), -1)
+        n, keep = len(queries), k + 1
+        score = np.full((n, keep), -np.inf)
+        entry = np.full((n, keep), -1)
         base = (queries**2).sum(1) + self.norm2
+        near = SLACK * base
+        lowest = self.ids[np.searchsorted(self.entry, np.arange(len(self.vectors)))] if len(self.vectors) else self.ids
 
         def leaf(q: np.ndarray, at: np.ndarray) -> None:
-            score = queries[q] @ self.vectors[at].T
-            useful = score.max(1) > best[q, -1]
-            q, score = q[useful], score[useful]
-            if not len(q):
-                return
-            all_score = np.concatenate((best[q], score), 1)
-            top = np.argpartition(-all_score, keep - 1, axis=1)[:, :keep] if all_score.shape[1] > keep else np.broadcast_to(np.arange(all_score.shape[1]), all_score.shape)
-            score = np.take_along_axis(all_score, top, 1)
-            order = np.argsort(-score, axis=1)
-            top = np.take_along_axis(top, order, 1)
-            best[q] = np.take_along_axis(score, order, 1)
-            which[q] = np.take_along_axis(np.concatenate((which[q], np.broadcast_to(at, (len(q), len(at)))), 1), top, 1)
+            fast = queries[q] @ self.vectors[at].T
+            least = score[q, -1]
+            if len(at) > keep:
+                least = np.maximum(least, np.partition(fast, len(at) - keep, axis=1)[:, len(at) - keep])
+            place, column = np.nonzero(fast >= (least - near[q])[:, None])
+            touched = np.unique(place)
+            held = q[touched]
+            fresh = exact(queries[q[place]], self.vectors[at[column]])
+            row = np.concatenate((np.repeat(np.arange(len(held)), keep), np.searchsorted(touched, place)))
+            all_score = np.concatenate((score[held].ravel(), fresh))
+            all_entry = np.concatenate((entry[held].ravel(), at[column]))
+            order = np.lexsort((lowest[all_entry], -all_score, row))
+            order = order[np.arange(len(row)) - np.searchsorted(row[order], row[order]) < keep]
+            score[held] = all_score[order].reshape(-1, keep)
+            entry[held] = all_entry[order].reshape(-1, keep)
 
         def visit(node, q: np.ndarray) -> None:
             if isinstance(node, int):
@@ -104,18 +113,17 @@ class Tree:
             for ahead, children in ((True, ((inner, a, b), (outer, c, d))), (False, ((outer, c, d), (inner, a, b)))):
                 mine, gap = q[near_first == ahead], far[near_first == ahead]
                 for child, low, high in children if len(mine) else ():
-                    kth = best[mine, k]  # one place more than k: the query itself may be among them
-                    reach = np.sqrt(np.maximum(base[mine] - 2 * np.where(np.isinf(kth), 0, kth), 0))
-                    bound = np.maximum(np.maximum(gap - high, low - gap), 0)
-                    asked = mine[np.isinf(kth) | (bound * factor <= reach * (1 + 1e-9) + 1e-12)]
+                    kth = score[mine, k]  # one place more than k: the query itself may be among them
+                    reach = np.sqrt(np.maximum(base[mine] - 2 * np.where(np.isinf(kth), 0, kth), 0) + near[mine])
+                    bound = np.maximum(gap - high, low - gap) - np.sqrt(near[mine])
+                    asked = mine[np.isinf(kth) | (bound * factor <= reach)]
                     if len(asked):
                         visit(child, asked)
 
         if self.root is not None:
             visit(self.root, np.arange(n))
-        place, column = np.nonzero(which >= 0)
-        entry = which[place, column]
-        score = exact(queries[place], self.vectors[entry])
+        place, column = np.nonzero(entry >= 0)
+        entry, score = entry[place, column], score[place, column]
         first = np.searchsorted(self.entry, np.arange(len(self.vectors) + 1))
         size = np.diff(first)[entry]
         rows = np.repeat(first[entry] - (np.cumsum(size) - size), size) + np.arange(size.sum())
@@ -163,18 +171,23 @@ def nearest(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, factor
     vector of the same dimension is a candidate. Score is the inner product in
     double precision; ties go to the smaller vec_id. A null, empty or zero vector,
     one with a null, NaN or infinite component, and a row without vec_id take no
-    part; rows that repeat both vec_id and vector count once; other columns are
-    ignored; an empty table gives no rows. Fewer candidates than ``k`` are all
-    returned.
+    part; of rows that share a vec_id the one with the smallest vector counts; other
+    columns are ignored; an empty table gives no rows. Fewer candidates than ``k``
+    are all returned.
+
+    A tree is sent once for every ``block_rows`` queries and a query once for every
+    shard, so both are large: what is shuffled is the table and its queries some
+    times over, and a task holds one tree and one block.
     """
     v = F.col("v")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    rows = rows.where(F.col("vec_id").isNotNull() & sound).withColumn("dim", F.size("v")).distinct()
+    rows = rows.where(F.col("vec_id").isNotNull() & sound).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
     is_query = F.pmod("vec_id", F.lit(query_step)) == 0
     power = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     facts = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(is_query).alias("asked"), F.max(power).alias("norm2"))
-    facts = facts.select("dim", "norm2", F.ceil(F.col("n") / shard_rows).alias("shards"), F.greatest(F.ceil(F.col("asked") / block_rows), F.lit(1)).alias("blocks"))
+    shards = F.greatest(F.ceil(F.col("n") / shard_rows), F.least(F.ceil(F.col("n") / min(SPREAD_ROWS, shard_rows)), F.lit(SPREAD)))
+    facts = facts.select("dim", "norm2", shards.alias("shards"), F.greatest(F.ceil(F.col("asked") / block_rows), F.lit(1)).alias("blocks"))
     rows = rows.join(F.broadcast(facts), "dim")  # a row for each dimension that occurs
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")))
     trees = dealt.select("dim", "shard", "norm2", "vec_id", "v").groupBy("dim", "shard").applyInArrow(_plant(k), "dim int, shard long, tree binary")
