@@ -1,11 +1,12 @@
 """Operator 2: URL filtering with given host/path rules and mined association rules.
 
-The labels are whether a given rule blocks a URL; URLs that no rule decides count
-against a combination. Pattern growth mines the token combinations of the labelled
-URLs: as FP-growth finds them, but a pattern stops growing at ``MAX_RULE`` tokens, which
-Spark's cannot, so that long URLs enter whole. Those whose confidence for ``block`` and whose support suffice become rules,
-and an inverted index from each rule's rarest token finds the rules that a URL
-fulfils.
+The labels are the verdicts of the given rules; URLs that no given rule decides have
+none and take no part in mining, but are judged by what it finds. Pattern growth mines
+the token combinations of the labelled URLs: as FP-growth finds them, but a pattern
+stops growing at ``MAX_RULE`` tokens, which Spark's cannot, so that long URLs enter
+whole. Combinations whose confidence for ``block`` or for ``allow`` and whose support
+suffice become rules, and an inverted index from each rule's rarest token finds the
+rules that a URL fulfils. The most confident of them decides.
 """
 
 from __future__ import annotations
@@ -97,6 +98,11 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     that reaches the support and the confidence is a rule, unless it contains another
     of at least its confidence. No blocked or no allowed row: no rules.
     """
+    return [(items, confidence, support) for items, confidence, support, verdict in rules_of(labelled, min_support, min_confidence, max_fit_urls) if verdict == "block"]
+
+
+def rules_of(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_fit_urls: int = MAX_FIT_URLS) -> list[tuple[list[str], float, float, str]]:
+    """(tokens, confidence, support, verdict): as :func:`mine`, for both verdicts."""
     n, blocked = labelled.agg(F.count("*"), F.count_if("blocked")).first()
     if not blocked or blocked == n:
         return []
@@ -105,12 +111,16 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         sample = labelled.where(F.pmod(F.xxhash64("tokens", "blocked"), F.lit(1_000_000)) < int(1_000_000 * max_fit_urls / n))
         n = sample.count()
     least = max(math.ceil(min_support * n), 1)
-    bad = sample.where("blocked")
-    # a rule's every part is as frequent among the blocked rows as the rule itself
-    singles = bad.select(F.explode(F.array_distinct("tokens")).alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return [(*r, verdict) for verdict, own in (("block", sample.where("blocked")), ("allow", sample.where("not blocked"))) for r in _grown(own, sample, n, least, min_confidence)]
+
+
+def _grown(own: DataFrame, sample: DataFrame, n: int, least: int, min_confidence: float) -> list[tuple[list[str], float, float]]:
+    """(tokens, confidence, support) of the rules for the verdict whose rows are ``own``, among ``sample``."""
+    # a rule's every part is as frequent among the verdict's rows as the rule itself
+    singles = own.select(F.explode(F.array_distinct("tokens")).alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     hits = {(r.t,): r.n for r in singles.collect()}
     for size in range(2, MAX_RULE + 1):
-        grown = _counts(bad, set(hits), range(size, size + 1), False).where(F.col("n") >= least).collect()
+        grown = _counts(own, set(hits), range(size, size + 1), False).where(F.col("n") >= least).collect()
         hits |= {tuple(r["items"]): r.n for r in grown}
         if not grown:
             break
@@ -129,47 +139,62 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     return out
 
 
-def match(pages: DataFrame, rules: list[tuple[list[str], float, float]]) -> DataFrame:
-    """Adds ``mined_rule`` and ``confidence``: the most confident mined rule whose tokens all occur, or nulls."""
-    uses: dict[str, int] = {}
-    for items, _, _ in rules:
-        for t in items:
-            uses[t] = uses.get(t, 0) + 1
-    index: dict[str, list[tuple[frozenset, float, str]]] = {}
-    for items, confidence, _ in rules:
+def match(pages: DataFrame, rules: list[tuple[list[str], float, float, str]]) -> DataFrame:
+    """Adds ``mined_rule``, ``mined_verdict`` and ``confidence``: of the mined rules whose tokens all occur the most confident, or nulls.
+
+    Of equally confident ones the better supported counts, then ``block``, then the first by name.
+    """
+    uses = Counter(t for items, *_ in rules for t in items)
+    index: dict[str, list[tuple]] = {}
+    for items, confidence, support, verdict in rules:
         anchor = min(items, key=lambda t: (uses[t], t))
-        index.setdefault(anchor, []).append((frozenset(items), confidence, " & ".join(items)))
-    for lists in index.values():
-        lists.sort(key=lambda r: (-r[1], r[2]))
-    schema = pages.withColumns({"mined_rule": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")}).schema
+        rank = (-confidence, -support, verdict != "block", " & ".join(items))
+        index.setdefault(anchor, []).append((rank, frozenset(items), verdict))
+    added = [("mined_rule", "string"), ("mined_verdict", "string"), ("confidence", "double")]
+    schema = pages.withColumns({name: F.lit(None).cast(kind) for name, kind in added}).schema
     held = pages.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = [], []
+            names, verdicts, scores = [], [], []
             for row in batch.column("tokens").to_pylist():
                 own = set(row or ())
-                hits = [r for t in own for r in held.value.get(t, ()) if r[0] <= own]
-                best = min(hits, key=lambda r: (-r[1], r[2])) if hits else None
-                names.append(best and best[2])
-                scores.append(best and best[1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "mined_rule", "confidence"])
+                best = min((r for t in own for r in held.value.get(t, ()) if r[1] <= own), key=lambda r: r[0], default=None)
+                names.append(best and best[0][3])
+                verdicts.append(best and best[2])
+                scores.append(best and -best[0][0])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(verdicts, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, *(name for name, _ in added)])
 
     return pages.mapInArrow(run, schema)
 
 
+def labelled_urls(pages: DataFrame, rules=RULES) -> DataFrame:
+    """(page_id, host, path, rule, verdict, tokens) of every row: the given rules' verdicts and the tokens to mine."""
+    rule, verdict = given_rule(rules)
+    found = with_parts(pages).withColumns({"rule": rule, "verdict": verdict, "tokens": F.when(F.col("host") != "", tokens()).otherwise(F.array().cast("array<string>"))})
+    return found.drop("url")
+
+
+def held_out(pages: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """One row (decided, ruled, right): of a fifth of the decided URLs, kept from mining, how many a mined rule judges, and as the given rule does."""
+    decided = labelled_urls(pages, rules).where("verdict is not null").withColumn("blocked", F.col("verdict") == "block")
+    fifth = F.pmod(F.xxhash64("host", "path"), F.lit(5)) == 0
+    judged = match(decided.where(fifth), rules_of(decided.where(~fifth), min_support, min_confidence))
+    return judged.agg(F.count("*").alias("decided"), F.count("mined_rule").alias("ruled"), F.count_if(F.col("mined_verdict") == F.col("verdict")).alias("right"))
+
+
 def judge(pages: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(page_id, host, path, rule, verdict, mined_rule, confidence) of every row of ``pages(page_id, url)``.
 
-    The longest given rule decides; where none fits, a URL that fulfils a mined rule
-    is blocked and any other is allowed. A null url or one without ``://`` has an
-    empty host and path, fits no given rule and has no tokens: allowed. A null
-    page_id is kept, repeated rows are judged each, other columns are ignored, and
-    an empty table gives no rows.
+    The longest given rule decides; where none fits, the most confident mined rule
+    that the URL fulfils, and a URL that fulfils none is allowed. A null url or one
+    without ``://`` has an empty host and path, fits no given rule and has no tokens:
+    allowed. A null page_id is kept, repeated rows are judged each, other columns are
+    ignored, and an empty table gives no rows.
     """
-    rule, verdict = given_rule(rules)
-    parts = with_parts(pages).withColumns({"rule": rule, "verdict": verdict, "tokens": F.when(F.col("host") != "", tokens()).otherwise(F.array().cast("array<string>"))})
-    mined = mine(parts.select("tokens", F.coalesce(F.col("verdict") == "block", F.lit(False)).alias("blocked")), min_support, min_confidence)
-    judged = match(parts.drop("url"), mined)
-    final = F.coalesce("verdict", F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow"))
-    return judged.select("page_id", "host", "path", "rule", final.alias("verdict"), F.when(F.col("rule").isNull(), F.col("mined_rule")).alias("mined_rule"), F.when(F.col("rule").isNull(), F.col("confidence")).alias("confidence"))
+    parts = labelled_urls(pages, rules)
+    mined = rules_of(parts.where("verdict is not null").select("tokens", (F.col("verdict") == "block").alias("blocked")), min_support, min_confidence)
+    judged = match(parts, mined)
+    final = F.coalesce("verdict", "mined_verdict", F.lit("allow"))
+    ruled = lambda name: F.when(F.col("rule").isNull(), F.col(name)).alias(name)
+    return judged.select("page_id", "host", "path", "rule", final.alias("verdict"), ruled("mined_rule"), ruled("confidence"))
