@@ -8,7 +8,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.llm import license_scan, secret_scan, toxicity, url_rules, vector_search
+from tidemark.llm import license_scan, queries, secret_scan, toxicity, url_rules, vector_search
 
 
 def test_ordinal_regression_orders_grades():
@@ -44,6 +44,12 @@ def test_toxicity(spark):
     assert toxicity.score(docs, empty).count() == len(rows)
 
 
+def test_grades_need_a_toxic_label(spark):
+    rows = [(1, 0, 0), (2, 1, 0), (3, 1, 1), (4, 0, 1), (5, 0, None), (6, 1, None), (7, None, 1), (8, None, 0), (None, 0, 1)]
+    got = queries.toxicity_grades(spark.createDataFrame(rows, "doc_id long, quality int, toxic int")).collect()
+    assert [r.grade for r in got] == [0, 0, 1, 2, None, None, 1, 0, 2]
+
+
 def brute_rule(url):
     host = path = ""
     if url and "://" in url:
@@ -59,6 +65,20 @@ def brute_rule(url):
     return host, path, best
 
 
+def brute_mining(rows, support, confidence):
+    totals, hits = collections.Counter(), {"block": collections.Counter(), "allow": collections.Counter()}
+    for tokens, blocked in rows:
+        for size in (1, 2, 3):
+            for p in itertools.combinations(sorted(set(tokens)), size):
+                totals[p] += 1
+                hits["block" if blocked else "allow"][p] += 1
+    out = []
+    for verdict, own in hits.items():
+        good = {p: k / totals[p] for p, k in own.items() if k >= support * len(rows) and k / totals[p] >= confidence}
+        out += [(p, c, own[p] / len(rows), verdict) for p, c in good.items() if not any(good.get(q, -1) >= c for size in range(1, len(p)) for q in itertools.combinations(p, size))]
+    return out
+
+
 def test_url_rules(spark):
     rng = random.Random(6)
     urls = [None, "", "no scheme", "http://", "HTTP://Example.COM/en/x", "https://www.example.com/en/", "https://example.com", "https://example.com/", "https://notexample.com/en/", "x://net/es/", "https://a.net/es", "https://a.net/es/?q=http://b.com/", "http://É.com/x", "http://com/", "http://h?x=1", "http://u@example.com:80/en/", "a\nhttp://b.net/fr/x"]
@@ -69,16 +89,24 @@ def test_url_rules(spark):
     assert len(got) == len(rows)
     parts = url_rules.with_parts(pages).where("host <> ''").select("page_id", url_rules.tokens().alias("t"))
     tokens = {r.page_id: set(r.t) for r in parts.collect()}
+    told = url_rules.labelled_urls(pages).where("verdict is not null").select("tokens", (F.col("verdict") == "block").alias("blocked")).collect()
+    mined = brute_mining([(r.tokens, r.blocked) for r in told], 0.01, 0.9)
+    decided = collections.Counter()
     for r in got:
         host, path, best = brute_rule(urls[r.page_id] if r.page_id is not None else "http://a.com/")
         assert (r.host, r.path) == (host, path)
         if best:
             assert (r.verdict, r.rule) == best and r.mined_rule is None
         else:
-            assert r.rule is None and r.verdict == ("block" if r.mined_rule else "allow")
-            if r.mined_rule:
-                assert set(r.mined_rule.split(" & ")) <= tokens[r.page_id]
+            own = tokens.get(r.page_id, set()) if r.page_id is not None else set()
+            fulfilled = [(-c, -s, v != "block", " & ".join(p), v) for p, c, s, v in mined if set(p) <= own]
+            best = min(fulfilled, default=None)
+            assert r.rule is None and (r.verdict, r.mined_rule, r.confidence) == ((best[4], best[3], -best[0]) if best else ("allow", None, None))
+            decided[r.verdict, best is not None] += 1
+    assert decided["block", True] > 10 and decided["allow", True] > 10 and decided["allow", False] > 0
     assert url_rules.judge(pages.limit(0)).count() == 0
+    held = url_rules.held_out(pages, min_support=0.01).first()
+    assert held.decided > 20 and held.right >= 0.9 * held.ruled > 0.5 * held.decided
 
 
 def test_mined_rules_have_their_confidence(spark):
@@ -191,3 +219,24 @@ def test_vector_search(spark):
     assert len(close & pairs) / len(pairs) >= 0.9
     assert vector_search.nearest(df.limit(0)).count() == 0
     assert vector_search.nearest(df.where(F.col("vec_id").isin(0, 1, 2))).count() == 2
+
+
+def test_vector_search_breaks_ties_by_id(spark):
+    rng = np.random.default_rng(8)
+    v = np.stack([np.full(501, 0.5), rng.permutation(np.linspace(-0.8, 0.8, 501))], 1).astype(np.float32)
+    v[0] = (1.0, 0.0)  # 500 different vectors have the same score for it
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(3)
+    one = df.where("vec_id = 0 or vec_id % 20 <> 0")
+    got = vector_search.nearest(one, factor=1.0).collect()
+    assert [(r.rank, r.vec_id) for r in sorted(got, key=lambda r: r.rank)] == [(r + 1, i) for r, i in enumerate([i for i in range(1, 500) if i % 20][:20])]
+    relaxed = sorted(vector_search.nearest(one, factor=2.0).collect(), key=lambda r: r.rank)
+    assert [r.rank for r in relaxed] == list(range(1, 21)) and {r.score for r in relaxed} == {0.5} and [r.vec_id for r in relaxed] == sorted({r.vec_id for r in relaxed})
+    want = brute_nearest(np.arange(501), v.astype(np.float64), 20)
+    exact = vector_search.nearest(df, factor=1.0, shard_rows=100, block_rows=4).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in exact) == want
+
+
+def test_vector_search_counts_one_vector_of_an_id(spark):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [2.0, 3.0]), (1, [2.0, 1.0]), (2, [5.0, 1.0])]
+    got = vector_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(1, 1, 1.0), (2, 2, 1.0)]

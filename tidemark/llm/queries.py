@@ -21,8 +21,8 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def toxicity_grades(labels: DataFrame) -> DataFrame:
-    """Ordered severity: 0 not toxic, 1 toxic, 2 toxic and of low quality."""
-    grade = F.when(F.col("toxic") == 0, 0).when(F.col("quality") == 0, 2).when(F.col("toxic") == 1, 1)
+    """Ordered severity: 0 not toxic, 1 toxic, 2 toxic and of low quality; without a toxic label none."""
+    grade = F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1))
     return labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.alias("grade"))
 
 
