@@ -181,6 +181,21 @@ def test_secret_scan(spark):
     assert secret_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_forest_on_held_out_findings(spark):
+    words = ["tion", "the", "ing", "and", "other", "schen", "reelle", "heit"]
+    r = secret_scan.held_out(spark, words, 4000).first()
+    assert r.secrets > 150 and r.right >= 0.95 * r.secrets and r.right >= 0.95 * r.kept
+    truth = secret_scan.planted(spark, words, 4000)
+    assert truth.where("label = 0").join(secret_scan.findings(truth), "doc_id", "left_semi").count() > 1000
+
+
+def test_scan_takes_given_labels(spark):
+    docs = spark.createDataFrame([(i, f"see {'ab' * 10 if i % 2 else 'xyzw' * 6} end", "s") for i in range(60)], "doc_id long, text string, source string")
+    words = secret_scan.dictionary_words(docs)
+    given = secret_scan.with_features(secret_scan.findings(docs), secret_scan.triples_of(words)).withColumn("label", (F.col("value").startswith("xyz")).cast("int"))
+    assert all(r.secret == r.value.startswith("xyz") for r in secret_scan.scan(docs, given).collect())
+
+
 def test_dictionary_counts_every_document(spark):
     rows = [(i, "common words" + (" seldom" if i % 50 == 0 else "") + (" never" if i == 7 else "")) for i in range(6000)]
     rows += [(6000 + i, f"x{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100 % 6]}") for i in range(600)]

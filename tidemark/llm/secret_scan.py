@@ -2,7 +2,8 @@
 
 Raw findings are long runs of key-like characters. A forest judges each by its
 length, character transitions, dictionary coverage, path and neighbouring words. It
-is trained from labelled findings.
+is trained from labelled findings: given ones, or planted ones, whose truth is how
+they were made and not what the forest sees of them.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.native import let
@@ -22,10 +23,13 @@ MAX_FIT_FINDINGS = 20_000
 DICTIONARY_SHARE = 0.01
 TREES, DEPTH, SEED = 20, 6, 17
 KEPT = 0.5
+#: Planted findings; every fifth measures the forest.
+PLANTED = 8000
 #: Words that announce a secret, and well-known shapes of one.
 KEYWORDS = r"(?i)(passw(or)?d|pwd|token|secret|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential)"
 SHAPES = (("aws_access_key", r"^(AKIA|ASIA)[0-9A-Z]{16}$"), ("hex", r"^[0-9a-f]{16,}$"), ("github", r"^gh[pousr]_[0-9A-Za-z]{36,}$"), ("stripe", r"^[sr]k_(live|test)_[0-9A-Za-z]{16,}$"), ("google_api", r"^AIza[0-9A-Za-z_\-]{35}$"), ("slack", r"^xox[abprs]-[0-9A-Za-z\-]{10,}$"))
-FEATURES = ("length", "transitions", "digits", "variety", "coverage", "keyword", "assigned", "quoted", "path_hint", "path_bucket")
+DECOYS = r"(?i)\b(commit|sha1|sha256|md5|checksum|digest|etag|uuid|build|order|invoice|serial|card|isbn)\b"
+FEATURES = ("length", "transitions", "digits", "upper", "variety", "coverage", "keyword", "decoy", "assigned", "quoted", "path_hint", "path_depth")
 _RUN = rf"[A-Za-z0-9+/_\-]{{{MIN_LENGTH},}}={{0,2}}"
 
 
@@ -47,13 +51,81 @@ def findings(docs: DataFrame, path: str = "source") -> DataFrame:
     return runs.select("doc_id", "same", "word", "run", "value", F.substring("w", F.lit(1), at - 1).alias("lead"), F.expr("substring(w, instr(w, value) + length(value))").alias("tail"), "before", "path")
 
 
-def dictionary(docs: DataFrame, share: float = DICTIONARY_SHARE) -> list[str]:
-    """Letter triples of the words that at least ``share`` of all documents hold."""
+def dictionary_words(docs: DataFrame, share: float = DICTIONARY_SHARE) -> list[str]:
+    """The words that at least ``share`` of all documents hold: as many as a document has distinct words, over ``share``, at most."""
     n = docs.count()
     words = docs.select(F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}{3,12}"), F.lit(0)))).alias("w"))
-    top = words.where("w is not null").groupBy("w").count().where(F.col("count") >= share * n)
-    triples = top.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substring("w", i, F.lit(3)))).alias("t")).distinct()
-    return sorted(r.t for r in triples.collect())
+    return sorted(r.w for r in words.where("w is not null").groupBy("w").count().where(F.col("count") >= share * n).select("w").collect())
+
+
+def triples_of(words: list[str]) -> list[str]:
+    """The letter triples of some words."""
+    return sorted({w[i : i + 3] for w in words for i in range(len(w) - 2)})
+
+
+def dictionary(docs: DataFrame, share: float = DICTIONARY_SHARE) -> list[str]:
+    """Letter triples of the words that at least ``share`` of all documents hold."""
+    return triples_of(dictionary_words(docs, share))
+
+
+def planted(spark: SparkSession, words: list[str], n: int = PLANTED) -> DataFrame:
+    """(doc_id, text, source, label): ``n`` texts with one finding each.
+
+    Label 1: random keys of several alphabets and lengths, announced in several ways
+    or, for well-known shapes, not at all. Label 0: compounds, paths and names out of
+    ``words``, long numbers, identifiers in hexadecimal groups, checksums, and keys in
+    files of tests and examples.
+    """
+    words = words or ["text", "word", "line", "some", "other"]
+    pick = lambda values, salt: F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(values))) + 1).cast("int"))
+    held = words if len(words) <= 500 else words[:: len(words) // 500 + 1]
+    digest = F.sha2(F.concat(F.lit("finding"), F.col("id").cast("string")).cast("binary"), 256)
+    mixed = F.regexp_replace(F.base64(F.unhex(F.concat(digest, F.sha2(digest.cast("binary"), 256)))), "[+/=]", "")
+    size = lambda low, high, salt: (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(high - low + 1)) + low).cast("int")
+    some = [pick(held, 20 + k) for k in range(7)]
+    number = F.substring(F.regexp_replace(F.translate(digest, "abcdef", "123456"), "^0", "7"), F.lit(1), size(16, 20, 3))
+    key = F.element_at(F.array(F.substring(digest, F.lit(1), size(16, 64, 4)), F.substring(digest, F.lit(1), F.lit(40)), F.substring(mixed, F.lit(1), size(20, 44, 5)), F.base64(F.unhex(digest)), F.concat(F.lit("sk_live_"), F.substring(mixed, F.lit(1), F.lit(24)))), size(1, 5, 6))
+    announced = pick(['token = "', "password=", "api_key: ", "secret='", "auth_token=", "Authorization: Bearer ", "access-key = ", "pwd: "], 7)
+    close = F.when(announced.endswith('"'), '"').when(announced.endswith("'"), "'").otherwise("")
+    aws = F.concat(F.lit("AKIA"), F.substring(F.upper(mixed), F.lit(1), F.lit(16)))
+    github = F.concat(F.lit("ghp_"), F.substring(mixed, F.lit(1), F.lit(36)))
+    plain = pick(["", "the ", "see ", "in "], 8)
+    kinds = [
+        (1, announced, key, close, "src"),
+        (1, announced, key, close, "src"),
+        (1, plain, aws, F.lit(""), "src"),
+        (1, plain, github, F.lit(""), "src"),
+        (0, plain, F.concat(*some), F.lit(""), "src"),
+        (0, plain, F.concat(*[F.initcap(w) for w in some[:5]]), F.lit(""), "src"),
+        (0, plain, F.concat_ws("/", *some[:6]), F.lit(""), "src"),
+        (0, plain, F.concat_ws("_", *some[:6]), F.lit(""), "src"),
+        (0, pick(["card ", "order ", "", "the "], 9), number, F.lit(""), "src"),
+        (0, pick(["uuid ", "id ", "", "build "], 10), F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.substring(digest, 13, 4), F.substring(digest, 17, 12)), F.lit(""), "src"),
+        (0, pick(["commit ", "sha1 ", "sha256 ", "md5 ", "checksum ", "digest "], 11), F.substring(digest, F.lit(1), F.element_at(F.array(F.lit(32), F.lit(40), F.lit(64)), size(1, 3, 12))), F.lit(""), "src"),
+        (0, announced, key, close, "tests/fixtures/example"),
+        (0, announced, F.concat(*some[:6]), close, "src"),
+        (0, plain, F.repeat(pick(["-", "a", "0", "_"], 13), size(20, 60, 14)), F.lit(""), "src"),
+    ]
+    kind = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(len(kinds)))
+    chosen = None
+    for k, (label, before, value, after, path) in enumerate(kinds):
+        made = F.struct(F.concat_ws(" ", pick(held, 30), pick(held, 31), F.concat(before, value, after), pick(held, 32)).alias("text"), F.concat_ws("/", F.lit(path), pick(held, 33)).alias("source"), F.lit(label).alias("label"))
+        chosen = F.when(kind == k, made) if chosen is None else chosen.when(kind == k, made)
+    return spark.range(n).select(F.col("id").alias("doc_id"), chosen.alias("m")).select("doc_id", "m.text", "m.source", "m.label")
+
+
+def planted_findings(spark: SparkSession, words: list[str], n: int = PLANTED) -> DataFrame:
+    """The findings of :func:`planted` with features and label; a short or dictionary word gives none."""
+    made = planted(spark, words, n)
+    return with_features(findings(made), triples_of(words)).join(F.broadcast(made.select("doc_id", "label")), "doc_id")
+
+
+def held_out(spark: SparkSession, words: list[str], n: int = PLANTED) -> DataFrame:
+    """One row (kept, right, secrets): of every fifth planted finding, how many a forest of the others keeps, how many of these rightly, and how many are secrets."""
+    found = planted_findings(spark, words, n)
+    fifth = F.pmod("doc_id", F.lit(5)) == 0
+    judged = judge(found.where(fifth), fit(found.where(~fifth)))
+    return judged.agg(F.count_if("secret").alias("kept"), F.count_if(F.col("secret") & (F.col("label") == 1)).alias("right"), F.count_if(F.col("label") == 1).alias("secrets"))
 
 
 def with_features(found: DataFrame, triples: list[str]) -> DataFrame:
@@ -70,13 +142,15 @@ def with_features(found: DataFrame, triples: list[str]) -> DataFrame:
             "length": size,
             "transitions": changes / size,
             "digits": F.length(F.regexp_replace(value, "[^0-9]", "")) / size,
+            "upper": F.length(F.regexp_replace(value, "[^A-Z]", "")) / size,
             "variety": F.size(F.array_distinct(F.split(value, ""))) / size,
             "coverage": covered.cast("double"),
             "keyword": F.concat_ws(" ", "before", "lead").rlike(KEYWORDS).cast("double"),
+            "decoy": F.concat_ws(" ", "before", "lead").rlike(DECOYS).cast("double"),
             "assigned": F.concat_ws(" ", "before", "lead").rlike(r"[=:]\s*[\"']?\s*$").cast("double"),
             "quoted": (F.col("lead").rlike("[\"']$") & F.col("tail").rlike("^[\"']")).cast("double"),
             "path_hint": place.rlike(r"(?i)(test|example|fixture|sample|mock)").cast("double"),
-            "path_bucket": F.pmod(F.xxhash64(place), F.lit(16)).cast("double"),
+            "path_depth": F.size(F.split(place, "/")).cast("double"),
         }
     )
 
@@ -111,27 +185,17 @@ def judge(found: DataFrame, forest: RandomForestClassificationModel | float) ->
     return rated.withColumn("probability", vector_to_array("probability")[1]).withColumn("secret", F.col("probability") >= KEPT)
 
 
-def weak_labels(found: DataFrame) -> DataFrame:
-    """Labelled findings where no person has labelled any: a known shape or an announced value with digits is 1.
-
-    Unannounced runs without a digit, or of digits only, are 0; the rest stays unlabelled.
-    """
-    known = F.col("shape").isin([n for n, _ in SHAPES if n != "hex"])
-    announced = (F.col("keyword") == 1) & (F.col("digits") > 0)
-    label = F.when(known | announced, 1).when(F.col("digits").isin(0.0, 1.0) & (F.col("keyword") == 0), 0)
-    return found.withColumn("label", label).where("label is not null")
-
-
 def scan(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source") -> DataFrame:
     """(doc_id, word, run, value, shape, probability, secret) of every raw finding in ``docs(doc_id, text)``.
 
     ``labelled`` holds findings with features and ``label``; without it
-    :func:`weak_labels` of the findings serve. A null or empty text has no finding; a
-    null doc_id is kept; repeated rows give repeated findings; a missing or null path
-    is an empty one; other columns are ignored; an empty table gives no rows. The
-    dictionary counts all documents, the forest is fitted on a bounded sample, and
-    everything is judged.
+    :func:`planted_findings` serve. A null or empty text has no finding; a null doc_id is
+    kept; repeated rows give repeated findings; a missing or null path is an empty
+    one; other columns are ignored; an empty table gives no rows. The dictionary
+    counts all documents, the forest is fitted on a bounded sample, and everything is
+    judged.
     """
-    found = with_features(findings(docs, path), dictionary(docs)).withColumn("shape", shape())
-    forest = fit(weak_labels(found) if labelled is None else labelled)
+    words = dictionary_words(docs)
+    forest = fit(planted_findings(docs.sparkSession, words) if labelled is None else labelled)
+    found = with_features(findings(docs, path), triples_of(words)).withColumn("shape", shape())
     return judge(found, forest).select("doc_id", "word", "run", "value", "shape", "probability", "secret")
