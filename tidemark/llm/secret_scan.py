@@ -96,6 +96,7 @@ def planted(spark: SparkSession, words: list[str], n: int = PLANTED) -> DataFram
         (1, plain, aws, F.lit(""), "src"),
         (1, plain, github, F.lit(""), "src"),
         (0, plain, F.concat(*some), F.lit(""), "src"),
+        (0, plain, F.upper(F.concat(*some[:5])), F.lit(""), "src"),
         (0, plain, F.concat(*[F.initcap(w) for w in some[:5]]), F.lit(""), "src"),
         (0, plain, F.concat_ws("/", *some[:6]), F.lit(""), "src"),
         (0, plain, F.concat_ws("_", *some[:6]), F.lit(""), "src"),
