@@ -29,7 +29,7 @@ SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 AMBIGUOUS = regex.compile(r" \s|\s |^ | $")
 #: Units remembered between pieces of a partition; beyond it the memory starts anew.
 MEMORY_UNITS = 200_000
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def byte_alphabet() -> dict[str, int]:

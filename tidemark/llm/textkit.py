@@ -8,13 +8,16 @@ very long text), not the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of text after which a worker hands freed memory back to the system.
+RELEASE_BYTES = 4 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -61,18 +64,34 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, offsets - offsets[0]
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Hand freed memory back: workers are reused, and what an idle one holds its executor lacks."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive pieces of a batch, each with at most ``limit`` bytes of text or one row."""
+    """Consecutive pieces of a batch, each with at most ``limit`` bytes of text or one row.
+
+    What earlier pieces freed is handed back every ``RELEASE_BYTES`` and after the last one.
+    """
     if not batch.num_rows:
         return
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     ends = np.cumsum(sizes)
-    at = 0
+    at = released = 0
     while at < batch.num_rows:
         base = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
         yield batch.slice(at, to - at)
         at = to
+        if ends[at - 1] - released >= RELEASE_BYTES or at == batch.num_rows:
+            release()
+            released = ends[at - 1]
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE) -> tuple[np.ndarray, ...]:
