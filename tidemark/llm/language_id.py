@@ -148,13 +148,13 @@ def fit(labelled: DataFrame, max_fit_docs: int = MAX_FIT_DOCS) -> Model:
     return build(languages, chosen)
 
 
-def _predict(model):
+def _predict(model, drop: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
             for part in slices(batch, "_text"):
                 langs, top = predict_batch(m, part.column("_text"))
-                rest = [n for n in part.schema.names if n != "_text"]
+                rest = [n for n in part.schema.names if n not in drop]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in rest), pa.array(langs, pa.string()), pa.array(top)], names=[*rest, "_pred", "_score"])
 
     return run
@@ -193,11 +193,14 @@ def identify(docs: DataFrame, max_fit_docs: int = MAX_FIT_DOCS, keep: list[str]
     model = fit(base.where("rest <> 0").select(F.col("doc_id").alias("key"), "text", "lang"), max_fit_docs)
     names = ["doc_id"] if keep is None else list(keep)
     held = F.coalesce(rest == 0, F.lit(False))
-    rows = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)], held.alias("_held"), F.col("text").cast("string").alias("_text"))
+    # a kept text goes to the workers and back under the name they read, not twice
+    place = {c: "_text" if c == "text" and dict(docs.dtypes)[c] == "string" else f"_c{i}" for i, c in enumerate(names)}
+    others = [F.col(c).alias(p) for c, p in place.items() if p != "_text"]
+    rows = docs.select(*others, held.alias("_held"), F.col("text").cast("string").alias("_text"))
     if keep is None:
         rows = rows.withColumn("_c0", F.col("_c0").cast("long"))
-    kept = rows.drop("_text")
-    schema = kept.withColumns({"_pred": F.lit(None).cast("string"), "_score": F.lit(None).cast("double")}).schema
-    out = rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), schema)
-    columns = [F.col(f"_c{i}").alias(c) for i, c in enumerate(names)]
+    drop = () if "_text" in place.values() else ("_text",)
+    schema = rows.drop(*drop).withColumns({"_pred": F.lit(None).cast("string"), "_score": F.lit(None).cast("double")}).schema
+    out = rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), drop), schema)
+    columns = [F.col(p).alias(c) for c, p in place.items()]
     return out.select(*columns, F.col("_held").alias("held_out"), F.col("_pred").alias("lang_pred"), F.col("_score").alias("score"))
