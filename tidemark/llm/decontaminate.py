@@ -131,12 +131,27 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT
     windows = held.select("doc_id", "same", "m", let(F.array_sort("ps"), lambda ps: _starts(ps, size, percent)).alias("starts"))
     windows = materialise(windows.where("size(starts) > 0"))
     owners = windows.select(F.col("doc_id").alias("d"), F.col("same").alias("s")).distinct()
-    theirs = hashed.join(owners, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("same") == F.col("s")), "left_semi").dropDuplicates(["doc_id", "same"])
-    own = windows.withColumnsRenamed({"doc_id": "d", "same": "s"})
-    cut = theirs.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("same") == F.col("s"))).select("doc_id", "same", "hs", "m", F.explode("starts").alias("w"))
-    cut = cut.where(F.col("w.whole") | (F.col("w.start") < 0) | (F.col("w.start") + size > F.size("hs")))
-    first, last = F.greatest(F.col("w.start"), F.lit(0)), F.least(F.col("w.start") + size, F.size("hs"))
-    cut = materialise(cut.select("doc_id", "same", F.col("w.start").alias("start"), "m", F.array_sort(F.slice("hs", first + 1, last - first)).alias("ws")))
+    owners = F.broadcast(owners) if windows.count() <= BROADCAST_ROWS else owners
+    its = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("same") == F.col("s"))
+    # the texts are chosen before their shingles are made again
+    theirs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("same")).join(owners, its, "left_semi")
+    own = windows.groupBy(F.col("doc_id").alias("d"), F.col("same").alias("s")).agg(F.collect_list(F.struct("m", "starts")).alias("wanted"))
+
+    def slices_of(hs: Column) -> Column:
+        def each(w: Column) -> Column:
+            size = F.greatest(w["m"] - width + 1, F.lit(1))
+            fit = F.filter(w["starts"], lambda x: x["whole"] | (x["start"] < 0) | (x["start"] + size > F.size(hs)))
+
+            def one(x: Column) -> Column:
+                first, last = F.greatest(x["start"], F.lit(0)), F.least(x["start"] + size, F.size(hs))
+                return F.struct(w["m"].alias("m"), x["start"].alias("start"), F.array_sort(F.slice(hs, first + 1, last - first)).alias("ws"))
+
+            return F.transform(fit, one)
+
+        return F.flatten(F.transform("wanted", each))
+
+    cut = theirs.join(own, its).select("doc_id", "same", F.explode(let(shingles_of(words_of(F.col("text")), width), slices_of)).alias("w"))
+    cut = materialise(cut.select("doc_id", "same", "w.start", "w.m", "w.ws"))
 
     # equal windows share one fingerprint, one search and one verification
     shapes = materialise(cut.select("m", "ws").distinct().withColumn("shape", F.xxhash64("m", "ws")))
@@ -151,7 +166,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT
     union = F.size("ws") + F.size("is") - common
     hits = both.where(100 * common >= percent * union).select("m", "ws", "item_id", (common / union).alias("similarity"))
     found = cut.join(hits, ["m", "ws"])
-    out = found.groupBy("doc_id", "same", "item_id").agg(F.count("*").alias("n_windows"), F.max(F.struct("similarity", (-F.greatest("start", F.lit(0))).alias("back"))).alias("best"))
+    out = found.groupBy("doc_id", "same", "item_id").agg(F.count_distinct("start").alias("n_windows"), F.max(F.struct("similarity", (-F.greatest("start", F.lit(0))).alias("back"))).alias("best"))
     out = materialise(out.select("doc_id", "same", "item_id", "n_windows", (-F.col("best.back")).cast("long").alias("first_word"), F.col("best.similarity").alias("similarity")))
     discard(items, windows, cut, shapes, prints, item_prints)
     return out
