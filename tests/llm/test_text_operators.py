@@ -216,7 +216,7 @@ def test_line_dedup(spark):
 def test_line_dedup_removes_passages_of_short_lines(spark):
     rng = random.Random(23)
     rows, passages, firsts = [], {}, {}
-    for number, (lines, size) in enumerate([(4, 13), (5, 11), (6, 9), (4, 15), (7, 8)] * 6):
+    for number, (lines, size) in enumerate([(4, 13), (5, 11), (6, 9), (4, 15), (7, 8), (3, 17), (3, 20)] * 6):
         passage = passages[number] = "\n".join(words(rng, size) for _ in range(lines))
         for k in range(10):
             around = [words(rng, rng.randrange(3, 14)) for _ in range(4)]
@@ -230,11 +230,55 @@ def test_line_dedup_removes_passages_of_short_lines(spark):
             assert got[i].text == text and got[i].removed == 0
 
 
-def test_line_dedup_compares_bytes(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
-    rows = [(1, "a " * 40, "en"), (2, "b " * 40, "en"), (3, "a " * 40, "en")]
-    data = np.frombuffer(rows[0][1].encode(), np.uint8)
-    assert len(line_dedup.chunk_spans(data, np.array([0, len(data)]), 1, 2, 16)[0]) == 1
+def brute_line_dedup(rows, min_words=30):
+    """Rows of (doc_id, text) with distinct ids: chunks and pairs by their bytes, first places by doc_id."""
+    units = []
+    for i, text in sorted(rows):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        _, start, end, count, fresh = line_dedup.line_spans(data, np.array([0, len(data)]), line_dedup.WINDOW, line_dedup.ONE_IN, line_dedup.LONG_LINE)
+        lines = [bytes(data[a:b]) for a, b in zip(start, end, strict=True)]
+        edge = [*np.flatnonzero(fresh).tolist(), len(lines)]
+        own = [(range(a, b), sum(count[a:b]), "chunk") for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        own += [(range(k, k + 2), count[k] + count[k + 1], "pair") for k in range(len(lines) - 1) if min(count[k], count[k + 1]) < line_dedup.LONG_LINE]
+        units.append((i, text, lines, count, own))
+    seen, out = set(), {}
+    for i, text, lines, count, own in units:
+        marked = set()
+        for places, n, kind in own:
+            body = kind, b"".join(lines[k] for k in places).removesuffix(b"\n")
+            if n and body in seen:
+                marked |= set(places)
+            elif n:
+                seen.add(body)
+        gone, run = set(), []
+        for k in [*range(len(lines)), None]:
+            if k in marked:
+                run.append(k)
+            else:
+                gone |= set(run) if sum(count[j] for j in run) >= min_words else set()
+                run = []
+        left = b"".join(line for k, line in enumerate(lines) if k not in gone)
+        if gone and len(lines) - 1 in gone and not text.endswith("\n"):
+            left = left.removesuffix(b"\n")
+        out[i] = left.decode() if gone else text
+    return out
+
+
+@pytest.mark.parametrize("bits", [64, 4])
+def test_line_dedup_equals_brute_force(spark, bits):
+    rng = random.Random(31)
+    pool = [words(rng, rng.choice((0, 2, 9, 12, 15, 16, 20, 40))) for _ in range(60)]
+    passages = ["\n".join(rng.sample(pool, k)) for k in (1, 2, 3, 3, 4, 4, 5, 8, 12)]
+    rows = []
+    for n in range(120):
+        parts = [rng.choice(passages) if rng.random() < 0.5 else words(rng, rng.randrange(0, 25)) for _ in range(rng.randrange(1, 8))]
+        rows.append((n, "\n".join(parts) + rng.choice(("", "\n", "\n\n"))))
+    rows += [(200, None), (201, ""), (202, "\n"), (203, "ß " * 40), (204, "ß " * 40), (205, "é " * 40)]
+    want = brute_line_dedup(rows)
+    # few bits make different chunks collide: only the comparison of bytes tells them apart
+    got = line_dedup.line_dedup(docs(spark, [(i, t, "en") for i, t in rows]).repartition(4), bits=bits)
+    assert {r.doc_id: r.text for r in got.collect()} == want
+    assert sum(want[i] != t for i, t in rows) > 20 and want[205] == "é " * 40 and want[204] != want[203]
 
 
 def test_language_id(spark):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
-from tidemark.llm.textkit import buffers, mix, shingles, slices
+from tidemark.llm.textkit import bitmap_of, buffers, in_bitmap, mix, shingles, slices
 from tidemark.session import discard, materialise
 
 PERCENT = 80
@@ -96,7 +96,7 @@ def _prefixes(width: int, percent: int, heavy, common, wanted):
             for ids, row, value, size in _sets(batch, width):
                 if not len(value):
                     continue
-                rank = _in_bitmap(common.value, value).astype(np.int64) if common is not None else np.zeros(len(value), np.int64)
+                rank = in_bitmap(common.value, value).astype(np.int64) if common is not None else np.zeros(len(value), np.int64)
                 if len(tokens):
                     at = np.minimum(np.searchsorted(tokens, value), len(tokens) - 1)
                     rank += np.where(tokens[at] == value, counts[at], 0)
@@ -107,7 +107,7 @@ def _prefixes(width: int, percent: int, heavy, common, wanted):
                 need = -(-percent * size // 100)
                 take = (pos < (size - need + 1)[row]) & _first_of_equals(row, value, size)[row]
                 if wanted is not None:
-                    take &= _in_bitmap(wanted.value, value)
+                    take &= in_bitmap(wanted.value, value)
                 own, value, pos = row[take], value[take], pos[take]
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), ids.take(pa.array(own)), pa.array(size[own].astype(np.int32)), pa.array(pos.astype(np.int32))], schema=schema)
 
@@ -136,16 +136,7 @@ def _first_of_equals(row: np.ndarray, value: np.ndarray, size: np.ndarray) -> np
 def _repeated(texts: DataFrame, width: int, percent: int, heavy, common):
     """A broadcast bitmap of the tokens that stand in the prefixes of two documents or more."""
     counted = texts.mapInArrow(_prefixes(width, percent, heavy, common, None), POSTING).groupBy("token").count().where("count > 1")
-    bit = F.col("token").bitwiseAND(F.lit(BITMAP_WORDS * 64 - 1))
-    words = counted.groupBy(F.shiftrightunsigned(bit, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(token & 63 as int))")).alias("bits")).toArrow()
-    bitmap = np.zeros(BITMAP_WORDS, np.uint64)
-    bitmap[np.asarray(words["word"])] = np.asarray(words["bits"]).view(np.uint64)
-    return texts.sparkSession.sparkContext.broadcast(bitmap)
-
-
-def _in_bitmap(words: np.ndarray, value: np.ndarray) -> np.ndarray:
-    word = words[(value & np.uint64(len(words) * 64 - 1)) >> np.uint64(6)]
-    return (word >> (value & np.uint64(63))) & np.uint64(1) == 1
+    return bitmap_of(counted, "token", BITMAP_WORDS)
 
 
 def _set_rows(width: int):

@@ -2,11 +2,12 @@
 
 Lines are grouped into content-defined chunks: rolling hashes over line hashes
 choose the boundaries, so an insertion shifts none beyond its neighbourhood.
-Chunks whose hash occurs more than once are compared byte for byte with the first
-occurrence. A passage's edge lines may hide in a chunk with an unrelated neighbour, so
-neighbouring lines, of which at least one is short, are compared in pairs too: they
-extend a run line by line. Runs of repeated lines that are long enough are removed
-everywhere but at their first place.
+Chunks whose hash occurs more than once are compared byte for byte, and equal ones are
+marked everywhere but at their first place. A passage's edge lines may hide in a chunk
+with an unrelated neighbour, and a passage no longer than the window may have no
+boundary of its own, so neighbouring lines, of which at least one is short, are compared
+in pairs too: they extend a run line by line. Runs of marked lines that are long enough
+are removed.
 """
 
 from __future__ import annotations
@@ -18,17 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textkit import buffers, mix, slices, span_hashes, word_spans
+from tidemark.llm.textkit import bitmap_of, buffers, in_bitmap, mix, slices, span_hashes, word_spans
 from tidemark.session import discard, materialise
 
-#: Lines under each rolling hash. One line keeps passages of three or four lines whole.
-WINDOW = 1
+#: Lines under each rolling hash.
+WINDOW = 3
 #: A boundary hash selects one line in this many, on either side of a line.
 ONE_IN = 2
 #: A line of at least so many words is a chunk of its own.
 LONG_LINE = 16
 #: A run of repeated lines goes if it has at least so many words.
 MIN_WORDS = 30
+#: Words (8 bytes each) of the bitmap of repeated hashes: bodies whose hash is not in it are not sent.
+BITMAP_WORDS = 1 << 20
 
 #: Places from here on are pairs of lines, those below are chunks.
 _PAIRS = 1 << 30
@@ -91,7 +94,10 @@ def _content(data: np.ndarray, end: np.ndarray) -> np.ndarray:
     return end - (data[end - 1] == 10)
 
 
-def _chunks(window: int, one_in: int, long_line: int, with_text: bool):
+def _chunks(window: int, one_in: int, long_line: int, bits: int, wanted=None):
+    """(key, doc_id, same, place, words) of every chunk and pair; with the bitmap ``wanted`` of those in it, and their bytes."""
+    with_text = wanted is not None
+    mask = np.uint64((1 << bits) - 1)
     fields = [("key", pa.int64()), ("doc_id", pa.int64()), ("same", pa.int64()), ("place", pa.int32()), ("words", pa.int32())]
     schema = pa.schema([*fields, ("body", pa.binary())] if with_text else fields)
 
@@ -107,8 +113,12 @@ def _chunks(window: int, one_in: int, long_line: int, with_text: bool):
                 pair_stop = _content(data, line_end[two + 1])
                 key = np.concatenate((span_hashes(data, start, _content(data, end)), mix(span_hashes(data, line_start[two], pair_stop) ^ _SEED_PAIR)))
                 place = np.concatenate((np.arange(len(row)) - np.searchsorted(row, row), _PAIRS + two - np.searchsorted(line_row, line_row[two])))
+                key &= mask
                 row, start, stop = np.concatenate((row, line_row[two])), np.concatenate((start, line_start[two])), np.concatenate((_content(data, end), pair_stop))
                 words = np.concatenate((words, line_words[two] + line_words[two + 1]))
+                if with_text:
+                    sent = in_bitmap(wanted.value, key) & (words > 0)
+                    key, place, row, start, stop, words = (x[sent] for x in (key, place, row, start, stop, words))
                 take = pa.array(row)
                 out = [pa.array(key.view(np.int64)), part.column("doc_id").take(take), part.column("same").take(take), pa.array(place.astype(np.int32)), pa.array(words.astype(np.int32))]
                 if with_text:
@@ -154,7 +164,7 @@ def _cut(window: int, one_in: int, long_line: int, min_words: int):
     return run
 
 
-def line_dedup(docs: DataFrame, window: int = WINDOW, one_in: int = ONE_IN, long_line: int = LONG_LINE, min_words: int = MIN_WORDS, keep: list[str] | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, window: int = WINDOW, one_in: int = ONE_IN, long_line: int = LONG_LINE, min_words: int = MIN_WORDS, keep: list[str] | None = None, bits: int = 64) -> DataFrame:
     """(doc_id, text, removed) of every row of ``docs(doc_id, text)``: its text without repeated runs.
 
     ``keep`` names further columns of ``docs`` to return as they are.
@@ -171,19 +181,24 @@ def line_dedup(docs: DataFrame, window: int = WINDOW, one_in: int = ONE_IN, long
     * lines end at ``\\n``; a text of any length is whole; an empty table gives no rows.
 
     Per repeated key only a minimum is gathered, combined before the shuffle, and
-    the joins on keys are ones that Spark splits when a key is hot.
+    the joins on keys are ones that Spark splits when a key is hot. Bytes are sent only
+    for hashes (of ``bits`` bits) that repeat; equal hashes of different bytes are told
+    apart.
     """
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("same"), text.alias("text"))
     fields = "key long, doc_id long, same long, place int, words int"
     where = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "same", "place")
-    light = rows.mapInArrow(_chunks(window, one_in, long_line, False), fields)
-    repeated = light.where("words > 0").groupBy("key").agg(F.min(where).alias("first"), F.max(where).alias("other")).where("first <> other").select("key", "first")
+    light = rows.mapInArrow(_chunks(window, one_in, long_line, bits), fields)
+    repeated = light.where("words > 0").groupBy("key").agg(F.min(where).alias("first"), F.max(where).alias("other")).where("first <> other").select("key")
     repeated = materialise(repeated)
-    heavy = rows.mapInArrow(_chunks(window, one_in, long_line, True), fields + ", body binary")
-    held = materialise(heavy.join(repeated, "key"))
-    model = held.where(where == F.col("first")).groupBy("key").agg(F.min("body").alias("model"))
-    later = held.where(where != F.col("first")).join(model, "key").where(F.col("body") == F.col("model"))
+    wanted = bitmap_of(repeated, "key", BITMAP_WORDS)
+    heavy = rows.mapInArrow(_chunks(window, one_in, long_line, bits, wanted), fields + ", body binary")
+    held = materialise(heavy.join(repeated, "key").select("key", "body", "doc_id", "same", "place"))
+    wanted.destroy()
+    pair = F.col("place") >= _PAIRS
+    firsts = held.groupBy("key", F.col("body").alias("model"), pair.alias("of_pair")).agg(F.min(where).alias("first"))
+    later = held.join(firsts, "key").where((F.col("body") == F.col("model")) & (pair == F.col("of_pair")) & (where != F.col("first")))
     marks = later.groupBy("doc_id", "same").agg(F.collect_set("place").alias("marked"))
     marks = materialise(marks)
     carried = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keep or ())]

@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
 #: Bytes of text after which a worker hands freed memory back to the system.
@@ -162,3 +164,22 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.
         new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
         row, value = row[new], value[new]
     return row, value
+
+
+def in_bitmap(words: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Whether each 64-bit value's bit is set."""
+    word = words[(value & np.uint64(len(words) * 64 - 1)) >> np.uint64(6)]
+    return (word >> (value & np.uint64(63))) & np.uint64(1) == 1
+
+
+def bitmap_of(values: DataFrame, column: str, words: int):
+    """A broadcast bitmap of ``words`` 64-bit words (a power of two) with the low bits of a column's values.
+
+    Its words are put together by Spark; their number bounds what reaches the driver.
+    """
+    bit = F.col(column).bitwiseAND(F.lit(words * 64 - 1))
+    one = F.expr(f"shiftleft(1L, cast({column} & 63 as int))")
+    found = values.groupBy(F.shiftrightunsigned(bit, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    out = np.zeros(words, np.uint64)
+    out[np.asarray(found["word"])] = np.asarray(found["bits"]).view(np.uint64)
+    return values.sparkSession.sparkContext.broadcast(out)
