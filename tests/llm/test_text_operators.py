@@ -44,25 +44,30 @@ def shingle_sets(rows):
 
 
 def brute_components(rows):
+    """(doc_id, n_shingles, component_id, n_links) of every row."""
     sets, ids = shingle_sets(rows), [r[0] for r in rows]
     label = {i: i for i in ids if i is not None}
+    linked = [set() for _ in rows]
+    for a in range(len(rows)):
+        for b in range(len(rows)):
+            if ids[a] is not None and ids[b] is not None and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                linked[a].add((ids[b], frozenset(sets[b])))
     changed = True
     while changed:
         changed = False
         for a in range(len(rows)):
-            for b in range(a):
-                if ids[a] is None or ids[b] is None or not sets[a] or not sets[b]:
-                    continue
-                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                    low = min(label[ids[a]], label[ids[b]])
-                    if label[ids[a]] != low or label[ids[b]] != low:
-                        label[ids[a]] = label[ids[b]] = low
-                        changed = True
-    return sorted(((i, len(s), label.get(i)) for i, s in zip(ids, sets, strict=True)), key=repr)
+            for i, _ in linked[a]:
+                low = min(label[ids[a]], label[i])
+                if label[ids[a]] != low or label[i] != low:
+                    label[ids[a]] = label[i] = low
+                    changed = True
+    return sorted(((i, len(s), label.get(i), len(x - {(i, frozenset(s))})) for i, s, x in zip(ids, sets, linked, strict=True)), key=repr)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_join_equals_brute_force(spark, seed):
+def test_jaccard_join_equals_brute_force(spark, monkeypatch, seed):
+    if seed == 2:
+        monkeypatch.setattr(jaccard_join, "TILE_ROWS", 3)
     rng = random.Random(seed)
     rows = list(EDGES)
     base = [words(rng, rng.choice((8, 30, 60, 150))) for _ in range(12)]
@@ -75,8 +80,21 @@ def test_jaccard_join_equals_brute_force(spark, seed):
     for _ in range(15):
         rows.append((n, words(rng, 30) + " " + passage, "en"))
         n += 1
-    got = sorted(map(tuple, jaccard_join.jaccard_join(docs(spark, rows).repartition(3)).collect()), key=repr)
-    assert got == brute_components(rows)
+    rows += [(n + k, base[2], "en") for k in range(4)] + [(n, base[2], "en")] * 2
+    got = jaccard_join.jaccard_join(docs(spark, rows).repartition(3)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got), key=repr) == brute_components(rows)
+
+
+def test_jaccard_join_of_one_id_with_several_texts(spark):
+    rng = random.Random(41)
+    one, two, three = (words(rng, 60) for _ in range(3))
+    rows = [(1, one, "en"), (2, two, "en"), (3, one, "en"), (3, edited(rng, two, 1), "en"), (4, three, "en"), (4, None, "en"), (5, edited(rng, three, 1), "en"), (6, words(rng, 60), "en"), (6, "!", "en"), (7, edited(rng, one, 1), "en")]
+    got = jaccard_join.jaccard_join(docs(spark, rows)).collect()
+    want = brute_components(rows)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got), key=repr) == want
+    assert {i: c for i, _, c, _ in want} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 1}
+    without = jaccard_join.jaccard_join(docs(spark, rows), links=False)
+    assert without.columns == ["doc_id", "n_shingles", "component_id"] and without.count() == len(rows)
 
 
 def test_jaccard_join_of_nothing(spark):

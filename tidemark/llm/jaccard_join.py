@@ -7,6 +7,9 @@ threshold are skipped (index-level skipping). Every set is first compared with
 its lists' leading set only; with those answers at hand, pairs inside one
 component, and pairs that the triangle inequality of the Jaccard distance rules
 out, are never formed (answer-level skipping). What remains is verified exactly.
+Links inside a component are counted incrementally: each set is kept as its
+difference from the component's most linked set, and the overlap of two sets follows
+from that set's size and their short differences.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,15 +35,23 @@ LEAST_COUNT = 4
 BITMAP_WORDS = 1 << 20
 #: Ids (8 bytes each) up to which a list of documents is broadcast to the scan of their texts.
 BROADCAST_IDS = 1_000_000
+#: Classes, and items of their differences, in a tile of a component.
+TILE_ROWS, TILE_ITEMS = 1024, 1_000_000
 POSTING = "token long, doc long, n int, pos int"
 
 
+def _sets_of(part: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    row, value = shingles(*buffers(part.column("text")), width)
+    return row, value, np.bincount(row, minlength=part.num_rows).astype(np.int64)
+
+
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
     for part in slices(batch, "text"):
-        data, offsets = buffers(part.column("text"))
-        row, value = shingles(data, offsets, width)
-        size = np.bincount(row, minlength=part.num_rows).astype(np.int64)
-        yield part.column("doc_id"), row, value, size
+        yield part.column("doc_id"), *_sets_of(part, width)
+
+
+def _signature(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    return _sum_by_row(row, mix(value ^ np.uint64(0x5851F42D4C957F2D)), n).view(np.int64)
 
 
 def _sum_by_row(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
@@ -67,9 +79,8 @@ def _describe(width: int):
         held, count = [], 0
         for batch in batches:
             for ids, row, value, size in _sets(batch, width):
-                sig1 = _sum_by_row(row, mix(value ^ np.uint64(0x5851F42D4C957F2D)), len(ids))
                 sig2 = _sum_by_row(row, mix(value ^ np.uint64(0x14057B7EF767814F)), len(ids))
-                yield rows(doc_id=ids, n=size, sig1=sig1.view(np.int64), sig2=sig2.view(np.int64))
+                yield rows(doc_id=ids, n=size, sig1=_signature(row, value, len(ids)), sig2=sig2.view(np.int64))
                 held.append(value)
                 count += len(value)
                 if count >= WINDOW_TOKENS:
@@ -144,9 +155,12 @@ def _set_rows(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, _, value, size in _sets(batch, width):
+            for part in slices(batch, "text"):
+                row, value, size = _sets_of(part, width)
+                own = (size == np.asarray(part.column("n"))) & (_signature(row, value, len(size)) == np.asarray(part.column("sig1")))
                 offsets = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, pa.array(value.view(np.int64)))], schema=schema)
+                rows = pa.RecordBatch.from_arrays([part.column("cls"), pa.ListArray.from_arrays(offsets, pa.array(value.view(np.int64)))], schema=schema)
+                yield rows.filter(pa.array(own))
 
     return run
 
@@ -158,12 +172,20 @@ def _reachable(percent: int, x: str, y: str):
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * overlap >= percent * (n + m))
 
 
-def _verify(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def _sets_by_class(texts: DataFrame, wanted: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(doc, items), materialised: the set of each class in ``wanted(doc)``, from its text with the smallest doc_id."""
+    ids = wanted.join(classes.select(F.col("cls").alias("doc"), "n", "sig1", "rep"), "doc").select(F.col("doc").alias("cls"), "n", "sig1", F.col("rep").alias("doc_id"))
+    n = wanted.count()
+    sets = texts.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id").select("cls", "n", "sig1", "text")
+    sets = materialise(sets.mapInArrow(_set_rows(width), "doc long, items array<long>"))
+    if sets.count() > n:  # repeated rows
+        return _done(sets.dropDuplicates(["doc"]), sets)
+    return sets
+
+
+def _verify(texts: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """(x, y, distance, linked) by exact intersection of the two sets."""
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    sets = materialise(texts.join(ids, "doc_id", "left_semi").mapInArrow(_set_rows(width), "doc long, items array<long>"))
+    sets = _sets_by_class(texts, pairs.select(F.explode(F.array("x", "y")).alias("doc")).distinct(), classes, width)
     both = pairs.join(sets.select(F.col("doc").alias("x"), F.col("items").alias("xs")), "x").join(sets.select(F.col("doc").alias("y"), F.col("items").alias("ys")), "y")
     common = F.size(F.array_intersect("xs", "ys")).cast("long")
     union = F.size("xs") + F.size("ys") - common
@@ -176,16 +198,20 @@ def _done(result: DataFrame, *held: DataFrame) -> DataFrame:
     return out
 
 
-def jaccard_join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, max_ordered: int = MAX_ORDERED) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``.
+def jaccard_join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, max_ordered: int = MAX_ORDERED, links: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) for every row of ``docs(doc_id, text)``.
 
     Two documents link when ``100 * intersection >= percent * union`` of their
-    shingle sets; ``component_id`` is the smallest doc_id reachable by links.
+    shingle sets; ``component_id`` is the smallest doc_id reachable by links, and
+    ``n_links`` counts the other documents whose text links with the row's text. Without
+    ``links`` that column, and the comparisons inside components that it needs, are left out.
 
-    * null or wordless text: n_shingles 0, component_id its own doc_id;
+    * null or wordless text: n_shingles 0, component_id its own doc_id unless another
+      text of that doc_id links, no links;
     * null doc_id: the row is returned with a null component_id and links to nothing;
     * repeated rows: each is returned; rows that share a doc_id are one node, which
-      links if any of its texts does;
+      links if any of its texts does; ``n_links`` counts a doc_id once for each of its
+      texts that links;
     * other columns, whatever their names, are ignored; an empty table gives no rows.
 
     Tokens are 64-bit hashes. The list of frequent tokens that orders the index holds
@@ -203,15 +229,17 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, ma
     order = np.argsort(token)
     heavy = sc.broadcast((token[order], np.asarray(top["times"])[order]))
 
-    classes = materialise(members.where("n > 0 and doc_id is not null").groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("rep")))
-    known = texts.where("doc_id is not null")
+    # a class is one set; from here on sets are named by the number of their class
+    known = members.where("n > 0 and doc_id is not null").distinct()
+    classes = materialise(known.groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).withColumn("cls", F.monotonically_increasing_id()))
+    owned = materialise(known.join(classes, ["n", "sig1", "sig2"]).select("doc_id", "n", "sig1", "sig2", "cls"))
+    usable = texts.where("doc_id is not null")
 
     # tokens found to return go behind the others, which leaves few of them in the second prefixes
-    common = _repeated(known, width, percent, heavy, None)
-    wanted = _repeated(known, width, percent, heavy, common)
-    reps = members.join(classes, ["n", "sig1", "sig2"]).select(F.col("doc_id").alias("doc"), "n", "rep")
-    raw = known.mapInArrow(_prefixes(width, percent, heavy, common, wanted), POSTING)
-    postings = materialise(raw.join(reps, ["doc", "n"]).select("token", F.col("rep").alias("doc"), "n", "pos").groupBy("token", "doc", "n").agg(F.min("pos").alias("pos")))
+    common = _repeated(usable, width, percent, heavy, None)
+    wanted = _repeated(usable, width, percent, heavy, common)
+    raw = usable.mapInArrow(_prefixes(width, percent, heavy, common, wanted), POSTING)
+    postings = materialise(raw.join(owned.select(F.col("doc_id").alias("doc"), "n", "cls"), ["doc", "n"]).select("token", F.col("cls").alias("doc"), "n", "pos").groupBy("token", "doc", "n").agg(F.min("pos").alias("pos")))
 
     for held in (heavy, common, wanted):
         held.destroy()
@@ -221,21 +249,111 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, ma
     mine = postings.select("token", F.col("doc").alias("xdoc"), F.col("n").alias("xn"), F.col("pos").alias("xpos"))
     first = mine.join(leads, "token").where((F.col("xdoc") != F.col("ydoc")) & _reachable(percent, "x", "y"))
     first_pairs = materialise(first.select(F.least("xdoc", "ydoc").alias("x"), F.greatest("xdoc", "ydoc").alias("y")).distinct())
-    answers = _verify(texts, first_pairs, width, percent)
-    links = answers.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    found = materialise(components(links))
-
-    rest = _remaining(postings, found, answers, percent)
-    rest_pairs = materialise(rest)
-    more = _verify(texts, rest_pairs, width, percent).where("linked")
-    final = components(links.unionByName(more.select(F.col("x").alias("a"), F.col("y").alias("b")))) if more.take(1) else found
-
-    placed = members.join(classes, ["n", "sig1", "sig2"], "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    out = materialise(placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id")))
-    discard(described, often, classes, postings, first_pairs, answers, found, rest_pairs)
+    answers = _verify(texts, first_pairs, classes, width, percent)
+    verified = answers.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # the texts of one doc_id are one node
+    several = owned.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b")
+    shared = owned.join(several.select("doc_id", "a"), "doc_id").where("cls <> a").select("a", F.col("cls").alias("b"))
+    edges = verified.unionByName(shared)
+    found = materialise(components(edges))
+
+    rest_pairs = materialise(_remaining(postings, found, answers, percent))
+    more = _verify(texts, rest_pairs, classes, width, percent).where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    again = bool(more.take(1))
+    final = materialise(components(edges.unionByName(more))) if again else found
+
+    placed = classes.join(final.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", "copies", F.coalesce("component", "cls").alias("component"))
+    smallest = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
+    facts = placed.join(smallest, "component")
+    out = members.join(owned, ["doc_id", "n", "sig1", "sig2"], "left")
+    # a wordless row goes by another text of its doc_id
+    by_id = owned.join(facts, "cls").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    out = out.join(by_id, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
+    if links:
+        counts = _link_counts(texts, placed, verified.unionByName(more), classes, width, percent)
+        linked = classes.join(counts, "cls", "left").select("cls", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        out = out.join(linked, "cls", "left")
+        columns.append(F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = materialise(out.select(*columns))
+    discard(described, often, classes, owned, postings, first_pairs, answers, found, final, rest_pairs)
     return out
 
 
+def _link_counts(texts: DataFrame, placed: DataFrame, links: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(cls, linked): how many documents of other classes link with each class that has any.
+
+    The verified links suffice in a component of two classes. In a larger one every
+    class is reduced to what its set lacks and adds against the set of its most linked
+    class; classes are dealt into tiles of bounded size, and each pair of tiles is one
+    group, which counts links from those differences. Rows grow with the classes
+    times the tiles, comparisons with the square of the classes of one component.
+    """
+    size = placed.groupBy("component").agg(F.count("*").alias("k"))
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    where = placed.select("cls", "component", "copies").join(size, "component")
+    ends = both.join(where.select(F.col("cls").alias("a"), "component", "k"), "a")
+    two = ends.where("k = 2").join(placed.select(F.col("cls").alias("b"), "copies"), "b").select(F.col("a").alias("cls"), F.col("copies").alias("linked"))
+    degree = ends.where("k > 2").groupBy("component", "a").agg(F.count("*").alias("degree"))
+    centre = degree.groupBy("component").agg(F.max(F.struct("degree", (-F.col("a")).alias("back"))).alias("top")).select("component", (-F.col("top.back")).alias("centre"))
+    grouped = materialise(where.where("k > 2").join(centre, "component").select("cls", "component", "copies", "k", "centre"))
+    if not grouped.take(1):
+        discard(grouped)
+        return two
+    sets = _sets_by_class(texts, grouped.select(F.col("cls").alias("doc")), classes, width)
+    own = grouped.join(sets.withColumnRenamed("doc", "cls"), "cls")
+    middle = sets.select(F.col("doc").alias("centre"), F.col("items").alias("middle"))
+    differ = own.join(middle, "centre").select("component", "cls", "copies", F.size("items").alias("n"), F.size("middle").alias("m"), F.array_except("items", "middle").alias("adds"), F.array_except("middle", "items").alias("lacks"))
+    differ = _done(differ, sets)
+    tiles = differ.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum(F.size("adds") + F.size("lacks")) / TILE_ITEMS)).cast("int").alias("tiles"))
+    dealt = differ.join(tiles, "component").withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    met = met.select("component", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "tile", "cls", "copies", "n", "m", "adds", "lacks")
+    counted = met.groupBy("component", "ta", "tb").applyInArrow(_count_links(percent), "cls long, linked long")
+    return _done(counted.groupBy("cls").agg(F.sum("linked").alias("linked")).unionByName(two), grouped, differ)
+
+
+def _count_links(percent: int):
+    schema = pa.schema([("cls", pa.int64()), ("linked", pa.int64())])
+
+    def shared(rows: pa.Table, column: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """(a, b): how many items the lists of two rows share."""
+        lists = rows[column].combine_chunks()
+        item = np.asarray(lists.flatten())
+        row = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
+        out = np.zeros((len(a), len(b)), np.float32)
+        if not len(item):
+            return out
+        _, item, times = np.unique(item, return_inverse=True, return_counts=True)
+        row, item = row[times[item] > 1], item[times[item] > 1]
+        place = np.full((2, len(lists)), -1)
+        place[0, a], place[1, b] = np.arange(len(a)), np.arange(len(b))
+        _, item = np.unique(item, return_inverse=True)
+        order = np.argsort(item, kind="stable")
+        row, item = row[order], item[order]
+        for low in range(0, int(item[-1]) + 1 if len(item) else 0, 2048):
+            i, j = np.searchsorted(item, (low, low + 2048))
+            block = np.zeros((len(lists), 2048), np.float32)
+            block[row[i:j], item[i:j] - low] = 1
+            out += block[a] @ block[b].T
+        return out
+
+    def run(rows: pa.Table) -> pa.Table:
+        tile, cls = np.asarray(rows["tile"]), np.asarray(rows["cls"])
+        ta, tb = rows["ta"][0].as_py(), rows["tb"][0].as_py()
+        a, b = np.flatnonzero(tile == ta), np.flatnonzero(tile == tb)
+        n, copies, m = (np.asarray(rows[c]).astype(np.int64) for c in ("n", "copies", "m"))
+        lack = np.asarray(pc.list_value_length(rows["lacks"])).astype(np.int64)
+        common = m[0] - lack[a][:, None] - lack[b] + np.rint(shared(rows, "lacks", a, b) + shared(rows, "adds", a, b)).astype(np.int64)
+        linked = (100 * common >= percent * (n[a][:, None] + n[b] - common)) & (cls[a][:, None] != cls[b])
+        got = [(cls[a], linked @ copies[b])]
+        if ta != tb:
+            got.append((cls[b], copies[a] @ linked))
+        return pa.table([pa.array(np.concatenate([x for x, _ in got])), pa.array(np.concatenate([y for _, y in got]).astype(np.int64))], schema=schema)
+
+    return run
+
+
 def _remaining(postings: DataFrame, found: DataFrame, answers: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of different components, by blocks of size and position."""
     near = answers.select(F.explode(F.array(F.struct(F.col("x").alias("doc"), F.col("y").alias("pivot"), "distance"), F.struct(F.col("y").alias("doc"), F.col("x").alias("pivot"), "distance"))).alias("e")).select("e.*")
