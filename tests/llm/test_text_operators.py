@@ -248,8 +248,8 @@ def test_line_dedup_removes_passages_of_short_lines(spark):
             assert got[i].text == text and got[i].removed == 0
 
 
-def brute_line_dedup(rows, min_words=30):
-    """Rows of (doc_id, text) with distinct ids: chunks and pairs by their bytes, first places by doc_id."""
+def brute_line_dedup(rows, min_words=30, by_row=False):
+    """Distinct rows of (doc_id, text): chunks and pairs by their bytes, first places by doc_id."""
     units = []
     for i, text in sorted(rows):
         data = np.frombuffer((text or "").encode(), np.uint8)
@@ -261,6 +261,7 @@ def brute_line_dedup(rows, min_words=30):
         units.append((i, text, lines, count, own))
     seen, out = set(), {}
     for i, text, lines, count, own in units:
+        key = (i, text) if by_row else i
         marked = set()
         for places, n, kind in own:
             body = kind, b"".join(lines[k] for k in places).removesuffix(b"\n")
@@ -278,7 +279,7 @@ def brute_line_dedup(rows, min_words=30):
         left = b"".join(line for k, line in enumerate(lines) if k not in gone)
         if gone and len(lines) - 1 in gone and not text.endswith("\n"):
             left = left.removesuffix(b"\n")
-        out[i] = left.decode() if gone else text
+        out[key] = left.decode() if gone else text
     return out
 
 
@@ -327,16 +328,45 @@ def test_bloom_masks_name_every_language():
     assert (model.false_positive < 0.01).all()
 
 
-def test_pipeline_stages_keep_columns(spark):
+def brute_contaminated(text, items):
+    cut = lambda t: [tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(len(w) - 4)]
+    hs = cut(text)
+    for body in items:
+        its = cut(body)
+        for start in range(1 - len(its), len(hs)):
+            common, union = _multiset_similarity(hs[max(0, start) : start + len(its)], its)
+            if common and 100 * common >= 80 * union:
+                return True
+    return False
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
 
-    sf = "/root/testdata/sf0.001"
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "ngram_jaccard_join", "benchmark_decontamination", "bpe"]
-    table = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
-    extra = table.unionByName(table.where("doc_id = 7").withColumn("doc_id", F.lit(9001).cast("long"))).unionByName(table.limit(1).withColumns({"doc_id": F.lit(9002).cast("long"), "text": F.lit(None).cast("string")}))
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, extra, sf)
-        assert after.columns == extra.columns
-        extra = spark.createDataFrame(after.collect(), extra.schema)
-    ids = {r.doc_id for r in extra.collect()}
-    assert 9001 not in ids and 9002 not in ids and 7 in ids and len(ids) >= 50
+    rng = random.Random(19)
+    items = [words(rng, 30) for _ in range(3)]
+    passage = "\n".join(words(rng, 15) for _ in range(5))
+    rows = [(n, words(rng, 60) + (f"\n{passage}\n" if n % 9 == 0 else " ") + words(rng, 20)) for n in range(60)]
+    rows += [(100 + n, edited(rng, rows[n][1], 1)) for n in range(1, 9)]
+    rows += [(200, words(rng, 20) + " " + items[0] + " " + words(rng, 9)), (201, edited(rng, items[1], 1)), (300, None), (301, ""), (302, "!!! 123"), (None, words(rng, 50)), (3, rows[3][1]), (4, words(rng, 70))]
+    rows = [(i, t and "word " * 12 + t) if i != 302 else (i, t) for i, t in rows]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _row int")
+    table.repartition(3).write.parquet(f"{tmp_path}/a/documents.parquet")
+    table.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    for sub in "ab":
+        spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/{sub}/benchmark.parquet")
+    last = 10**6  # stands for null, which sorts last
+    left = brute_line_dedup({(last if i is None else i, t) for i, t in rows if t and re.search("[a-z]", t)}, by_row=True)
+    ordered = sorted((k for k in left if left[k].strip()), key=lambda k: (k[0], k[1]))
+    groups = [c for _, _, c, _ in sorted(brute_components([(n, left[k], "") for n, k in enumerate(ordered)]))]
+    kept = [k for n, k in enumerate(ordered) if groups[n] == n]
+    library = Tokenizer.from_file(vocabulary_path())
+    want = sorted((k[0], len(library.encode(left[k], add_special_tokens=False).ids), hashlib.sha256(left[k].encode()).hexdigest()) for k in kept if not brute_contaminated(left[k], items))
+    got = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    assert sorted((last if r.doc_id is None else r.doc_id, r.n_tokens, r.decoded_sha256) for r in got) == want
+    ids = [k for k, _, _ in want]
+    assert last in ids and ids.count(3) == 1 and ids.count(4) == 2 and not {101, 102, 200, 300, 301, 302} & set(ids)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0

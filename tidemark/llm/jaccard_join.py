@@ -257,7 +257,7 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, ma
     edges = verified.unionByName(shared)
     found = materialise(components(edges))
 
-    rest_pairs = materialise(_remaining(postings, found, answers, percent))
+    rest_pairs = _remaining(postings, found, answers, percent)
     more = _verify(texts, rest_pairs, classes, width, percent).where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
     again = bool(more.take(1))
     final = materialise(components(edges.unionByName(more))) if again else found
@@ -355,7 +355,7 @@ def _count_links(percent: int):
 
 
 def _remaining(postings: DataFrame, found: DataFrame, answers: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different components, by blocks of size and position."""
+    """Candidate pairs of different components, by blocks of size and position; materialised."""
     near = answers.select(F.explode(F.array(F.struct(F.col("x").alias("doc"), F.col("y").alias("pivot"), "distance"), F.struct(F.col("y").alias("doc"), F.col("x").alias("pivot"), "distance"))).alias("e")).select("e.*")
     near = near.groupBy("doc").agg(F.min(F.struct("distance", "pivot")).alias("near")).select("doc", F.col("near.pivot").alias("pivot"), F.col("near.distance").alias("far"))
     known = postings.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")).join(near, "doc", "left")
@@ -376,4 +376,4 @@ def _remaining(postings: DataFrame, found: DataFrame, answers: DataFrame, percen
     apart = (F.col("xpivot") == F.col("ypivot")) & (F.abs(F.col("xfar") - F.col("yfar")) > 1 - percent / 100 + 1e-9)
     pairs = pairs.where((F.col("xcomponent") != F.col("ycomponent")) & _reachable(percent, "x", "y") & ~F.coalesce(apart, F.lit(False)))
     pairs = pairs.select(F.least("xdoc", "ydoc").alias("x"), F.greatest("xdoc", "ydoc").alias("y")).distinct()
-    return pairs.join(answers.select("x", "y"), ["x", "y"], "left_anti")
+    return _done(pairs.join(answers.select("x", "y"), ["x", "y"], "left_anti"), entries)
