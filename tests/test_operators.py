@@ -77,17 +77,20 @@ def test_merge_analytics(spark):
     assert (got["GTM-ABC123"].last_seen, got["GTM-ABC123"].attrs["pivot_url"]) == ("2021-01", "p")
 
 
-def test_dealing_by_score():
-    assert selection.deal_by_score(["/", "/admin"], [5, 5], [2, 3], 10) == [5, 5]
-    assert selection.deal_by_score(["/", "/admin", "/x"], [5, 5, 9], [2, 3, 1], 2) == [1, 1, 0]
+def test_dealing_by_score(spark):
     rng = random.Random(5)
-    for _ in range(200):
-        n = rng.randrange(1, 8)
-        sizes, scores = [rng.randrange(1, 30) for _ in range(n)], [rng.choice((1, 2, 3)) for _ in range(n)]
-        cap = rng.randrange(1, sum(sizes) + 3)
-        dealt = selection.deal_by_score([f"/{i}" for i in range(n)], sizes, scores, cap)
+    groups = {"a": ([("/", 5, 2), ("/admin", 5, 3)], 10), "b": ([("/", 5, 2), ("/admin", 5, 3), ("/x", 9, 1)], 2)}
+    for g in range(200):
+        paths = [(f"/{i}", rng.randrange(1, 30), rng.choice((1, 2, 3))) for i in range(rng.randrange(1, 8))]
+        groups[f"g{g}"] = paths, rng.randrange(1, sum(n for _, n, _ in paths) + 3)
+    rows = [(g, p, n, score, cap) for g, (paths, cap) in groups.items() for p, n, score in paths]
+    got = {}
+    for r in selection.dealt_by_score(spark.createDataFrame(rows, "_by string, _path string, n long, score int, cap long")).collect():
+        got.setdefault(r["_by"], {})[r["_path"]] = r.allocated
+    assert got["a"] == {"/": 5, "/admin": 5} and got["b"] == {"/": 1, "/admin": 1, "/x": 0}
+    for g, (paths, cap) in groups.items():
         # what a full path cannot take is offered to each other path once
-        assert sum(dealt) <= min(cap, sum(sizes)) and all(0 <= d <= s for d, s in zip(dealt, sizes, strict=True))
+        assert sum(got[g].values()) <= min(cap, sum(n for _, n, _ in paths)) and all(0 <= got[g][p] <= n for p, n, _ in paths)
 
 
 def test_selection_fills_the_cap(spark):

@@ -10,6 +10,7 @@ from tidemark.functions import rules
 from tidemark.functions.text import host_of
 from tidemark.operators.native_extract import native_hits, prepared
 from tidemark.operators.page_extract import page_hits
+from tidemark.session import discard, materialise
 
 ALL_CATEGORIES = (
     "emails", "phones", "subdomains", "api_keys", "cloud_buckets", "analytics_trackers", "endpoints", "assets", "social_profiles", "technologies", "persons", "organizations", "addresses", "linked_documents", "html_comments", "meta_info", "html_titles", "jwt_tokens",
@@ -30,11 +31,17 @@ def url_subdomains(pages: DataFrame) -> DataFrame:
     return rows.select(F.lit(-1).cast("long").alias("page_seq"), F.col("page_seq").alias("hit_seq"), F.lit("subdomains").alias("category"), F.col("host").alias("key"), "month", F.lit(None).cast("string").alias("source_url"), attrs.alias("attrs"))
 
 
-def all_hits(pages: DataFrame, categories: list[str] | None = None) -> DataFrame:
-    """Hits of every requested category (None: all) over ``pages``."""
+def raw_hits(pages: DataFrame, categories: list[str] | None = None) -> DataFrame:
+    """Hits of every requested category (None: all) over ``pages``, captchas unsettled."""
     hits = native_hits(pages, categories).unionByName(page_hits(pages, categories))
     if categories is None or "subdomains" in categories:
         hits = hits.unionByName(url_subdomains(pages))
+    return hits
+
+
+def all_hits(pages: DataFrame, categories: list[str] | None = None) -> DataFrame:
+    """Hits of every requested category (None: all) over ``pages``."""
+    hits = raw_hits(pages, categories)
     return settle_captchas(hits) if categories is None or "captcha_providers" in categories else hits
 
 
@@ -78,8 +85,13 @@ def ranked(findings: DataFrame) -> DataFrame:
 
 
 def findings_of(pages: DataFrame, categories: list[str] | None = None) -> DataFrame:
-    """The whole batch: hits, fold, social/outgoing reconciliation, provenance, rank. ``[]`` gives nothing."""
-    folded = fold(all_hits(pages, categories)).where(F.col("category") != "_errors")
+    """The whole batch: hits, fold, social/outgoing reconciliation, provenance, rank. ``[]`` gives nothing.
+
+    Hits and findings are read several times below, so each is written once.
+    """
+    hits = materialise(raw_hits(pages, categories))
+    folded = materialise(fold(settle_captchas(hits)).where(F.col("category") != "_errors"))
+    discard(hits)
     if categories is not None:
         folded = folded.where(F.col("category").isin(*categories)) if categories else folded.limit(0)
     settled = reconcile_social(folded)

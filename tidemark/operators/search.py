@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import let
+from tidemark.session import materialise
 
 #: Fixed values of the ranking function, and bounds of the index.
 K1, B = 1.2, 0.75
@@ -51,22 +52,45 @@ def bm25(texts: DataFrame, doc: str, text: str, query: str, limit: int = 50) ->
     phrases = parse_query(query)
     if not phrases:
         return texts.select(F.col(doc).alias("doc"), F.lit(0.0).alias("score")).limit(0)
-    words = F.regexp_extract_all(folded(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0))
+    plain = folded(F.coalesce(F.col(text), F.lit("")))
     counters = []
     for words_, prefix in phrases:
-        def starts(ws, words_=tuple(words_), prefix=prefix):
-            def same(i):
+
+        def starts(hs, words_=tuple(words_), prefix=prefix):
+            """Runs of hits, (place, word) in order, that are the phrase."""
+
+            def begins(h, i):
                 ok = F.lit(True)
                 for k, w in enumerate(words_):
-                    here = F.get(ws, i + k)
-                    ok = ok & (here.startswith(w) if prefix and k == len(words_) - 1 else here == w)
+                    here = F.get(hs, i + k)
+                    fits = here["w"].startswith(w) if prefix and k == len(words_) - 1 else here["w"] == w
+                    ok = ok & fits & (here["i"] == h["i"] + k)
                 return F.coalesce(ok, F.lit(False))
 
-            return F.size(F.filter(F.sequence(F.lit(0), F.greatest(F.size(ws) - 1, F.lit(0))), same))
+            return F.size(F.filter(hs, begins))
 
         counters.append(starts)
-    facts_of = let(words, lambda ws: F.struct(F.size(ws).alias("len"), F.array(*[f(ws) for f in counters]).alias("tf")))
-    rows = texts.select(F.col(doc).alias("doc"), facts_of.alias("x")).select("doc", "x.len", "x.tf")
+    exact = sorted({w for ws, prefix in phrases for w in (ws[:-1] if prefix else ws)})
+    begun = [ws[-1] for ws, prefix in phrases if prefix]
+
+    def asked(h):
+        """Whether a word of the text is one of the query's."""
+        ok = h["w"].isin(exact) if exact else F.lit(False)
+        for w in begun:
+            ok = ok | h["w"].startswith(w)
+        return ok
+
+    def counts(ws):
+        placed = F.filter(F.transform(ws, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), asked)
+        return F.struct(F.size(ws).alias("len"), let(placed, lambda hs: F.array(*[f(hs) for f in counters])).alias("tf"))
+
+    # a text without any of the words is only counted: its places are not looked at
+    some = plain.rlike("|".join(sorted({*exact, *begun})))  # words are letters and digits only
+    words = F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))
+    none = F.array(*[F.lit(0)] * len(phrases))
+    facts_of = F.when(some, let(words, counts)).otherwise(F.struct(F.regexp_count(plain, F.lit(WORD)).alias("len"), none.alias("tf")))
+    # read twice below; a row for each text, without the text
+    rows = materialise(texts.select(F.col(doc).alias("doc"), facts_of.alias("x")).select("doc", "x.len", "x.tf"))
     facts = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(phrases))]).first()
     score = F.lit(0.0)
     for i in range(len(phrases)):

@@ -19,9 +19,9 @@ from tidemark.operators.fold import ALL_CATEGORIES, fold
 from tidemark.operators.highlights import highlights
 from tidemark.plans.fixtures import fixture_pages, fixture_sql
 from tidemark.sources import sinks
-from tidemark.sources.captures import captures_of_pages
+from tidemark.sources.captures import captures_of_pages, stamp_of
 from tidemark.streaming import live
-from tidemark.session import table
+from tidemark.session import spread, table
 
 LINK = '<a href="([^"]+)"'
 TITLE = "(?s)<title>(.*?)</title>"
@@ -36,11 +36,9 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages`` and the fixture pages as the extractors take them."""
-    both = table(spark, sf_dir, "pages").select("page_id", "url", "html").unionByName(fixture_pages(spark))
-    stamped = captures_of_pages(both).select("page_seq", "timestamp")
-    host = host_of(F.col("url"))
-    domain = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
-    return both.withColumnRenamed("page_id", "page_seq").join(stamped, "page_seq").select("page_seq", "timestamp", "url", "html", domain.alias("domain"))
+    both = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")).unionByName(fixture_pages(spark))
+    domain = F.regexp_extract(host_of(F.col("url")), r"([^.]+\.[^.]+)$", 1)
+    return both.select(F.col("page_id").alias("page_seq"), stamp_of(F.col("page_id")).alias("timestamp"), "url", "html", domain.alias("domain"))
 
 
 def link_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +68,21 @@ b AS (SELECT min(first_seen) AS lo, max(last_seen) AS hi FROM f)"""
 )
 
 
+#: Shares of a cap of 100 by year, from ``y(year, n)``.
+_YEARS = """g AS (SELECT *, greatest(0, least(least(n, 3), 100 - coalesce(sum(least(n, 3)) OVER (ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS given FROM y),
+i AS (SELECT *, (100 - sum(given) OVER ()) AS budget, n - given AS room FROM g), j AS (SELECT *, CASE WHEN sum(room) OVER () > 0 THEN budget * room::DOUBLE / sum(room) OVER () ELSE 0 END AS ideal FROM i),
+k AS (SELECT *, least(room, floor(ideal)) AS base FROM j), l AS (SELECT *, budget - sum(base) OVER () AS spare, row_number() OVER (ORDER BY (given + base < n) DESC, ideal - floor(ideal) DESC, year DESC) AS place FROM k),
+years AS (SELECT year, n, least(n, given + base + CASE WHEN given + base < n AND place <= spare THEN 1 ELSE 0 END)::BIGINT AS allocated FROM l)"""
+#: Shares of a group's cap by score times volume, from ``p(g, path, n, score, cap)``.
+_DEALT = """s1 AS (SELECT *, count(*) OVER w AS paths, sum(n) OVER w AS total, row_number() OVER (PARTITION BY g ORDER BY score DESC, n DESC, path) AS best, score * n AS weight, cap * (score * n)::DOUBLE / sum(score * n) OVER w AS ideal FROM p WINDOW w AS (PARTITION BY g)),
+s2 AS (SELECT *, greatest(1, floor(ideal)) AS held FROM s1),
+s3 AS (SELECT *, cap - sum(held) OVER (PARTITION BY g) AS rest, row_number() OVER (PARTITION BY g ORDER BY ideal - held DESC, path DESC) AS place, coalesce(sum(held - 1) OVER (PARTITION BY g ORDER BY weight, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lighter FROM s2),
+s4 AS (SELECT *, held - greatest(0, least(held - 1, -rest - lighter)) + (place <= rest)::INT AS given FROM s3),
+s5 AS (SELECT *, sum(greatest(0, given - n)) OVER (PARTITION BY g) AS spare, least(given, n) AS kept FROM s4),
+s6 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY (kept < n) DESC, ideal - kept DESC, path DESC) AS taker FROM s5),
+dealt AS (SELECT g, path, n, score, (CASE WHEN cap >= total THEN n WHEN cap < paths THEN (best <= cap)::INT ELSE kept + (kept < n AND taker <= spare)::INT END)::BIGINT AS allocated FROM s6)"""
+
+
 # --- extraction -------------------------------------------------------------------------
 
 
@@ -157,6 +170,16 @@ def _ext_sql() -> dict[str, str]:
     return out
 
 
+def _bm25_sql(tests: list[str], limit: int) -> str:
+    """BM25 over ``documents`` with one test of a word ``x`` for each of the query's words."""
+    fold = f"translate(lower(coalesce(text, '')), {_quote(search._ACCENTED)}, {_quote(search._PLAIN)})"
+    every = range(len(tests))
+    tf = ", ".join(f"len(list_filter(t, lambda x: {test})) AS tf{i}" for i, test in enumerate(tests))
+    df = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in every)
+    score = " ".join(f"- greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2::DOUBLE / (tf{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / al))" for i in every)
+    return f"WITH d AS (SELECT doc_id AS doc, regexp_extract_all({fold}, '[\\p{{L}}\\p{{N}}]+') AS t FROM documents), c AS (SELECT doc, len(t) AS l, {tf} FROM d), f AS (SELECT count(*) AS n, avg(l) AS al, {df} FROM c) SELECT doc, round(0 {score}, 9) AS score FROM c, f WHERE {' AND '.join(f'tf{i} > 0' for i in every)} ORDER BY score, doc LIMIT {limit}"
+
+
 # --- queries --------------------------------------------------------------------------------
 
 
@@ -282,15 +305,16 @@ def merge_analytics(spark, sf_dir):
 
 
 def search_bm25(spark, sf_dir):
-    return search.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", "under the mit lic", 50)
+    return search.bm25(spread(table(spark, sf_dir, "documents")), "doc_id", "text", "under the mit lic", 50)
 
 
 def search_accent_fold(spark, sf_dir):
-    return search.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", "être", 20)
+    return search.bm25(spread(table(spark, sf_dir, "documents")), "doc_id", "text", "être", 20)
 
 
 def search_postings(spark, sf_dir):
-    found = search.postings(table(spark, sf_dir, "conversations").where("turn = 0"), "conv_id", "text")
+    """Over every turn: a document is one conversation."""
+    found = search.postings(table(spark, sf_dir, "conversations"), "conv_id", "text")
     return found.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
@@ -383,6 +407,11 @@ k AS (SELECT *, least(room, floor(ideal)) AS base FROM j), l AS (SELECT *, budge
 SELECT year, n, least(n, given + base + CASE WHEN given + base < n AND place <= spare THEN 1 ELSE 0 END)::BIGINT AS allocated FROM l""",
         "sel_evenly_by_year": f"""{caps}, r AS (SELECT page_seq, timestamp, substr(timestamp, 1, 4) AS year, row_number() OVER (PARTITION BY substr(timestamp, 1, 4) ORDER BY timestamp, url) - 1 AS i, count(*) OVER (PARTITION BY substr(timestamp, 1, 4)) AS k FROM caps)
 SELECT page_seq, timestamp FROM r WHERE k <= 5 OR i IN (round_even(0 * (k - 1) / 4.0, 0), round_even(1 * (k - 1) / 4.0, 0), round_even(2 * (k - 1) / 4.0, 0), round_even(3 * (k - 1) / 4.0, 0), round_even(4 * (k - 1) / 4.0, 0))""",
+        "sel_score_allocation": f"{caps}, p AS (SELECT 0 AS g, path, count(*) AS n, {score} AS score, 60 AS cap FROM caps GROUP BY path), {_DEALT} SELECT path, n, score, allocated FROM dealt",
+        "sel_full_selection": f"""{caps}, kept AS (SELECT *, substr(timestamp, 1, 4) AS year FROM caps QUALIFY row_number() OVER (PARTITION BY path, digest ORDER BY timestamp, url) = 1),
+y AS (SELECT year, count(*) AS n FROM kept GROUP BY 1), {_YEARS}, p AS (SELECT kept.year AS g, path, count(*) AS n, {score} AS score, any_value(years.allocated) AS cap FROM kept JOIN years USING (year) GROUP BY 1, 2), {_DEALT},
+r AS (SELECT *, row_number() OVER (PARTITION BY year, path ORDER BY timestamp, url) - 1 AS i, count(*) OVER (PARTITION BY year, path) AS k FROM kept)
+SELECT page_seq, timestamp, url FROM r JOIN dealt ON dealt.g = r.year AND dealt.path = r.path WHERE (SELECT count(*) FROM kept) <= 100 OR allocated >= k OR (allocated = 1 AND i = 0) OR (allocated > 1 AND list_contains(list_transform(range(allocated), lambda j: round_even(j * ((k - 1)::DOUBLE / (allocated - 1)), 0)), i))""",
         "fold_findings": f"{found} SELECT category, key, first_seen, last_seen, occurrences, source_url FROM f",
         "fold_page_ids": f"{caps} SELECT 'https://web.archive.org/web/' || timestamp || '/' || url AS source_url, row_number() OVER (ORDER BY min(page_seq)) AS source_page_id FROM caps GROUP BY 1",
         "rep_summary": f"{found} SELECT count(*) AS findings, count(DISTINCT category) AS categories, count(*) FILTER (last_seen >= hi) AS live, count(*) FILTER (last_seen < hi) AS gone FROM f, b",
@@ -391,8 +420,10 @@ SELECT page_seq, timestamp FROM r WHERE k <= 5 OR i IN (round_even(0 * (k - 1) /
         "rep_lanes": f"{found}, m AS (SELECT category, key, last_seen < hi AS disappeared, substr(first_seen, 1, 4)::INT * 12 + substr(first_seen, 6, 2)::INT AS a, substr(last_seen, 1, 4)::INT * 12 + substr(last_seen, 6, 2)::INT AS z, substr(lo, 1, 4)::INT * 12 + substr(lo, 6, 2)::INT AS l, substr(hi, 1, 4)::INT * 12 + substr(hi, 6, 2)::INT AS h FROM f, b) SELECT category, key, round(100.0::DOUBLE * (a - l) / greatest(h - l, 1), 6) AS left_pct, round(greatest(100.0::DOUBLE * (z - a) / greatest(h - l, 1), 1.5), 6) AS width_pct, disappeared FROM m",
         "rep_category_rail": f"{found} SELECT c.category, coalesce(n, 0) AS n FROM (VALUES ('titles'), ('links'), ('emails')) c(category) LEFT JOIN (SELECT category, count(*) AS n FROM f GROUP BY 1) x ON x.category = c.category",
         "rep_co_occurrence": f"{found} SELECT t.key AS title, count(*) AS links FROM f JOIN f t ON t.source_url = f.source_url AND t.category = 'titles' WHERE f.category = 'links' GROUP BY 1",
-        "search_postings": "SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT conv_id, term, count(*) AS tf FROM (SELECT conv_id, unnest(regexp_extract_all(translate(lower(text), '" + search._ACCENTED + "', '" + search._PLAIN + "'), '[\\p{L}\\p{N}]+')) AS term FROM conversations WHERE turn = 0) GROUP BY ALL) GROUP BY term",
+        "search_postings": "SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT conv_id, term, count(*) AS tf FROM (SELECT conv_id, unnest(regexp_extract_all(translate(lower(text), '" + search._ACCENTED + "', '" + search._PLAIN + "'), '[\\p{L}\\p{N}]+')) AS term FROM conversations) GROUP BY ALL) GROUP BY term",
         "search_postings_turns": "SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT conv_id, turn, term, count(*) AS tf FROM (SELECT conv_id, turn, unnest(regexp_extract_all(translate(lower(text), '" + search._ACCENTED + "', '" + search._PLAIN + "'), '[\\p{L}\\p{N}]+')) AS term FROM conversations) GROUP BY ALL) GROUP BY term",
+        "search_bm25": _bm25_sql(["x = 'under'", "x = 'the'", "x = 'mit'", "starts_with(x, 'lic')"], 50),
+        "search_accent_fold": _bm25_sql(["starts_with(x, 'etre')"], 20),
         "export_csv_rows": f"{found} SELECT category, key AS value, first_seen, last_seen, occurrences, source_url AS source FROM f WHERE key <> ''",
         "stream_running_counts": "SELECT event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1",
         "stream_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n FROM events GROUP BY ALL",

@@ -42,8 +42,12 @@ def pages_of(selected: DataFrame, pages: DataFrame) -> DataFrame:
     return selected.join(pages, ["timestamp", "url"], "left")
 
 
+def stamp_of(p: Column) -> Column:
+    """A capture time by arithmetic over a page number."""
+    return F.concat((2010 + p % 12).cast("string"), F.lpad((1 + (p * 7) % 12).cast("string"), 2, "0"), F.lpad((1 + p % 28).cast("string"), 2, "0"), F.lit("120000"))
+
+
 def captures_of_pages(pages: DataFrame) -> DataFrame:
     """Captures derived from a table of (page_id, url, html): time by arithmetic, digest of the page."""
     p = F.col("page_id")
-    stamp = F.concat((2010 + p % 12).cast("string"), F.lpad((1 + (p * 7) % 12).cast("string"), 2, "0"), F.lpad((1 + p % 28).cast("string"), 2, "0"), F.lit("120000"))
-    return pages.select(p.alias("page_seq"), stamp.alias("timestamp"), "url", F.lit("200").alias("status"), F.lit("text/html").alias("mimetype"), F.md5(F.col("html").cast("binary")).alias("digest"))
+    return pages.select(p.alias("page_seq"), stamp_of(p).alias("timestamp"), "url", F.lit("200").alias("status"), F.lit("text/html").alias("mimetype"), F.md5(F.col("html").cast("binary")).alias("digest"))
