@@ -9,6 +9,7 @@ from tidemark.llm import bpe, decontaminate, license_scan, secret_scan, toxicity
 from tidemark.llm.jaccard_join import jaccard_join
 from tidemark.llm.language_id import identify
 from tidemark.llm.line_dedup import line_dedup
+from tidemark.llm.oracles import oracle_sql  # noqa: F401
 from tidemark.llm.vector_search import nearest
 from tidemark.session import table
 
@@ -78,7 +79,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (op1_toxicity, op2_url_rules, op3_ngram_jaccard_join, op4_license_scan, op5_decontamination, op6_bpe, op7_line_dedup, op8_secret_scan, op9_language_id, op10_vector_search, pipeline)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
