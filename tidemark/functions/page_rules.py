@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-# --- emails -------------------------------------------------------------------
+# --- emails: fixed values -----
 CLOUDFLARE_EMAIL = r'data-cfemail\s*=\s*"([0-9a-fA-F]{8,})"'
 OBFUSCATED_EMAIL = r"(?i)([A-Za-z0-9._%+\-]{2,})\s*[\[\(\{]\s*(?:at|@)\s*[\]\)\}]\s*([A-Za-z0-9.\-]+?)\s*[\[\(\{]\s*(?:dot|\.)\s*[\]\)\}]\s*([A-Za-z]{2,})"
 CONCAT_EMAIL = r'"([A-Za-z0-9._%+\-]+)"\s*\+\s*"@"\s*\+\s*"([A-Za-z0-9.\-]+\.[A-Za-z]{2,})"'
-OBFUSCATED_TLDS = frozenset("com org net io co ai app dev fr de es it uk us ca eu gov edu mil info biz me tv cc be nl pl pt se no fi dk ch at cz ro jp cn kr in br mx ar au nz tech cloud xyz site online store shop".split())
+OBFUSCATED_TLDS = frozenset(("com", "org", "net", "io", "co", "ai", "app", "dev", "fr", "de", "es", "it", "uk", "us", "ca", "eu", "gov", "edu", "mil", "info", "biz", "me", "tv", "cc", "be", "nl", "pl", "pt", "se", "no", "fi", "dk", "ch", "at", "cz", "ro", "jp", "cn", "kr", "in", "br", "mx", "ar", "au", "nz", "tech", "cloud", "xyz", "site", "online", "store", "shop"))
 
-# --- phones ---------------------------------------------------------------------
+# --- phones: fixed values -----
 PHONE = r"(?<![.\d/@])(?:\+\d{1,3}[\s\-.]?\(?\d{1,4}\)?(?:[\s\-.]?\d{2,5}){1,4}|\(\d{2,4}\)[\s\-.]?\d{2,4}(?:[\s\-.]?\d{2,4})+|\d{2,4}[\s\-.]\d{2,4}(?:[\s\-.]?\d{2,4})+)(?![\d.])"
 PHONE_REJECT = (r"^\d{4}[-/.]\d{2}[-/.]\d{2}$", r"^(19|20)\d{6}$", r"^\d{1,3}\.\d{1,3}\.\d{1,3}", r"^\d+\.\d+\.\d+", r"^\d{7,}$", r"^\d+px", r"\d+\.\d{3,}", r"\d[\s,]*000", r"^20\d{2}[-/]\d{3,}$")
 PHONE_CONTEXT = r"(?i)(?:phone|tel(?:ephone)?|t[ée]l(?:[ée]phone)?|fax|call|mobile|whatsapp|viber|contact|hotline|numero|num[ée]ro|joindre|appeler|ligne|accueil|standard|nous\s+(?:joindre|appeler|contacter)|\bau\s*:?\s*$)"
@@ -16,21 +16,21 @@ PHONE_ATTRIBUTES = ("data-phone", "data-tel", "data-telephone", "data-mobile")
 PHONE_JSON = r"(?i)[\"'](?:telephone|phone|phonenumber|tel|mobile)[\"']\s*:\s*[\"']([^\"']{6,40})[\"']"
 FRENCH_PHONE = r"(?:\+?33|0)[1-79]\d{8}"
 
-# --- hosts, paths, links -----------------------------------------------------------
+# --- hosts, paths, links: fixed values -----
 HOST_ATTRIBUTES = (("a", "href"), ("img", "src"), ("script", "src"), ("link", "href"), ("iframe", "src"), ("source", "src"), ("video", "src"), ("audio", "src"), ("embed", "src"), ("object", "data"), ("form", "action"))
 JSONLD_URL_KEYS = frozenset(("url", "sameas", "@id", "logo", "image", "thumbnailurl", "contenturl"))
 HINT_RELS = frozenset(("dns-prefetch", "preconnect", "preload", "prerender"))
 HOST_HEADERS = ("content-security-policy", "content-security-policy-report-only", "access-control-allow-origin", "permissions-policy", "feature-policy", "link", "via")
 NO_URL = ("#", "mailto:", "tel:", "javascript:", "data:", "blob:")
 ENDPOINT_ALLOWED_PARTS = ("/wp-json/", "/api/", "/rest/", "/graphql", "/v1/", "/v2/", "/v3/", "/oauth", "/.well-known/")
-ENDPOINT_ALLOWED = frozenset("/admin /login /logout /signin /signup /register /auth /account /dashboard /profile".split())
+ENDPOINT_ALLOWED = frozenset(("/admin", "/login", "/logout", "/signin", "/signup", "/register", "/auth", "/account", "/dashboard", "/profile"))
 ENDPOINT_ALLOWED_STARTS = ("/admin/", "/login/", "/auth/", "/signin/", "/signup/", "/account/", "/dashboard/", "/profile/")
 ENDPOINT_DROPPED = frozenset(("/favicon.ico", "/robots.txt", "/sitemap.xml", "/sitemap_index.xml", "/apple-touch-icon.png", "/apple-touch-icon-precomposed.png"))
 ENDPOINT_SKIPPED = r"(?i)\.(?:png|jpe?g|gif|svg|webp|bmp|ico|woff2?|ttf|otf|eot|map)(?:\?|$)"
 ENDPOINT_ATTRIBUTES = ("data-url", "data-endpoint", "data-api", "data-href", "data-action", "data-src", "hx-get", "hx-post", "hx-put", "hx-delete", "hx-patch", "ng-href", "formaction")
 INLINE_PATH = r"[\"'`](/[A-Za-z0-9_\-./]{1,200}(?:\?[^\"'`\s]{0,200})?)[\"'`]"
 DATE_FORMAT = r"[YMDHhmsSAaZz][YMDHhmsSAaZz:.\-\s]*"
-ASSET_TYPES = {"stylesheet": ".css .scss .less", "script": ".js .mjs .cjs .map", "image": ".png .jpg .jpeg .gif .webp .avif .svg .bmp .tiff", "font": ".woff .woff2 .ttf .otf .eot", "video": ".mp4 .webm .mov", "audio": ".mp3 .ogg .wav .flac", "archive": ".zip .tar .gz .rar .7z"}
+ASSET_TYPES = {"stylesheet": (".css", ".scss", ".less"), "script": (".js", ".mjs", ".cjs", ".map"), "image": (".png", ".jpg", ".jpeg", ".gif", ".webp", ".avif", ".svg", ".bmp", ".tiff"), "font": (".woff", ".woff2", ".ttf", ".otf", ".eot"), "video": (".mp4", ".webm", ".mov"), "audio": (".mp3", ".ogg", ".wav", ".flac"), "archive": (".zip", ".tar", ".gz", ".rar", ".7z")}
 ASSET_SUBTREES = ("/wp-content/cache/", "/wp-content/plugins/", "/wp-content/themes/", "/wp-content/uploads/", "/wp-includes/", "/node_modules/", "/_next/static/", "/__nuxt/", "/assets/", "/static/", "/dist/", "/vendor/", "/build/", "/bundles/", "/min/")
 DOCUMENT = r"(?i)\.(pdf|doc|docx|xls|xlsx|csv|ppt|pptx|txt|rtf|odt|ods|epub)$"
 SOCIAL_HOSTS = {"twitter.com": "twitter", "x.com": "x", "linkedin.com": "linkedin", "facebook.com": "facebook", "fb.com": "facebook", "instagram.com": "instagram", "youtube.com": "youtube", "youtu.be": "youtube", "github.com": "github", "tiktok.com": "tiktok", "snapchat.com": "snapchat", "telegram.org": "telegram", "t.me": "telegram", "discord.gg": "discord", "discord.com": "discord", "reddit.com": "reddit", "mastodon.social": "mastodon", "mastodon.online": "mastodon", "threads.net": "threads", "pinterest.com": "pinterest", "tumblr.com": "tumblr", "vimeo.com": "vimeo", "twitch.tv": "twitch", "medium.com": "medium"}
@@ -49,7 +49,7 @@ SITE_URL = r"(?:https?://[^\s\"'<>]+|/[A-Za-z0-9._/\-]+)"
 ICON_RELS = frozenset(("icon", "shortcut icon", "alternate icon", "apple-touch-icon", "apple-touch-icon-precomposed", "mask-icon", "fluid-icon", "manifest"))
 LOGO_HINT = r"(?i)(?:logo|icon|favicon|brand|wordmark)"
 
-# --- technologies, people, organisations ---------------------------------------------
+# --- technologies, people, organisations: fixed values -----
 TECH_ALIASES = {"wp": "WordPress", "wordpress.org": "WordPress", "wordpress.com": "WordPress", "joomla!": "Joomla"}
 TECH_COMMENT = r"(?i)<!--\s*(WordPress|Joomla|Drupal|Typo3|Magento)[\s\d.]*-->"
 CMS_MARKS = {"wp-content": "WordPress", "wp-includes": "WordPress", "drupal": "Drupal", "joomla": "Joomla"}
@@ -64,19 +64,19 @@ SCRIPT_TECHNOLOGIES = (
     ("Okta", r"okta-(?:signin|auth)-js|\.okta\.com/"), ("Optimizely", r"cdn\.optimizely\.com"), ("LaunchDarkly", r"launchdarkly(?:-js-client-sdk|\.com/sdk)"), ("Algolia", r"algoliasearch|@algolia/"), ("Tealium", r"tags\.tiqcdn\.com"), ("Contentful", r"cdn\.contentful\.com|images\.ctfassets\.net"),
     ("Sanity", r"cdn\.sanity\.io|@sanity/client"), ("Webflow", r"assets\.website-files\.com|webflow\.com/(?:css|js)"), ("Framer", r"framerusercontent\.com|framer\.com/m/"),
 )
-PERSON_EXCLUDED = frozenset("admin administrator author anonymous unknown undeveloped editor moderator root webmaster guest bot system staff team support default test null none".split())
+PERSON_EXCLUDED = frozenset(("admin", "administrator", "author", "anonymous", "unknown", "undeveloped", "editor", "moderator", "root", "webmaster", "guest", "bot", "system", "staff", "team", "support", "default", "test", "null", "none"))
 PERSON_TOOLS = frozenset(("yoast seo", "yoast", "rank math", "all in one seo", "wordpress", "elementor", "wpbakery", "wp engine", "jetpack", "squarespace", "wix", "shopify", "google", "site admin", "admin user", "wp admin"))
 BYLINE = r"(?i)^\s*(?:by|par|von|door|av|written by|posted by)\s*[:\-]?\s+"
 NAME_TOKEN = r"[A-Za-zÀ-ÖØ-öø-ÿ][A-Za-zÀ-ÖØ-öø-ÿ'.\-]{0,29}"
 PERSON_LEAVES = (("author", ("a", "span", "cite", "b", "strong", "em")), ("byline", ("a", "span", "cite")), ("writer", ("a", "span")))
-ORGANIZATION_TYPES = frozenset("Organization LocalBusiness Corporation EducationalOrganization CollegeOrUniversity School ElementarySchool HighSchool MiddleSchool Preschool GovernmentOrganization NGO PoliticalParty ResearchOrganization NewsMediaOrganization Library MedicalOrganization Hospital Pharmacy SportsOrganization SportsTeam MusicGroup PerformingGroup TheaterGroup DanceGroup Restaurant Hotel Store ShoppingCenter".split())
+ORGANIZATION_TYPES = frozenset(("Organization", "LocalBusiness", "Corporation", "EducationalOrganization", "CollegeOrUniversity", "School", "ElementarySchool", "HighSchool", "MiddleSchool", "Preschool", "GovernmentOrganization", "NGO", "PoliticalParty", "ResearchOrganization", "NewsMediaOrganization", "Library", "MedicalOrganization", "Hospital", "Pharmacy", "SportsOrganization", "SportsTeam", "MusicGroup", "PerformingGroup", "TheaterGroup", "DanceGroup", "Restaurant", "Hotel", "Store", "ShoppingCenter"))
 VERIFICATION = {"google-site-verification": "google", "msvalidate.01": "bing", "facebook-domain-verification": "facebook", "p:domain_verify": "pinterest", "yandex-verification": "yandex", "baidu-site-verification": "baidu", "norton-safeweb-site-verification": "norton", "alexaverifyid": "alexa", "linkedin-site-verification": "linkedin", "shopify-checkout-api-token": "shopify", "wot-verification": "wot", "ahrefs-site-verification": "ahrefs", "semrush-verification": "semrush", "zoominfo-verification": "zoominfo", "mailru-domain": "mailru", "naver-site-verification": "naver"}
 VERIFICATION_PLACEHOLDER = r"(?i)^[Xx]+$|^your[_-]|^insert[_-]|^replace[_-]|^example"
 FIELD_NOISE = frozenset(("__VIEWSTATE", "__EVENTVALIDATION", "__REQUESTVERIFICATIONTOKEN", "__VIEWSTATEGENERATOR", "__PREVIOUSPAGE", "__EVENTARGUMENT", "__EVENTTARGET", "utf8", "__REQUESTDIGEST"))
 #: Meta properties: (names, key prefix, characters in the key or None for all, characters kept).
 META = ((("og:site_name",), "site_name", None, None), (("og:title",), "og_title", 80, 300), (("og:type",), "og_type", None, 120), (("og:url",), "og_url", None, 300), (("description", "og:description", "twitter:description"), "desc", 80, 500), (("keywords",), "keywords", 80, 500), (("twitter:card",), "twitter_card", None, 80), (("twitter:site",), "twitter_site", None, 80), (("twitter:creator",), "twitter_creator", None, 80), (("author",), "author", 80, 200), (("generator",), "generator", 80, 200), (("viewport",), "viewport", 80, 200), (("robots",), "robots", 80, 200))
 
-# --- addresses in text -----------------------------------------------------------------
+# --- addresses in text: fixed values -----
 INTERNAL_IP = r"(?<![.\d])(?:10\.\d{1,3}\.\d{1,3}\.\d{1,3}|192\.168\.\d{1,3}\.\d{1,3}|172\.(?:1[6-9]|2\d|3[01])\.\d{1,3}\.\d{1,3}|127\.\d{1,3}\.\d{1,3}\.\d{1,3}|169\.254\.\d{1,3}\.\d{1,3}|100\.(?:6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.\d{1,3}\.\d{1,3})(?!\.\d)"
 IP_DOCUMENTATION = r"(?i)\b(?:rfc\s?1918|rfc1918|rfc\s?5737|rfc\s?6598|reserved\s+for|private[-\s]use(?:\s+network)?s?|address\s+space|addressing\s+plan|special[-\s]purpose|documentation\s+(?:purpose|range|prefix|example)|example\s+(?:network|address|range|ip)|/8\s+reserved|/12\s+reserved|/16\s+reserved|through\s+(?:to\s+)?\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}|begins?\s+with\s+<?strong>?\d{1,3}\.?)\b"
 IP_VERSION = r"(?i)(?:version|release|build|rev(?:ision)?|firmware|kernel|update|upgrade|changelog|\bv)\s*$"
@@ -105,11 +105,11 @@ PGP_FINGERPRINTS = (r"(?<![A-Fa-f0-9])(?:[A-Fa-f0-9]{4}[ \t ]+){9}[A-Fa-f0-9]{4}
 PGP_KEY_ID = r"0x([A-Fa-f0-9]{16}|[A-Fa-f0-9]{8})(?![A-Fa-f0-9])"
 PGP_SERVER = r"(?i)https?://(?:[a-z0-9.\-]*\.)?(?:keys\.openpgp\.org|pgp\.mit\.edu|keyserver\.ubuntu\.com|keys\.gnupg\.net|pgp\.surf(?:net)?\.nl|sks-keyservers\.net|pgpkeys\.eu|keys\.mailvelope\.com)[^\s\"'<>]*|https?://[^\s\"'<>]*/pks/lookup[^\s\"'<>]*"
 KEYBASE = r"(?i)keybase\.io/([a-z0-9_]{2,40})"
-KEYBASE_RESERVED = frozenset("docs blog legal privacy about download popular-teams pricing _ team kb".split())
+KEYBASE_RESERVED = frozenset(("docs", "blog", "legal", "privacy", "about", "download", "popular-teams", "pricing", "_", "team", "kb"))
 PGP_WORDS = ("pgp", "gpg", "openpgp", "gnupg", "fingerprint", "keyid", "key id", "public key", "keyserver", "keybase")
 PGP_OTHER = ("sha", "commit", "git ", " git", "checksum", "integrity", "digest", "etag", "subresource", "sri-", "content-hash", "blob")
 
-# --- captchas, headers --------------------------------------------------------------------
+# --- captchas, headers: fixed values -----
 UUID = r"(?i)\b[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}\b"
 #: Captcha keys in order: (provider, pattern, group, word needed in the 80 characters before).
 CAPTCHA_KEYS = (("recaptcha", r"\b6L[A-Za-z0-9_\-]{38}\b", 0, None), ("turnstile", r"\b0x4AAAAAAA[A-Za-z0-9_\-]{14,30}\b", 0, None), ("hcaptcha", UUID, 0, r"(?i)h[-_]?captcha"), ("arkose", r"(?i)arkoselabs\.com/v2/([0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12})/", 1, None), ("geetest", r"(?i)\b[a-f0-9]{32}\b", 0, r"(?i)geetest|initgeetest|\bgt\b"), ("friendly_captcha", r"\bFC[A-Z0-9]{10,30}\b", 0, r"(?i)friendly\s*captcha|friendlycaptcha|frc-captcha"))
