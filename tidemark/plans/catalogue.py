@@ -17,6 +17,7 @@ from tidemark.operators import fold as folding
 from tidemark.operators import native_extract, report, search, selection
 from tidemark.operators.fold import ALL_CATEGORIES, fold
 from tidemark.operators.highlights import highlights
+from tidemark.plans.cases import CASES, case_query, case_sql
 from tidemark.plans.fixtures import fixture_pages, fixture_sql
 from tidemark.sources import sinks
 from tidemark.sources.captures import captures_of_pages, stamp_of
@@ -384,13 +385,13 @@ _PLAIN = (
 
 
 def queries() -> dict:
-    return {f"ext_{c}": _ext(c) for c in _NATIVE} | {f.__name__: f for f in _PLAIN}
+    return {f"ext_{c}": _ext(c) for c in _NATIVE} | {f"case_{c}": case_query(c) for c in CASES} | {f.__name__: f for f in _PLAIN}
 
 
 def oracle_sql() -> dict[str, str]:
     caps, found = f"WITH {_CAPTURES}", f"WITH {_FINDINGS}"
     score = "CASE WHEN regexp_matches(path, '" + "|".join(selection.HIGH_VALUE) + "') THEN 3 WHEN path = '/' THEN 2 ELSE 1 END"
-    return _ext_sql() | {
+    return _ext_sql() | {f"case_{c}": case_sql(c) for c in CASES} | {
         "sel_preflight": f"{caps}, s AS (SELECT count(*) AS captures, count(DISTINCT path) AS paths, count(DISTINCT (path, digest)) AS contents, min(substr(timestamp, 1, 4) || '-' || substr(timestamp, 5, 2)) AS first_month, max(substr(timestamp, 1, 4) || '-' || substr(timestamp, 5, 2)) AS last_month FROM caps) SELECT *, greatest(CASE WHEN paths <= 30 THEN least(contents, 100) WHEN paths <= 200 THEN least(3 * paths, 500) WHEN paths <= 1000 THEN least(floor(1.5 * paths), 1000) ELSE 1500 END, least(contents, 50))::BIGINT AS suggested_cap FROM s",
         "sel_path_groups": f'{caps} SELECT path, count(*) AS n, min(timestamp) AS "first", max(timestamp) AS "last", {score} AS score FROM caps GROUP BY path',
         "sel_host_groups": f"{caps} SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, count(*) AS n, count(DISTINCT url) AS urls FROM caps GROUP BY 1",
