@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.native import let
+from tidemark.session import materialise
 
 MIN_LENGTH = 16
 #: Bound of what the forest is fitted on (rows, taken by a hash).
@@ -77,48 +78,53 @@ def planted(spark: SparkSession, words: list[str], n: int = PLANTED) -> DataFram
     files of tests and examples.
     """
     words = words or ["text", "word", "line", "some", "other"]
-    pick = lambda values, salt: F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(values))) + 1).cast("int"))
     held = words if len(words) <= 500 else words[:: len(words) // 500 + 1]
-    digest = F.sha2(F.concat(F.lit("finding"), F.col("id").cast("string")).cast("binary"), 256)
-    mixed = F.regexp_replace(F.base64(F.unhex(F.concat(digest, F.sha2(digest.cast("binary"), 256)))), "[+/=]", "")
-    size = lambda low, high, salt: (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(high - low + 1)) + low).cast("int")
-    some = [pick(held, 20 + k) for k in range(7)]
-    number = F.substring(F.regexp_replace(F.translate(digest, "abcdef", "123456"), "^0", "7"), F.lit(1), size(16, 20, 3))
-    key = F.element_at(F.array(F.substring(digest, F.lit(1), size(16, 64, 4)), F.substring(digest, F.lit(1), F.lit(40)), F.substring(mixed, F.lit(1), size(20, 44, 5)), F.base64(F.unhex(digest)), F.concat(F.lit("sk_live_"), F.substring(mixed, F.lit(1), F.lit(24)))), size(1, 5, 6))
+    lot = lambda salt, k: (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(k)) + 1).cast("int")
+    pick = lambda values, salt: F.element_at(F.array(*map(F.lit, values)), lot(salt, len(values)))
+    some = lambda low, high: F.slice("some", low, high - low + 1)
+    head = lambda text, size: F.substring(text, F.lit(1), size)
+    digest, mixed = F.col("digest"), F.col("mixed")
+
+    # what several kinds share is written first, so that each stands in the plan once
+    base = spark.range(n).withColumn("held", F.array(*map(F.lit, held)))
+    base = base.withColumns({"some": F.transform(F.sequence(F.lit(1), F.lit(11)), lambda k: F.element_at("held", (F.pmod(F.xxhash64("id", k), F.lit(len(held))) + 1).cast("int"))), "digest": F.sha2(F.concat(F.lit("finding"), F.col("id").cast("string")).cast("binary"), 256)}).drop("held")
+    base = materialise(base.withColumn("mixed", F.regexp_replace(F.base64(F.unhex(F.concat(digest, F.sha2(digest.cast("binary"), 256)))), "[+/=]", "")))
+    key = F.element_at(F.array(head(digest, lot(4, 49) + 15), head(digest, F.lit(40)), head(mixed, lot(5, 25) + 19), F.base64(F.unhex(digest)), F.concat(F.lit("sk_live_"), head(mixed, F.lit(24)))), lot(6, 5))
     announced = pick(['token = "', "password=", "api_key: ", "secret='", "auth_token=", "Authorization: Bearer ", "access-key = ", "pwd: "], 7)
+    base = materialise(base.withColumns({"kind": lot(1, 15), "key": key, "announced": announced, "plain": pick(["", "the ", "see ", "in "], 8)}))
+    key, announced, plain, none = F.col("key"), F.col("announced"), F.col("plain"), F.lit("")
     close = F.when(announced.endswith('"'), '"').when(announced.endswith("'"), "'").otherwise("")
-    aws = F.concat(F.lit("AKIA"), F.substring(F.upper(mixed), F.lit(1), F.lit(16)))
-    github = F.concat(F.lit("ghp_"), F.substring(mixed, F.lit(1), F.lit(36)))
-    plain = pick(["", "the ", "see ", "in "], 8)
+    number = head(F.regexp_replace(F.translate(digest, "abcdef", "123456"), "^0", "7"), lot(3, 5) + 15)
     kinds = [
         (1, announced, key, close, "src"),
         (1, announced, key, close, "src"),
-        (1, plain, aws, F.lit(""), "src"),
-        (1, plain, github, F.lit(""), "src"),
-        (0, plain, F.concat(*some), F.lit(""), "src"),
-        (0, plain, F.upper(F.concat(*some[:5])), F.lit(""), "src"),
-        (0, plain, F.concat(*[F.initcap(w) for w in some[:5]]), F.lit(""), "src"),
-        (0, plain, F.concat_ws("/", *some[:6]), F.lit(""), "src"),
-        (0, plain, F.concat_ws("_", *some[:6]), F.lit(""), "src"),
-        (0, pick(["card ", "order ", "", "the "], 9), number, F.lit(""), "src"),
-        (0, pick(["uuid ", "id ", "", "build "], 10), F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.substring(digest, 13, 4), F.substring(digest, 17, 12)), F.lit(""), "src"),
-        (0, pick(["commit ", "sha1 ", "sha256 ", "md5 ", "checksum ", "digest "], 11), F.substring(digest, F.lit(1), F.element_at(F.array(F.lit(32), F.lit(40), F.lit(64)), size(1, 3, 12))), F.lit(""), "src"),
+        (1, plain, F.concat(F.lit("AKIA"), head(F.upper(mixed), F.lit(16))), none, "src"),
+        (1, plain, F.concat(F.lit("ghp_"), head(mixed, F.lit(36))), none, "src"),
+        (0, plain, F.concat_ws("", some(1, 7)), none, "src"),
+        (0, plain, F.upper(F.concat_ws("", some(1, 5))), none, "src"),
+        (0, plain, F.concat_ws("", F.transform(some(1, 5), F.initcap)), none, "src"),
+        (0, plain, F.concat_ws("/", some(1, 6)), none, "src"),
+        (0, plain, F.concat_ws("_", some(1, 6)), none, "src"),
+        (0, pick(["card ", "order ", "", "the "], 9), number, none, "src"),
+        (0, pick(["uuid ", "id ", "", "build "], 10), F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.substring(digest, 13, 4), F.substring(digest, 17, 12)), none, "src"),
+        (0, pick(["commit ", "sha1 ", "sha256 ", "md5 ", "checksum ", "digest "], 11), head(digest, F.element_at(F.array(F.lit(32), F.lit(40), F.lit(64)), lot(12, 3))), none, "src"),
         (0, announced, key, close, "tests/fixtures/example"),
-        (0, announced, F.concat(*some[:6]), close, "src"),
-        (0, plain, F.repeat(pick(["-", "a", "0", "_"], 13), size(20, 60, 14)), F.lit(""), "src"),
+        (0, announced, F.concat_ws("", some(1, 6)), close, "src"),
+        (0, plain, F.repeat(pick(["-", "a", "0", "_"], 13), lot(14, 41) + 19), none, "src"),
     ]
-    kind = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(len(kinds)))
     chosen = None
-    for k, (label, before, value, after, path) in enumerate(kinds):
-        made = F.struct(F.concat_ws(" ", pick(held, 30), pick(held, 31), F.concat(before, value, after), pick(held, 32)).alias("text"), F.concat_ws("/", F.lit(path), pick(held, 33)).alias("source"), F.lit(label).alias("label"))
-        chosen = F.when(kind == k, made) if chosen is None else chosen.when(kind == k, made)
-    return spark.range(n).select(F.col("id").alias("doc_id"), chosen.alias("m")).select("doc_id", "m.text", "m.source", "m.label")
+    for k, (label, before, value, after, path) in enumerate(kinds, 1):
+        made = F.struct(F.concat(before, value, after).alias("m"), F.lit(path).alias("path"), F.lit(label).alias("label"))
+        chosen = F.when(F.col("kind") == k, made) if chosen is None else chosen.when(F.col("kind") == k, made)
+    around = lambda k: F.element_at("some", k)
+    made = base.select(F.col("id").alias("doc_id"), "some", chosen.alias("x"))
+    return materialise(made.select("doc_id", F.concat_ws(" ", around(8), around(9), "x.m", around(10)).alias("text"), F.concat_ws("/", "x.path", around(11)).alias("source"), "x.label"))
 
 
 def planted_findings(spark: SparkSession, words: list[str], n: int = PLANTED) -> DataFrame:
     """The findings of :func:`planted` with features and label; a short or dictionary word gives none."""
     made = planted(spark, words, n)
-    return with_features(findings(made), triples_of(words)).join(F.broadcast(made.select("doc_id", "label")), "doc_id")
+    return materialise(with_features(findings(made), triples_of(words)).join(F.broadcast(made.select("doc_id", "label")), "doc_id"))
 
 
 def held_out(spark: SparkSession, words: list[str], n: int = PLANTED) -> DataFrame:
