@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -79,3 +79,53 @@ def year_histogram(captures: DataFrame) -> DataFrame:
     every = span.select(F.explode(F.sequence("a", "b")).alias("year"), "top")
     filled = every.join(years, "year", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return filled.select("year", "n", F.greatest(F.lit(2), F.round(100 * F.col("n") / F.col("top")).cast("int")).alias("pct"))
+
+
+def axis_ticks(findings: DataFrame) -> DataFrame:
+    """(year): the labels of a time axis, at most about five, the last year among them."""
+    edges = bounds(findings).select(F.substring("lo", 1, 4).cast("int").alias("a"), F.substring("hi", 1, 4).cast("int").alias("z"))
+    span = F.greatest(F.col("z") - F.col("a"), F.lit(1))
+    step = F.when(span <= 4, 1).otherwise(F.ceil(span / 4)).cast("int")
+    return edges.where("a is not null").select(F.explode(F.array_union(F.sequence("a", "z", step), F.array("z"))).alias("year"))
+
+
+def pivots(findings: DataFrame, categories) -> DataFrame:
+    """The categories' distinct values, each with its first finding by rank. ``findings`` carry ``value`` and ``rank``."""
+    first = F.row_number().over(W.partitionBy("category", "value").orderBy("rank", "key"))
+    return findings.where(F.col("category").isin(*categories)).withColumn("_n", first).where("_n = 1").drop("_n")
+
+
+def category_activity(findings: DataFrame, category: str, lanes_shown: int = 24) -> DataFrame:
+    """Lanes of a category's first findings by rank, on an axis of the category alone; gone is against the whole archive."""
+    hi = bounds(findings).select(F.col("hi").alias("archive_end"))
+    own = findings.where(F.col("category") == category)
+    axis = bounds(own)
+    lo, top = month_index(F.col("lo")), month_index(F.col("hi"))
+    span = F.greatest(top - lo, F.lit(1))
+    first, last = month_index(F.col("first_seen")), month_index(F.col("last_seen"))
+    rows = own.where(F.col("rank") <= lanes_shown).crossJoin(F.broadcast(axis)).crossJoin(F.broadcast(hi))  # one row each
+    return rows.select("key", "rank", F.round(100 * (first - lo) / span, 6).alias("left_pct"), F.round(F.greatest(100 * (last - first) / span, F.lit(1.5)), 6).alias("width_pct"), (F.col("last_seen") < F.col("archive_end")).alias("faded"))
+
+
+def composed_activity(findings: DataFrame, categories, chosen: DataFrame) -> DataFrame:
+    """(label, first, last, pivot): a lane for each category from its first to its last month, and one for each chosen (category, value)."""
+    spans = findings.where(F.col("category").isin(*categories)).groupBy(F.col("category").alias("label")).agg(F.least(F.min("first_seen"), F.min("last_seen")).alias("first"), F.greatest(F.max("first_seen"), F.max("last_seen")).alias("last"))
+    own = pivots(findings, categories).join(F.broadcast(chosen), ["category", "value"])  # what a reader has ticked
+    return spans.withColumn("pivot", F.lit(False)).unionByName(own.select(F.col("value").alias("label"), F.col("first_seen").alias("first"), F.col("last_seen").alias("last"), F.lit(True).alias("pivot")))
+
+
+def favicon_strip(findings: DataFrame, shown: int = 6) -> DataFrame:
+    """(rank, image, hash, span) of the first icons: the archived image's raw address, a short hash, the months."""
+    source = F.coalesce("source_url", F.lit(""))
+    image = F.when(source.contains("web.archive.org"), F.regexp_replace(source, r"(/web/\d+)/", "$1im_/")).otherwise("")
+    digest = F.substring(F.coalesce(F.nullif(F.col("attrs")["md5"], F.lit("")), F.col("attrs")["sha256"], F.lit("")), 1, 8)
+    rows = findings.where((F.col("category") == "favicons") & (F.col("rank") <= shown))
+    return rows.select("rank", image.alias("image"), digest.alias("hash"), F.concat_ws(" \u2192 ", "first_seen", "last_seen").alias("span"))
+
+
+def chip() -> Column:
+    """The short label of a finding: its first telling attribute, or the environment in a subdomain's name."""
+    named = F.coalesce(*[F.nullif(F.col("attrs")[n], F.lit("")) for n in ("version", "type", "platform", "provider", "service", "kind")])
+    environment = F.col("value").rlike(r"(^|\.)(dev|staging|test|preprod|uat|api|admin|internal)\b")
+    told = F.when((F.col("category") == "subdomains") & environment, F.substring_index("value", ".", 1))
+    return F.substring(F.coalesce(named, told, F.lit("")), 1, 22)

@@ -100,3 +100,51 @@ def bm25(texts: DataFrame, doc: str, text: str, query: str, limit: int = 50) ->
         score = score - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(float(facts["avg_len"] or 1.0))))
     hits = rows.where(F.forall("tf", lambda t: t > 0)).select("doc", F.round(score, 9).alias("score"))
     return hits.orderBy("score", "doc").limit(min(max(limit, 1), 200))
+
+
+def index_rows(pages: DataFrame, scan: str) -> DataFrame:
+    """(scan, timestamp, url, text) of a scan's pages: the first ``MAX_PAGES`` in processing order, the empty ones of them left out, texts cut to ``MAX_CHARS``.
+
+    ``pages`` carry page_seq, timestamp, url and the visible text. The bounds are the
+    index's own.
+    """
+    first = pages.orderBy("page_seq").limit(MAX_PAGES)
+    return first.where("text is not null and text <> ''").select(F.lit(scan).alias("scan"), F.coalesce("timestamp", F.lit("")).alias("timestamp"), F.coalesce("url", F.lit("")).alias("url"), F.left("text", F.lit(MAX_CHARS)).alias("text"))
+
+
+def reindex(index: DataFrame, pages: DataFrame, scan: str) -> DataFrame:
+    """The index with a scan's rows replaced."""
+    return index.where(F.col("scan") != scan).unionByName(index_rows(pages, scan))
+
+
+def search_scan(index: DataFrame, scan: str, query: str, limit: int = 50) -> DataFrame:
+    """(url, timestamp, snippet, score): a scan's pages with every word of the query, best first."""
+    own = index.where(F.col("scan") == scan).withColumn("_doc", F.struct("url", "timestamp"))
+    best = bm25(own, "_doc", "text", query, limit)
+    found = own.join(F.broadcast(best), own["_doc"] == best["doc"])  # ``limit`` rows
+    return found.select("url", "timestamp", snippet(F.col("text"), query).alias("snippet"), "score").orderBy("score", "url", "timestamp")
+
+
+def snippet(text: Column, query: str, size: int = 12) -> Column:
+    """The ``size`` words of a text with most words of the query (the first such place), these between marks; dots stand for the rest."""
+    phrases = parse_query(query)
+    exact = sorted({w for ws, prefix in phrases for w in (ws[:-1] if prefix else ws)})
+    begun = [ws[-1] for ws, prefix in phrases if prefix]
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\p{L}\p{N}]*[\p{L}\p{N}]+"), F.lit(0))
+
+    def asked(piece: Column) -> Column:
+        word = folded(F.regexp_extract(piece, WORD, 0))
+        ok = word.isin(exact) if exact else F.lit(False)
+        for w in begun:
+            ok = ok | word.startswith(w)
+        return ok
+
+    def shown(ps: Column, hits: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(ps) - size, F.lit(0)))
+        count = F.transform(starts, lambda s: F.size(F.filter(F.slice(hits, s + 1, size), lambda h: h)))
+        best = (F.array_position(count, F.array_max(count)) - 1).cast("int")
+        body = F.transform(F.slice(ps, best + 1, size), lambda p: F.when(asked(p), F.regexp_replace(p, f"({WORD})$", "<mark>$1</mark>")).otherwise(p))
+        ahead, behind = F.when(best > 0, " \u2026 ").otherwise(""), F.when(best + size < F.size(ps), " \u2026 ").otherwise("")
+        return F.concat(ahead, F.regexp_replace(F.array_join(body, ""), r"^\s+", ""), behind)
+
+    return let(pieces, lambda ps: F.when(F.size(ps) > 0, let(F.transform(ps, asked), lambda hits: shown(ps, hits))).otherwise(""))

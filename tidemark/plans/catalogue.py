@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import rules
 from tidemark.functions.text import host_of, month_of, path_norm
 from tidemark.operators import fold as folding
-from tidemark.operators import native_extract, report, search, selection
+from tidemark.operators import health, native_extract, report, search, selection
 from tidemark.operators.fold import ALL_CATEGORIES, fold
 from tidemark.operators.highlights import highlights
 from tidemark.plans.cases import CASES, case_query, case_sql
@@ -171,6 +171,24 @@ def _ext_sql() -> dict[str, str]:
     return out
 
 
+_MIT = ["x = 'under'", "x = 'the'", "x = 'mit'", "starts_with(x, 'lic')"]
+#: Ranked findings, from ``f`` and their first hits.
+_RANKED = "o AS (SELECT category, key, min(page_seq * 100000 + spot) AS first_hit FROM (SELECT page_seq, 'links' AS category, unnest(l) AS key, unnest(range(len(t), len(t) + len(l))) AS spot FROM (SELECT page_seq, regexp_extract_all(html, '<a href=\"([^\"]+)\"', 1) AS l, regexp_extract_all(html, '(?s)<title>(.*?)</title>', 1) AS t FROM caps) UNION ALL SELECT page_seq, 'titles', unnest(t), unnest(range(len(t))) FROM (SELECT page_seq, regexp_extract_all(html, '(?s)<title>(.*?)</title>', 1) AS t FROM caps)) GROUP BY ALL), ranked AS (SELECT f.*, o.first_hit, row_number() OVER (PARTITION BY f.category ORDER BY occurrences DESC, o.first_hit, f.key)::INT AS rank FROM f JOIN o ON o.category = f.category AND o.key = f.key)"
+
+
+def _folded_sql(text: str) -> str:
+    return f"translate(lower({text}), {_quote(search._ACCENTED)}, {_quote(search._PLAIN)})"
+
+
+def _word_sql(piece: str) -> str:
+    return f"regexp_extract({piece}, '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _spaced(allocated: str, group: str, rows: str = "caps") -> str:
+    """Captures with their place ``i`` of ``k`` in their group."""
+    return f"r AS (SELECT page_seq, timestamp, {allocated} AS allocated, row_number() OVER (PARTITION BY {group} ORDER BY timestamp, url) - 1 AS i, count(*) OVER (PARTITION BY {group}) AS k FROM {rows})"
+
+
 def _bm25_sql(tests: list[str], limit: int) -> str:
     """BM25 over ``documents`` with one test of a word ``x`` for each of the query's words."""
     fold = f"translate(lower(coalesce(text, '')), {_quote(search._ACCENTED)}, {_quote(search._PLAIN)})"
@@ -376,10 +394,85 @@ def ops_latest_per_owner(spark, sf_dir):
     return orders.withColumn("n", place).where("n = 1").select("o_custkey", "o_orderkey")
 
 
+def sel_density(spark, sf_dir):
+    return selection.density_sample(captures(spark, sf_dir), "fast").select("page_seq", "timestamp")
+
+
+def sel_picks_under_ceiling(spark, sf_dir):
+    return selection.picks_under_ceiling(captures(spark, sf_dir), 100).select("page_seq", "timestamp")
+
+
+def sel_scope(spark, sf_dir):
+    return selection.in_scope(captures(spark, sf_dir), without_paths=("/",), without_words=("casino",), day_from="20120310", day_to="20190520").select("page_seq", "url")
+
+
+def sel_estimate(spark, sf_dir):
+    rows = captures(spark, sf_dir)
+    return selection.scan_estimate(rows, selection.density_sample(rows, "light"))
+
+
+def valued_findings(spark, sf_dir):
+    return findings(spark, sf_dir).withColumn("value", folding.value_of())
+
+
+def rep_axis_ticks(spark, sf_dir):
+    return report.axis_ticks(findings(spark, sf_dir))
+
+
+def rep_pivots(spark, sf_dir):
+    return report.pivots(valued_findings(spark, sf_dir), ("titles", "links")).select("category", "value", "first_seen", "last_seen")
+
+
+def rep_category_activity(spark, sf_dir):
+    return report.category_activity(findings(spark, sf_dir), "links")
+
+
+def rep_composed_activity(spark, sf_dir):
+    chosen = findings(spark, sf_dir).where("category = 'titles' and rank <= 3").select("category", F.col("key").alias("value"))
+    return report.composed_activity(valued_findings(spark, sf_dir), ("titles", "links"), chosen)
+
+
+def rep_co_occurrence_block(spark, sf_dir):
+    """What the page of the first title by rank shows besides it."""
+    found = findings(spark, sf_dir)
+    top = found.where("category = 'titles' and rank = 1").first()
+    return report.co_occurrence(found, "titles", top.key if top else "")
+
+
+def search_snippets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    best = search.bm25(docs, "doc_id", "text", "under the mit lic", 50)
+    return docs.join(F.broadcast(best), docs["doc_id"] == best["doc"]).select("doc_id", search.snippet(F.col("text"), "under the mit lic").alias("snippet"))
+
+
+def search_index_rows(spark, sf_dir):
+    """The index rows of a scan whose pages are the documents."""
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_seq"), stamp_of(F.col("doc_id")).alias("timestamp"), F.concat(F.lit("https://acme.test/"), "doc_id").alias("url"), "text")
+    return search.index_rows(pages, "s1").select("scan", "timestamp", "url", F.length("text").cast("long").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+def export_client_csv(spark, sf_dir):
+    return sinks.client_csv(valued_findings(spark, sf_dir).withColumn("severity", F.lit("CONTEXT")))
+
+
+def ops_outcomes(spark, sf_dir):
+    return health.outcome_counts(table(spark, sf_dir, "events").select(F.when(F.col("event_type") != "view", F.col("event_type")).alias("error")))
+
+
+def ops_moving_average(spark, sf_dir):
+    return health.moving_average(table(spark, sf_dir, "events"), "user_id", "event_id", "value").select("event_id", F.round("average", 6).alias("average"))
+
+
+def ops_latency(spark, sf_dir):
+    calls = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 5).alias("host"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 100).alias("at"), (F.col("value") / 20).alias("seconds"))
+    return health.latency_state(calls).select("event_id", "samples", F.round("median", 9).alias("median"), "state")
+
+
 _NATIVE = ("analytics_trackers", "analytics_ids", "cloud_buckets", "adsense_ids", "job_boards", "auth_providers", "status_pages", "hosting", "cookie_consent", "github_repos", "emails", "html_comments", "directory_listings", "social_profiles", "api_keys", "connection_strings", "jwt_tokens", "bug_bounty_programs")
 _PLAIN = (
     ext_all_categories, ext_url_subdomains, ext_titles_links, sel_preflight, sel_path_groups, sel_host_groups, sel_year_histogram, sel_day_density, sel_date_range, sel_exclude_keywords, sel_content_dedup, sel_month_collapse, sel_year_allocation, sel_evenly_by_year, sel_score_allocation, sel_full_selection,
     fold_findings, fold_page_ids, rep_summary, rep_presence, rep_change_feed, rep_lanes, rep_category_rail, rep_co_occurrence, rep_top_links, rep_highlights, merge_analytics, search_bm25, search_accent_fold, search_postings, search_postings_turns, export_csv_rows, export_json, export_markdown,
+    sel_density, sel_picks_under_ceiling, sel_scope, sel_estimate, rep_axis_ticks, rep_pivots, rep_category_activity, rep_composed_activity, rep_co_occurrence_block, search_snippets, search_index_rows, export_client_csv, ops_outcomes, ops_moving_average, ops_latency,
     stream_running_counts, stream_windows, stream_sessions, stream_governor, ops_recent, ops_fair_queue, ops_latest_per_owner,
 )
 
@@ -423,9 +516,24 @@ SELECT page_seq, timestamp, url FROM r JOIN dealt ON dealt.g = r.year AND dealt.
         "rep_co_occurrence": f"{found} SELECT t.key AS title, count(*) AS links FROM f JOIN f t ON t.source_url = f.source_url AND t.category = 'titles' WHERE f.category = 'links' GROUP BY 1",
         "search_postings": "SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT conv_id, term, count(*) AS tf FROM (SELECT conv_id, unnest(regexp_extract_all(translate(lower(text), '" + search._ACCENTED + "', '" + search._PLAIN + "'), '[\\p{L}\\p{N}]+')) AS term FROM conversations) GROUP BY ALL) GROUP BY term",
         "search_postings_turns": "SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT conv_id, turn, term, count(*) AS tf FROM (SELECT conv_id, turn, unnest(regexp_extract_all(translate(lower(text), '" + search._ACCENTED + "', '" + search._PLAIN + "'), '[\\p{L}\\p{N}]+')) AS term FROM conversations) GROUP BY ALL) GROUP BY term",
-        "search_bm25": _bm25_sql(["x = 'under'", "x = 'the'", "x = 'mit'", "starts_with(x, 'lic')"], 50),
+        "search_bm25": _bm25_sql(_MIT, 50),
         "search_accent_fold": _bm25_sql(["starts_with(x, 'etre')"], 20),
         "export_csv_rows": f"{found} SELECT category, key AS value, first_seen, last_seen, occurrences, source_url AS source FROM f WHERE key <> ''",
+        "sel_density": f"{caps}, {_spaced('6', 'substr(timestamp, 1, 4)')} SELECT page_seq, timestamp FROM r WHERE k <= 6 OR list_contains(list_transform(range(6), lambda j: floor(j * ((k - 1)::DOUBLE / 5) + 0.5)), i)",
+        "sel_picks_under_ceiling": f"{caps}, y AS (SELECT substr(timestamp, 1, 4) AS year, count(*) AS n FROM caps GROUP BY 1), {_YEARS}, {_spaced('allocated', 'year', 'caps JOIN years ON years.year = substr(timestamp, 1, 4)')} SELECT page_seq, timestamp FROM r WHERE (SELECT count(*) FROM caps) <= 100 OR allocated >= k OR (allocated = 1 AND i = 0) OR (allocated > 1 AND list_contains(list_transform(range(allocated), lambda j: round_even(j * ((k - 1)::DOUBLE / (allocated - 1)), 0)), i))",
+        "sel_scope": f"{caps} SELECT page_seq, url FROM caps WHERE path <> '/' AND NOT contains(lower(url), 'casino') AND substr(timestamp, 1, 8) BETWEEN '20120310' AND '20190520'",
+        "sel_estimate": f"{caps}, c AS (SELECT sum(least(k, 2)) AS n, sum(k) AS available FROM (SELECT count(*) AS k FROM caps GROUP BY substr(timestamp, 1, 4))) SELECT n::BIGINT AS n, floor(n * 0.36 + 15.5)::BIGINT AS seconds, CASE WHEN available > 5000 OR n >= 5000 THEN 'capped' WHEN n < 25 THEN 'thin' ELSE 'good' END AS level FROM c",
+        "rep_axis_ticks": f"{found}, e AS (SELECT substr(lo, 1, 4)::INT AS a, substr(hi, 1, 4)::INT AS z FROM b), s AS (SELECT *, CASE WHEN greatest(z - a, 1) <= 4 THEN 1 ELSE ceil(greatest(z - a, 1) / 4.0)::INT END AS step FROM e) SELECT DISTINCT unnest(list_append(generate_series(a, z, step), z))::INT AS year FROM s",
+        "rep_pivots": f"{found} SELECT category, key AS value, first_seen, last_seen FROM f",
+        "rep_category_activity": f"{found}, {_RANKED}, m AS (SELECT key, rank, last_seen < hi AS faded, substr(first_seen, 1, 4)::INT * 12 + substr(first_seen, 6, 2)::INT AS a, substr(last_seen, 1, 4)::INT * 12 + substr(last_seen, 6, 2)::INT AS z FROM ranked, b WHERE category = 'links'), x AS (SELECT min(a) AS l, max(z) AS h FROM m) SELECT key, rank, round(100.0::DOUBLE * (a - l) / greatest(h - l, 1), 6) AS left_pct, round(greatest(100.0::DOUBLE * (z - a) / greatest(h - l, 1), 1.5), 6) AS width_pct, faded FROM m, x WHERE rank <= 24",
+        "rep_composed_activity": f"{found}, {_RANKED} SELECT category AS label, min(first_seen) AS \"first\", max(last_seen) AS \"last\", false AS pivot FROM f GROUP BY category UNION ALL SELECT key, first_seen, last_seen, true FROM ranked WHERE category = 'titles' AND rank <= 3",
+        "rep_co_occurrence_block": f"{found}, {_RANKED}, t AS (SELECT source_url FROM ranked WHERE category = 'titles' AND rank = 1), p AS (SELECT category, key, row_number() OVER (PARTITION BY category ORDER BY first_page, first_hit, key) AS place, count(*) OVER (PARTITION BY category) AS total FROM ranked WHERE source_url = (SELECT source_url FROM t) AND NOT (category = 'titles' AND rank = 1)) SELECT * FROM p WHERE place <= 8",
+        "search_snippets": f"WITH best AS ({_bm25_sql(_MIT, 50)}), d AS (SELECT doc_id, regexp_extract_all(text, '[^\\p{{L}}\\p{{N}}]*[\\p{{L}}\\p{{N}}]+') AS ps FROM documents JOIN best ON doc = doc_id), h AS (SELECT *, list_transform(ps, lambda p: {_folded_sql(_word_sql('p'))} IN ('under', 'the', 'mit') OR starts_with({_folded_sql(_word_sql('p'))}, 'lic')) AS hits FROM d), c AS (SELECT *, list_transform(range(greatest(len(ps) - 12, 0) + 1), lambda s: len(list_filter(hits[s + 1:s + 12], lambda x: x))) AS n FROM h), w AS (SELECT *, list_position(n, list_max(n)) - 1 AS spot FROM c) SELECT doc_id, (CASE WHEN spot > 0 THEN ' … ' ELSE '' END) || regexp_replace(array_to_string(list_transform(range(spot + 1, least(spot + 12, len(ps)) + 1), lambda j: CASE WHEN hits[j] THEN regexp_replace(ps[j], '([\\p{{L}}\\p{{N}}]+)$', '<mark>\\1</mark>') ELSE ps[j] END), ''), '^\\s+', '') || (CASE WHEN spot + 12 < len(ps) THEN ' … ' ELSE '' END) AS snippet FROM w",
+        "search_index_rows": "SELECT 's1' AS scan, (2010 + doc_id % 12)::VARCHAR || lpad((1 + (doc_id * 7) % 12)::VARCHAR, 2, '0') || lpad((1 + doc_id % 28)::VARCHAR, 2, '0') || '120000' AS timestamp, 'https://acme.test/' || doc_id AS url, length(substr(text, 1, 40000)) AS chars, md5(substr(text, 1, 40000)) AS digest FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 600) WHERE text <> ''",
+        "export_client_csv": f"{found}, {_RANKED}, q AS (SELECT *, CASE WHEN regexp_matches(key, '[\",\\n]') THEN '\"' || replace(key, '\"', '\"\"') || '\"' ELSE key END AS v, CASE WHEN regexp_matches(source_url, '[\",\\n]') THEN '\"' || replace(source_url, '\"', '\"\"') || '\"' ELSE source_url END AS u FROM ranked) SELECT 0::BIGINT AS place, 'category,value,severity,first_seen,last_seen,occurrences,type,provider,service,domain,source_url,source_page_id,md5,sha256,shodan' AS line UNION ALL SELECT row_number() OVER (ORDER BY category, rank), category || ',' || v || ',CONTEXT,' || first_seen || ',' || last_seen || ',' || occurrences || ',,,,,' || u || ',,,,' FROM q",
+        "ops_outcomes": "SELECT CASE WHEN event_type <> 'view' THEN event_type ELSE 'ok' END AS outcome, count(*) AS n FROM events GROUP BY 1",
+        "ops_moving_average": "SELECT event_id, round(list_reduce(list_prepend(180.0::DOUBLE, v), lambda s, x: 0.9::DOUBLE * s + (1 - 0.9::DOUBLE) * x), 6) AS average FROM (SELECT event_id, list(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS v FROM events)",
+        "ops_latency": "WITH c AS (SELECT event_id, user_id % 5 AS host, epoch_us(ts) / 1e6 / 100 AS spot, value / 20 AS seconds FROM events), w AS (SELECT event_id, spot, list({'spot': spot, 's': seconds}) OVER (PARTITION BY host ORDER BY spot ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS l FROM c), m AS (SELECT event_id, list_transform(list_filter(l, lambda x: x.spot > spot - 300), lambda x: x.s) AS f FROM w), r AS (SELECT event_id, len(f) AS samples, list_median(f) AS median FROM m) SELECT event_id, samples::INT AS samples, round(median, 9) AS median, CASE WHEN samples >= 3 AND median >= 16 THEN 'very slow' WHEN samples >= 3 AND median >= 8 THEN 'slow' ELSE 'ok' END AS state FROM r",
         "stream_running_counts": "SELECT event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1",
         "stream_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n FROM events GROUP BY ALL",
         "ops_recent": "SELECT event_type, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY 1",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -44,3 +44,51 @@ def live_scans(stored: DataFrame, live: DataFrame, key: str) -> DataFrame:
 
 def purge_orphans(index: DataFrame, scans: DataFrame, key: str) -> DataFrame:
     return index.join(scans.select(key).distinct(), key, "left_semi")
+
+
+#: The columns of the client's CSV.
+CLIENT_COLUMNS = ("category", "value", "severity", "first_seen", "last_seen", "occurrences", "type", "provider", "service", "domain", "source_url", "source_page_id", "md5", "sha256", "shodan")
+
+
+def client_csv(findings: DataFrame) -> DataFrame:
+    """(place, line): header and rows of the client's CSV; a value with a quote, comma or line end is quoted.
+
+    ``findings`` carry value and severity; what they lack of the columns comes from
+    their attributes, else it is empty.
+    """
+    have = set(findings.columns)
+
+    def field(name: str) -> Column:
+        raw = F.coalesce((F.col(name) if name in have else F.col("attrs")[name]).cast("string"), F.lit(""))
+        return F.when(raw.rlike('[",\n]'), F.concat(F.lit('"'), F.replace(raw, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(raw)
+
+    place = F.row_number().over(W.orderBy("category", "rank"))
+    body = findings.select(place.cast("long").alias("place"), F.concat_ws(",", *map(field, CLIENT_COLUMNS)).alias("line"))
+    head = findings.sparkSession.createDataFrame([(0, ",".join(CLIENT_COLUMNS))], "place long, line string")
+    return head.unionByName(body)
+
+
+def json_export(scans: DataFrame, tool: str, exported_at: str) -> DataFrame:
+    """(url_id, json): the export of each stored scan, its ``meta`` and ``results`` being JSON texts already."""
+    told = F.to_json(F.struct(F.lit(tool).alias("tool"), "domain", "url_id", F.lit(exported_at).alias("exported_at"), "completed_at"))
+    whole = F.concat(F.rtrim(told, F.lit("}")), F.lit(',"meta":'), F.coalesce("meta", F.lit("null")), F.lit(',"results":'), F.coalesce("results", F.lit("{}")), F.lit("}"))
+    return scans.select("url_id", whole.alias("json"))
+
+
+def html_pages(scans: DataFrame, template: str, name: str) -> DataFrame:
+    """(url_id, html): the template with each scan's JSON as a script in its head, safe against closing tags inside."""
+    script = F.concat(F.lit(f"<script>window.{name} = "), F.replace(F.col("json"), F.lit("</"), F.lit("<\\/")), F.lit(";</script>"))
+    before, found, after = template.partition("</head>")
+    page = F.concat(F.lit(before), script, F.lit(found + after)) if found else F.concat(script, F.lit(template))
+    return scans.select("url_id", page.alias("html"))
+
+
+def without_scan(scans: DataFrame, index: DataFrame, url_id: str) -> tuple[DataFrame, DataFrame]:
+    """The scans and the text index without one scan."""
+    return scans.where(F.col("url_id") != url_id), index.where(F.col("scan") != url_id)
+
+
+def without_expired(scans: DataFrame, index: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """The scans that live after ``now`` (no expiry: for ever), and the index rows of these."""
+    kept = scans.where(F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now)))
+    return kept, index.join(kept.select(F.col("url_id").alias("scan")).distinct(), "scan", "left_semi")

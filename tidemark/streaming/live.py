@@ -14,6 +14,8 @@ from tidemark.operators.fold import all_hits, fold
 #: Fixed values of the governor (seconds, requests a minute).
 SOFT_FAILURES, SOFT_WINDOW, SOFT_OPEN = 5, 120, 180
 HARD_REFUSALS, HARD_WINDOW, COOLDOWN, COOLDOWN_MOST, STREAK_RESET = 2, 120, 120, 1800, 900
+#: Fixed value: requests that may go at once.
+BUCKET = 6.0
 RATE_START, RATE_LEAST, RATE_MOST, RATE_STEP, RATE_CLEAN, RATE_CUT = 75.0, 60.0, 80.0, 15.0, 90, 0.5
 
 
@@ -64,6 +66,30 @@ def governor_step(state: dict, at: float, outcome: str) -> dict:
     return s | {"rate": rate, "clean": clean, "fails": fails, "refusals": refusals, "streak": streak, "hard_until": hard_until, "soft_until": soft_until}
 
 
+def bucket_step(tokens: float, updated: float, at: float, rate: float, capacity: float = BUCKET) -> tuple[float, float, float]:
+    """(tokens, updated, granted at) of a request at second ``at`` to a bucket that fills at ``rate`` a minute."""
+    now = max(at, updated)
+    tokens = min(capacity, tokens + (now - updated) * rate / 60)
+    wait = max(0.0, 1 - tokens) * 60 / rate
+    return min(capacity, tokens + wait * rate / 60) - 1, now + wait, now + wait
+
+
+def pacing(requests: DataFrame) -> DataFrame:
+    """(host, at, granted): when the token bucket of each host lets a request of ``requests(host, at, rate)`` go.
+
+    A sequential fold by nature: one host's requests go to one task, in order of time.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, tokens, updated, out = rows.sort_values("at"), BUCKET, None, []
+        for r in rows.itertuples():
+            tokens, updated, granted = bucket_step(tokens, r.at if updated is None else updated, r.at, r.rate)
+            out.append((r.host, r.at, granted))
+        return pd.DataFrame(out, columns=["host", "at", "granted"])
+
+    return requests.groupBy("host").applyInPandas(run, "host string, at double, granted double")
+
+
 def governor(events: DataFrame) -> DataFrame:
     """(host, at, rate, soft_open, hard_open) after each event of ``events(host, at, outcome)``, as a batch fold.
 
