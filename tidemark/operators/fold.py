@@ -10,7 +10,7 @@ from tidemark.functions import rules
 from tidemark.functions.text import host_of
 from tidemark.operators.native_extract import native_hits, prepared
 from tidemark.operators.page_extract import page_hits
-from tidemark.session import discard, materialise
+from tidemark.session import discard, materialise, numbered
 
 ALL_CATEGORIES = (
     "emails", "phones", "subdomains", "api_keys", "cloud_buckets", "analytics_trackers", "endpoints", "assets", "social_profiles", "technologies", "persons", "organizations", "addresses", "linked_documents", "html_comments", "meta_info", "html_titles", "jwt_tokens",
@@ -76,12 +76,18 @@ def fold(hits: DataFrame, *extra: str) -> DataFrame:
 def page_ids(pages: DataFrame) -> DataFrame:
     """(source_url, source_page_id): distinct sources of downloaded pages, numbered from 1 in processing order."""
     first = prepared(pages).where("html is not null").groupBy("source_url").agg(F.min("page_seq").alias("at"))
-    return first.select("source_url", F.row_number().over(W.orderBy("at", "source_url")).alias("source_page_id"))
+    return numbered(first, "source_page_id", F.col("at"), F.col("source_url")).select("source_url", F.col("source_page_id").cast("int").alias("source_page_id"))
 
 
 def ranked(findings: DataFrame) -> DataFrame:
-    """Adds ``rank`` in each category: occurrences descending, ties in order of first appearance."""
-    return findings.withColumn("rank", F.row_number().over(W.partitionBy("category").orderBy(F.desc("occurrences"), "first_hit", "key")))
+    """Adds ``rank`` in each category: occurrences descending, ties in order of first appearance.
+
+    A large category is not sorted in one task: places are those of all findings in
+    ranges, less the first place of the category.
+    """
+    placed = numbered(findings, "_place", F.col("category"), F.desc("occurrences"), F.col("first_hit"), F.col("key"))
+    first = placed.groupBy("category").agg(F.min("_place").alias("_first"))
+    return placed.join(F.broadcast(first), "category").withColumn("rank", (F.col("_place") - F.col("_first") + 1).cast("int")).drop("_place", "_first")
 
 
 def findings_of(pages: DataFrame, categories: list[str] | None = None) -> DataFrame:

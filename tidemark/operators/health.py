@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tidemark.functions.checksums import icon_hash
 
@@ -52,7 +53,7 @@ def latency_state(calls: DataFrame, key: str = "host") -> DataFrame:
     return rows.select(*calls.columns, n.alias("samples"), "median", state.alias("state"))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _icon_hash(content: pd.Series) -> pd.Series:
     return content.map(icon_hash)
 

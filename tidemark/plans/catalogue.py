@@ -54,7 +54,11 @@ def link_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folding.ranked(fold(link_hits(spark, sf_dir)))
+    return fold(link_hits(spark, sf_dir))
+
+
+def ranked_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folding.ranked(findings(spark, sf_dir))
 
 
 _CAPTURES = """caps AS (SELECT page_id AS page_seq, (2010 + page_id % 12)::VARCHAR || lpad((1 + (page_id * 7) % 12)::VARCHAR, 2, '0') || lpad((1 + page_id % 28)::VARCHAR, 2, '0') || '120000' AS timestamp, url, md5(html) AS digest, html,
@@ -344,15 +348,15 @@ def search_postings_turns(spark, sf_dir):
 
 
 def export_csv_rows(spark, sf_dir):
-    return sinks.csv_rows(findings(spark, sf_dir))
+    return sinks.csv_rows(ranked_findings(spark, sf_dir))
 
 
 def export_json(spark, sf_dir):
-    return sinks.json_rows(findings(spark, sf_dir))
+    return sinks.json_rows(ranked_findings(spark, sf_dir))
 
 
 def export_markdown(spark, sf_dir):
-    return sinks.markdown_rows(findings(spark, sf_dir))
+    return sinks.markdown_rows(ranked_findings(spark, sf_dir))
 
 
 def stream_running_counts(spark, sf_dir):
@@ -412,7 +416,7 @@ def sel_estimate(spark, sf_dir):
 
 
 def valued_findings(spark, sf_dir):
-    return findings(spark, sf_dir).withColumn("value", folding.value_of())
+    return ranked_findings(spark, sf_dir).withColumn("value", folding.value_of())
 
 
 def rep_axis_ticks(spark, sf_dir):
@@ -424,17 +428,17 @@ def rep_pivots(spark, sf_dir):
 
 
 def rep_category_activity(spark, sf_dir):
-    return report.category_activity(findings(spark, sf_dir), "links")
+    return report.category_activity(ranked_findings(spark, sf_dir), "links")
 
 
 def rep_composed_activity(spark, sf_dir):
-    chosen = findings(spark, sf_dir).where("category = 'titles' and rank <= 3").select("category", F.col("key").alias("value"))
+    chosen = ranked_findings(spark, sf_dir).where("category = 'titles' and rank <= 3").select("category", F.col("key").alias("value"))
     return report.composed_activity(valued_findings(spark, sf_dir), ("titles", "links"), chosen)
 
 
 def rep_co_occurrence_block(spark, sf_dir):
     """What the page of the first title by rank shows besides it."""
-    found = findings(spark, sf_dir)
+    found = ranked_findings(spark, sf_dir)
     top = found.where("category = 'titles' and rank = 1").first()
     return report.co_occurrence(found, "titles", top.key if top else "")
 

@@ -7,6 +7,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -81,3 +83,17 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def numbered(df: DataFrame, name: str, *order) -> DataFrame:
+    """``df`` with its place from 1 in a total order, sorted by ranges: no task sees more than its range.
+
+    Ranges are written with their number; places within one and the sizes of those before
+    it give the place.
+    """
+    part = f"_{name}_part"
+    ranged = materialise(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    sizes = ranged.groupBy(part).agg(F.count("*").alias("_size"))
+    before = sizes.select(part, (F.sum("_size").over(W.orderBy(part)) - F.col("_size")).alias("_before"))  # a row for each range
+    place = F.row_number().over(W.partitionBy(part).orderBy(*order)) + F.col("_before")
+    return ranged.join(F.broadcast(before), part).withColumn(name, place).drop(part, "_before")
