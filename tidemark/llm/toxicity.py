@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from tidemark.llm.textkit import LOWER, buffers, mix, slices, span_hashes, word_spans
 
 MAX_FIT_DOCS = 20_000
-MAX_FEATURES = 8192
 MIN_DOCS = 5
 MIN_Z = 3.0
 RIDGE = 1.0
@@ -132,13 +131,13 @@ def solve(row: np.ndarray, place: np.ndarray, grade: np.ndarray, width: int, rou
     return theta[:width], theta[width] + np.concatenate(([0.0], np.cumsum(np.exp(theta[width + 1 :]))))
 
 
-def fit(docs: DataFrame, grades: DataFrame, max_fit_docs: int = MAX_FIT_DOCS, max_features: int = MAX_FEATURES) -> Model:
+def fit(docs: DataFrame, grades: DataFrame, max_fit_docs: int = MAX_FIT_DOCS) -> Model:
     """A model from about ``max_fit_docs`` labelled rows, taken by a hash of doc_id.
 
     ``grades(doc_id, grade)`` may repeat a doc_id (its highest grade counts) and hold
     nulls (left out). The label sample is what is broadcast; to the driver come the
-    features that ``MIN_DOCS`` sampled documents share, then at most
-    ``max_features`` places a document: both bounded by the sample.
+    features that ``MIN_DOCS`` sampled documents share, then the places of those that
+    tell the grades apart (``MIN_Z``) in each document: both bounded by the sample.
     """
     spark = docs.sparkSession
     usable = grades.where("doc_id is not null and grade is not null and grade >= 0")
@@ -154,8 +153,7 @@ def fit(docs: DataFrame, grades: DataFrame, max_fit_docs: int = MAX_FIT_DOCS, ma
     p1, p0 = bad / bad_n, (df - bad) / good_n
     pooled = df / max(totals[0], 1)
     z = np.abs(p1 - p0) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / good_n + 1 / bad_n))
-    best = np.lexsort((feature, -z))[:max_features]
-    vocabulary = np.sort(feature[best[z[best] >= MIN_Z]].view(np.uint64))
+    vocabulary = np.sort(feature[z >= MIN_Z].view(np.uint64))
     table = labelled.mapInArrow(_rows(spark.sparkContext.broadcast(vocabulary)), "grade int, places array<int>").toArrow()
     places = table["places"].combine_chunks()
     row = np.repeat(np.arange(len(places)), np.diff(np.asarray(places.offsets))) if len(places) else np.zeros(0, np.int64)
