@@ -22,8 +22,9 @@ from tidemark.llm.textkit import LOWER, buffers, mix, slices
 ORDERS = (3, 5)
 MAX_FIT_DOCS = 20_000
 MIN_COUNT = 10
-TOP_GRAMS = 20_000
+#: Slots at least; beyond it the filter has ``SLOTS_EACH`` for each gram of the largest language.
 SLOTS = 1 << 18
+SLOTS_EACH = 13
 HASHES = 2
 #: A language keeps a gram unless another one uses it this many times as often.
 RIVAL = 2.5
@@ -65,7 +66,7 @@ class Model:
     def slots(self, code: np.ndarray) -> Iterator[np.ndarray]:
         h = mix(code)
         for k in range(HASHES):
-            yield ((h >> np.uint64(20 * k)) & np.uint64(len(self.masks) - 1)).astype(np.int64)
+            yield ((h >> np.uint64(32 * k)) & np.uint64(len(self.masks) - 1)).astype(np.int64)
 
     def contain(self, code: np.ndarray) -> np.ndarray:
         """(gram, word of 64 languages): the languages that hold each gram."""
@@ -96,7 +97,8 @@ class Model:
 
 
 def build(languages: list[str], codes: list[np.ndarray], slots: int = SLOTS) -> Model:
-    """A model whose language ``k`` contains the grams ``codes[k]``."""
+    """A model whose language ``k`` contains the grams ``codes[k]``; the slots grow with them, a power of two."""
+    slots = max(slots, 1 << (SLOTS_EACH * max(map(len, codes), default=1) - 1).bit_length())
     masks = np.zeros((slots, (len(languages) + 63) // 64), np.uint64)
     model = Model(languages, masks, np.zeros(len(languages)))
     for k, code in enumerate(codes):
@@ -142,9 +144,7 @@ def fit(labelled: DataFrame, max_fit_docs: int = MAX_FIT_DOCS) -> Model:
     best = share_of.max(0) if languages else np.zeros(0)
     chosen = []
     for k in range(len(languages)):
-        keep = np.flatnonzero((share_of[k] > 0) & (share_of[k] * RIVAL >= best))
-        keep = keep[np.argsort(-share_of[k][keep], kind="stable")[:TOP_GRAMS]]
-        chosen.append(universe[keep])
+        chosen.append(universe[(share_of[k] > 0) & (share_of[k] * RIVAL >= best)])
     return build(languages, chosen)
 
 
