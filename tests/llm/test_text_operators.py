@@ -319,6 +319,27 @@ def test_language_id(spark):
     assert set(language_id.identify(docs(spark, rows[:50]), keep=["doc_id", "same", "_c0"]).columns) == {"doc_id", "same", "_c0", "held_out", "lang_pred", "score"}
 
 
+def test_language_scores_equal_brute_force():
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("abcdé  1\n") for _ in range(rng.randrange(0, 120))) for _ in range(60)] + ["", " ", "é"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+
+    def grams_of(text):
+        raw = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode())
+        return [(k, raw[i : i + k]) for k in language_id.ORDERS for i in range(len(raw) - k + 1) if 32 not in raw[i + 1 : i + k - 1]]
+
+    every = sorted({g for t in texts for g in grams_of(t)})
+    own = [{g for g in every if rng.random() < 0.5} for _ in range(3)]
+    code = lambda g: int.from_bytes(g[1], "big") | g[0] << 56
+    model = language_id.build(["x", "y", "z"], [np.array([code(g) for g in s], np.uint64) for s in own], 1 << 22)
+    score = model.score(data, offsets)
+    for i, text in enumerate(texts):
+        hits = np.array([sum(g in s for g in grams_of(text)) for s in own], float)
+        want = hits / hits.sum() if hits.sum() else hits
+        assert abs(score[i] - want).max() < 0.01
+
+
 def test_bloom_masks_name_every_language():
     codes = [np.arange(k * 100, k * 100 + 100, dtype=np.uint64) for k in range(70)]
     model = language_id.build([f"l{k:02d}" for k in range(70)], codes, 1 << 16)
