@@ -520,6 +520,10 @@ SELECT page_seq, timestamp, url FROM r JOIN dealt ON dealt.g = r.year AND dealt.
         "rep_co_occurrence": f"{found} SELECT t.key AS title, count(*) AS links FROM f JOIN f t ON t.source_url = f.source_url AND t.category = 'titles' WHERE f.category = 'links' GROUP BY 1",
         "search_postings": "SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT conv_id, term, count(*) AS tf FROM (SELECT conv_id, unnest(regexp_extract_all(translate(lower(text), '" + search._ACCENTED + "', '" + search._PLAIN + "'), '[\\p{L}\\p{N}]+')) AS term FROM conversations) GROUP BY ALL) GROUP BY term",
         "search_postings_turns": "SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT conv_id, turn, term, count(*) AS tf FROM (SELECT conv_id, turn, unnest(regexp_extract_all(translate(lower(text), '" + search._ACCENTED + "', '" + search._PLAIN + "'), '[\\p{L}\\p{N}]+')) AS term FROM conversations) GROUP BY ALL) GROUP BY term",
+        "rep_top_links": f"{found}, {_RANKED} SELECT category, key, occurrences, (row_number() OVER (PARTITION BY category ORDER BY occurrences DESC, first_hit, key))::INT AS place FROM ranked WHERE contains(lower(key), 'a') QUALIFY place <= 20",
+        "export_markdown": f"{found}, {_RANKED} SELECT category, rank AS place, '- ' || key || ' (' || first_seen || ' to ' || last_seen || ', ' || occurrences || 'x)' AS line FROM ranked WHERE key <> ''",
+        "export_json": f"{found}, {_RANKED} SELECT category, ((rank - 1) // 1000)::BIGINT AS part, '[' || array_to_string(list(to_json({{'key': key, 'first_seen': first_seen, 'last_seen': last_seen, 'occurrences': occurrences, 'attrs': {{'value': key}}, 'source_url': source_url}})::VARCHAR ORDER BY rank), ',') || ']' AS items FROM ranked GROUP BY ALL",
+        "stream_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g) SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", user_id, count(*) AS n FROM s GROUP BY user_id, no",
         "search_bm25": _bm25_sql(_MIT, 50),
         "search_accent_fold": _bm25_sql(["starts_with(x, 'etre')"], 20),
         "export_csv_rows": f"{found} SELECT category, key AS value, first_seen, last_seen, occurrences, source_url AS source FROM f WHERE key <> ''",
