@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.checksums import icon_hash
 from tidemark.operators import fold, health, report, search, selection
 from tidemark.session import numbered
-from tidemark.sources import sinks
+from tidemark.sources import captures, sinks
 from tidemark.streaming import live
 
 
@@ -27,15 +27,15 @@ def test_ceiling_and_picks(spark):
 
 def test_density(spark, monkeypatch):
     rows = [(f"{year}01{i:02d}000000", f"https://a.test/{year}/{i}") for year in (2011, 2012, 2013) for i in range(1, 10)]
-    captures = spark.createDataFrame(rows, "timestamp string, url string")
+    found = spark.createDataFrame(rows, "timestamp string, url string")
     monkeypatch.setitem(selection.DENSITIES, "one", 1)
-    assert sorted(r.timestamp[6:8] for r in selection.density_sample(captures, "one").collect()) == ["05"] * 3  # the middle
-    assert sorted(r.timestamp[6:8] for r in selection.density_sample(captures, "light").collect()) == ["01"] * 3 + ["09"] * 3
-    assert selection.density_sample(captures, "max", ceiling=10).count() == 10
-    one_year = captures.where("timestamp < '2012'")
+    assert sorted(r.timestamp[6:8] for r in selection.density_sample(found, "one").collect()) == ["05"] * 3  # the middle
+    assert sorted(r.timestamp[6:8] for r in selection.density_sample(found, "light").collect()) == ["01"] * 3 + ["09"] * 3
+    assert selection.density_sample(found, "max", ceiling=10).count() == 10
+    one_year = found.where("timestamp < '2012'")
     assert sorted(r.timestamp[6:8] for r in selection.density_sample(one_year, "max", ceiling=4).collect()) == ["01", "02", "03", "04"]
-    assert selection.in_scope(captures, hosts=("b.test",)).count() == 0 and selection.in_scope(captures, hosts=("a.test",), day_from="20120102", day_to="20120104").count() == 3
-    assert tuple(selection.scan_estimate(captures, captures.limit(10)).first()) == (10, 19, "thin")
+    assert selection.in_scope(found, hosts=("b.test",)).count() == 0 and selection.in_scope(found, hosts=("a.test",), day_from="20120102", day_to="20120104").count() == 3
+    assert tuple(selection.scan_estimate(found, found.limit(10)).first()) == (10, 19, "thin")
 
 
 def test_numbering_by_ranges(spark):
@@ -110,3 +110,20 @@ def test_page_ids_and_ranks(spark):
     hits = spark.createDataFrame([(p, 0, "emails", f"k{p % 4}", "2020-01", f"s{p}", {"value": "v"}) for p in range(50)], "page_seq long, hit_seq long, category string, key string, month string, source_url string, attrs map<string,string>")
     got = sorted((r.key, r.rank) for r in fold.ranked(fold.fold(hits)).collect())
     assert got == [("k0", 1), ("k1", 2), ("k2", 3), ("k3", 4)]
+
+
+def test_downloads(spark):
+    selected = spark.createDataFrame([("1", f"u{i}") for i in range(8)], "timestamp string, url string")
+    answers = [("1", "u0", 200, bytearray("é".encode()), None), ("1", "u1", 404, None, None), ("1", "u2", 410, None, None), ("1", "u3", 503, None, None), ("1", "u4", 502, None, None), ("1", "u5", None, None, "conn"), ("1", "u6", 200, bytearray(b"a\xffb"), None)]
+    got = {r.url: (r.html, r.error) for r in captures.downloads(selected, spark.createDataFrame(answers, "timestamp string, url string, status int, body binary, failure string")).collect()}
+    assert got == {"u0": ("é", None), "u1": (None, "http_404"), "u2": (None, "http_4xx"), "u3": (None, "http_503"), "u4": (None, "http_5xx"), "u5": (None, "conn"), "u6": ("a\ufffdb", None), "u7": (None, "exhausted")}
+
+
+def test_index_cache_and_size(spark):
+    cache = spark.createDataFrame([("a.test", 1000.0, "x"), ("a.test", 90_000.0, "y"), ("b.test", 90_000.0, "z")], "domain string, cached_at double, row string")
+    assert [r.row for r in captures.cached_index(cache, "a.test", 100_000.0).collect()] == ["y"]
+    assert spark.range(1).select(captures.size_estimate(F.lit(4))).first()[0] == 12_000
+    rows = [("20200101", "https://www.A.test/x?q=1#top", "200", "text/html"), ("20200102", "https://a.test", "200", "text/html"), ("20200103", "https://nota.test/", "200", "text/html"), ("20200104", "https://a.test/p", "404", "text/html")]
+    index = captures.site_index(spark.createDataFrame(rows, "timestamp string, url string, status string, mimetype string"), "a.test", limit=5, collapse="urlkey")
+    assert sorted(r.timestamp for r in index.collect()) == ["20200101", "20200102"]
+    assert spark.range(1).select(captures.url_key(F.lit("https://www.A.test/x?q=1#top"))).first()[0] == "test,a,www)/x?q=1"

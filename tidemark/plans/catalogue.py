@@ -20,7 +20,7 @@ from tidemark.operators.highlights import highlights
 from tidemark.plans.cases import CASES, case_query, case_sql
 from tidemark.plans.fixtures import fixture_pages, fixture_sql
 from tidemark.sources import sinks
-from tidemark.sources.captures import captures_of_pages, stamp_of
+from tidemark.sources.captures import captures_of_pages, site_index, stamp_of
 from tidemark.streaming import live
 from tidemark.session import spread, table
 
@@ -175,6 +175,8 @@ def _ext_sql() -> dict[str, str]:
     return out
 
 
+#: Captures with host and sort key.
+_KEYED = "hosted AS (SELECT *, lower(regexp_replace(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1), ':[0-9]*$', '')) AS host, lower(regexp_replace(regexp_replace(url, '^[A-Za-z]+://[^/?#]*', ''), '#.*$', '')) AS rest FROM caps), keyed AS (SELECT *, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN starts_with(rest, '/') THEN rest ELSE '/' || rest END AS key FROM hosted)"
 _MIT = ["x = 'under'", "x = 'the'", "x = 'mit'", "starts_with(x, 'lic')"]
 #: Ranked findings, from ``f`` and their first hits.
 _RANKED = "o AS (SELECT category, key, min(page_seq * 100000 + spot) AS first_hit FROM (SELECT page_seq, 'links' AS category, unnest(l) AS key, unnest(range(len(t), len(t) + len(l))) AS spot FROM (SELECT page_seq, regexp_extract_all(html, '<a href=\"([^\"]+)\"', 1) AS l, regexp_extract_all(html, '(?s)<title>(.*?)</title>', 1) AS t FROM caps) UNION ALL SELECT page_seq, 'titles', unnest(t), unnest(range(len(t))) FROM (SELECT page_seq, regexp_extract_all(html, '(?s)<title>(.*?)</title>', 1) AS t FROM caps)) GROUP BY ALL), ranked AS (SELECT f.*, o.first_hit, row_number() OVER (PARTITION BY f.category ORDER BY occurrences DESC, o.first_hit, f.key)::INT AS rank FROM f JOIN o ON o.category = f.category AND o.key = f.key)"
@@ -398,6 +400,14 @@ def ops_latest_per_owner(spark, sf_dir):
     return orders.withColumn("n", place).where("n = 1").select("o_custkey", "o_orderkey")
 
 
+def src_site_index(spark, sf_dir):
+    return site_index(captures(spark, sf_dir), "example.com", limit=100).select("page_seq", "timestamp", "url")
+
+
+def src_urlkey_collapse(spark, sf_dir):
+    return site_index(captures(spark, sf_dir), "example.net", collapse="urlkey").select("page_seq", "url")
+
+
 def sel_density(spark, sf_dir):
     return selection.density_sample(captures(spark, sf_dir), "fast").select("page_seq", "timestamp")
 
@@ -476,7 +486,7 @@ _NATIVE = ("analytics_trackers", "analytics_ids", "cloud_buckets", "adsense_ids"
 _PLAIN = (
     ext_all_categories, ext_url_subdomains, ext_titles_links, sel_preflight, sel_path_groups, sel_host_groups, sel_year_histogram, sel_day_density, sel_date_range, sel_exclude_keywords, sel_content_dedup, sel_month_collapse, sel_year_allocation, sel_evenly_by_year, sel_score_allocation, sel_full_selection,
     fold_findings, fold_page_ids, rep_summary, rep_presence, rep_change_feed, rep_lanes, rep_category_rail, rep_co_occurrence, rep_top_links, rep_highlights, merge_analytics, search_bm25, search_accent_fold, search_postings, search_postings_turns, export_csv_rows, export_json, export_markdown,
-    sel_density, sel_picks_under_ceiling, sel_scope, sel_estimate, rep_axis_ticks, rep_pivots, rep_category_activity, rep_composed_activity, rep_co_occurrence_block, search_snippets, search_index_rows, export_client_csv, ops_outcomes, ops_moving_average, ops_latency,
+    src_site_index, src_urlkey_collapse, sel_density, sel_picks_under_ceiling, sel_scope, sel_estimate, rep_axis_ticks, rep_pivots, rep_category_activity, rep_composed_activity, rep_co_occurrence_block, search_snippets, search_index_rows, export_client_csv, ops_outcomes, ops_moving_average, ops_latency,
     stream_running_counts, stream_windows, stream_sessions, stream_governor, ops_recent, ops_fair_queue, ops_latest_per_owner,
 )
 
@@ -527,6 +537,8 @@ SELECT page_seq, timestamp, url FROM r JOIN dealt ON dealt.g = r.year AND dealt.
         "search_bm25": _bm25_sql(_MIT, 50),
         "search_accent_fold": _bm25_sql(["starts_with(x, 'etre')"], 20),
         "export_csv_rows": f"{found} SELECT category, key AS value, first_seen, last_seen, occurrences, source_url AS source FROM f WHERE key <> ''",
+        "src_site_index": f"{caps}, {_KEYED} SELECT page_seq, timestamp, url FROM (SELECT * FROM keyed WHERE host = 'example.com' OR ends_with(host, '.example.com') QUALIFY row_number() OVER (PARTITION BY url, substr(timestamp, 1, 6) ORDER BY timestamp, url) = 1) ORDER BY key, timestamp, url LIMIT 100",
+        "src_urlkey_collapse": f"{caps}, {_KEYED} SELECT page_seq, url FROM keyed WHERE host = 'example.net' OR ends_with(host, '.example.net') QUALIFY row_number() OVER (PARTITION BY key ORDER BY timestamp, url) = 1",
         "sel_density": f"{caps}, {_spaced('6', 'substr(timestamp, 1, 4)')} SELECT page_seq, timestamp FROM r WHERE k <= 6 OR list_contains(list_transform(range(6), lambda j: floor(j * ((k - 1)::DOUBLE / 5) + 0.5)), i)",
         "sel_picks_under_ceiling": f"{caps}, y AS (SELECT substr(timestamp, 1, 4) AS year, count(*) AS n FROM caps GROUP BY 1), {_YEARS}, {_spaced('allocated', 'year', 'caps JOIN years ON years.year = substr(timestamp, 1, 4)')} SELECT page_seq, timestamp FROM r WHERE (SELECT count(*) FROM caps) <= 100 OR allocated >= k OR (allocated = 1 AND i = 0) OR (allocated > 1 AND list_contains(list_transform(range(allocated), lambda j: round_even(j * ((k - 1)::DOUBLE / (allocated - 1)), 0)), i))",
         "sel_scope": f"{caps} SELECT page_seq, url FROM caps WHERE path <> '/' AND NOT contains(lower(url), 'casino') AND substr(timestamp, 1, 8) BETWEEN '20120310' AND '20190520'",
