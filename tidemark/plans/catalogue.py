@@ -7,6 +7,8 @@ few fixture pages that show them.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -140,6 +142,41 @@ def _tenant_sql(category: str, table_, reserved, missing: str = "") -> list[str]
     return parts
 
 
+def _handles(pattern: str) -> str:
+    """The groups ``h`` of a pattern of the form (boundary)(prefix)(words that must not follow)(group): DuckDB's patterns cannot look around."""
+    flags, edge, prefix, banned, group = re.fullmatch(r"(\(\?i\))?(\(\?<!\[[^\]]*\]\)|\\b)(.*?)(?:\(\?!(.*?)\))?(\(\[[^()]*\]\{\d+,\d+\}\))(?:\\b)?", pattern).groups()
+    start = "\\b" if edge == "\\b" else f"(?:^|[^{edge[5:-2]}])"
+    tails = f"SELECT page_id, unnest(regexp_extract_all(html, {_quote((flags or '') + start + prefix + '([A-Za-z0-9_./?%@-]{0,120})')}, 1)) AS t FROM p"
+    allowed = f" WHERE NOT regexp_matches(t, {_quote((flags or '') + '^(?:' + banned + ')')})" if banned else ""
+    return f"SELECT * FROM (SELECT page_id, regexp_extract(t, {_quote((flags or '') + '^' + group)}, 1) AS h FROM ({tails}){allowed}) WHERE h <> ''"
+
+
+def _wholes(pattern: str) -> str:
+    """The matches ``m`` of a pattern that may begin and end with a character that must not stand there."""
+    flags, before, body, after = re.fullmatch(r"(\(\?i\))?(?:\(\?<!\[([^\]]*)\]\))?(.*?)(?:\(\?!\[([^\]]*)\]\))?", pattern).groups()
+    start, end = f"(?:^|[^{before}])" if before else "", f"(?:$|[^{after}])" if after else ""
+    return f"SELECT page_id, unnest(regexp_extract_all(html, {_quote((flags or '') + start + '(' + body + ')' + end)}, 1)) AS m FROM p"
+
+
+def _lookaround_sql() -> dict[str, str]:
+    social = []
+    for platform, pattern in rules.SOCIAL:
+        denied = rules.SOCIAL_EXCLUDE + rules.SOCIAL_RESERVED.get(platform, ())
+        anonymous = f" AND NOT regexp_matches(h, {_quote(rules.LINKEDIN_ANONYMOUS)})" if platform == "linkedin" else ""
+        social.append(f"SELECT {_quote(platform + ':')} || lower(h) AS key FROM ({_handles(pattern)}) WHERE length(h) >= 2 AND lower(h) NOT IN {_in(denied)}{anonymous}")
+    bounties = [f"SELECT {_quote(platform + ':')} || lower(h) AS key FROM ({_handles(pattern)}) WHERE length(h) >= 2 AND lower(h) NOT IN {_in(rules.BUG_BOUNTY_RESERVED)}" for platform, pattern in rules.BUG_BOUNTIES]
+    keys = [f"SELECT m AS key FROM ({_wholes(pattern)})" for kind, pattern in rules.API_KEYS if kind != "Twilio"]
+    urls = f"SELECT DISTINCT page_id, regexp_replace(m, '[.,;:''\")\\]}}>]+$', '') AS m FROM ({_wholes(rules.CONNECTION)})"
+    authority = "regexp_extract(m, '://([^/?#]*)', 1)"
+    user = f"CASE WHEN contains({authority}, '@') THEN regexp_extract({authority}, '^(.*)@', 1) ELSE '' END"
+    host = f"lower(regexp_replace(regexp_replace({authority}, '^.*@', ''), ':[^:]*$', ''))"
+    connections = [f"SELECT regexp_replace(m, '(://[^:@/]*):([^@]+)@', '\\1:****@') AS key FROM ({urls}) WHERE NOT ({host} IN ('localhost', '127.0.0.1') AND {user} IN ('', ':'))"]
+    part = lambda n: f"try(decode(from_base64(rpad(translate(split_part(m, '.', {n}), '-_', '+/'), (ceil(length(split_part(m, '.', {n})) / 4.0) * 4)::INT, '='))))"
+    tokens = f"SELECT DISTINCT page_id, m FROM (SELECT page_id, unnest(list_concat(regexp_extract_all(url, {_quote(rules.JWT)}), regexp_extract_all(html, {_quote(rules.JWT)}))) AS m FROM p)"
+    jwt = [f"SELECT m AS key FROM ({tokens}) WHERE json_valid({part(1)}) AND json_extract_string({part(1)}, '$.alg') IN {_in(rules.JWT_ALGORITHMS)} AND starts_with(trim({part(2)}), '{{') AND json_valid(trim({part(2)}))"]
+    return {f"ext_{c}": _grouped(c, parts) for c, parts in (("social_profiles", social), ("bug_bounty_programs", bounties), ("api_keys", keys), ("connection_strings", connections), ("jwt_tokens", jwt))}
+
+
 def _ext_sql() -> dict[str, str]:
     out = {
         "ext_analytics_trackers": _ids_sql("analytics_trackers", rules.TRACKERS, True),
@@ -498,7 +535,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     caps, found = f"WITH {_CAPTURES}", f"WITH {_FINDINGS}"
     score = "CASE WHEN regexp_matches(path, '" + "|".join(selection.HIGH_VALUE) + "') THEN 3 WHEN path = '/' THEN 2 ELSE 1 END"
-    return _ext_sql() | {f"case_{c}": case_sql(c) for c in CASES} | {
+    return _ext_sql() | _lookaround_sql() | {f"case_{c}": case_sql(c) for c in CASES} | {
         "sel_preflight": f"{caps}, s AS (SELECT count(*) AS captures, count(DISTINCT path) AS paths, count(DISTINCT (path, digest)) AS contents, min(substr(timestamp, 1, 4) || '-' || substr(timestamp, 5, 2)) AS first_month, max(substr(timestamp, 1, 4) || '-' || substr(timestamp, 5, 2)) AS last_month FROM caps) SELECT *, greatest(CASE WHEN paths <= 30 THEN least(contents, 100) WHEN paths <= 200 THEN least(3 * paths, 500) WHEN paths <= 1000 THEN least(floor(1.5 * paths), 1000) ELSE 1500 END, least(contents, 50))::BIGINT AS suggested_cap FROM s",
         "sel_path_groups": f'{caps} SELECT path, count(*) AS n, min(timestamp) AS "first", max(timestamp) AS "last", {score} AS score FROM caps GROUP BY path',
         "sel_host_groups": f"{caps} SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, count(*) AS n, count(DISTINCT url) AS urls FROM caps GROUP BY 1",
