@@ -4,7 +4,7 @@ import __spark_entry__ as entry
 from oracle import spark_rows, sql_rows
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(n for n in entry.oracle_sql() if not n.startswith(("op", "pipeline")))
+NAMES = sorted(n for n in entry.oracle_sql() if n != "pipeline" and not (n.startswith("op") and n[2].isdigit()))
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -158,6 +158,25 @@ def _wholes(pattern: str) -> str:
     return f"SELECT page_id, unnest(regexp_extract_all(html, {_quote((flags or '') + start + '(' + body + ')' + end)}, 1)) AS m FROM p"
 
 
+def _merge_sql() -> str:
+    """Trackers widened by the analytics ids of the same identifier, and the ids without one."""
+    month = "(2010 + page_id % 12)::VARCHAR || '-' || lpad((1 + (page_id * 7) % 12)::VARCHAR, 2, '0')"
+    found = lambda pattern, group: f"SELECT page_id, {month} AS month, regexp_extract(m, {_quote(pattern)}, {group}) AS v FROM ({_matches(pattern)})"
+    trackers = " UNION ALL ".join(f"SELECT {_quote(kind)} AS kind, * FROM ({found(pattern, group)}) WHERE NOT regexp_matches(replace(regexp_replace(v, '^[^-]*-', ''), '-', ''), '^[Xx]+$')" for kind, pattern, group in rules.TRACKERS)
+    ids = []
+    for platform, pattern, group in rules.ANALYTICS:
+        before, _, after = rules.ANALYTICS_PIVOTS[platform].partition("{}")
+        pivot = f"{_quote(before)} || v || {_quote(after)}" if "{}" in rules.ANALYTICS_PIVOTS[platform] else _quote(before)
+        ids.append(f"SELECT {_quote(platform)} AS kind, *, {pivot} AS link FROM ({found(pattern, group)}) WHERE v <> ''")
+    kept = f"v NOT IN {_in(rules.ID_DENYLIST)}"
+    return _over("")[:-1] + f""", t AS (SELECT kind, v AS id, upper(trim(v)) AS u, min(month) AS f, max(month) AS l, count(*) AS o, min(page_id) AS pg FROM ({trackers}) WHERE {kept} GROUP BY kind, v),
+i AS (SELECT kind, v AS id, upper(trim(v)) AS u, min(month) AS f, max(month) AS l, count(*) AS o, min(page_id) AS pg, any_value(link) AS link FROM ({' UNION ALL '.join(ids)}) WHERE {kept} GROUP BY kind, v),
+b AS (SELECT u, min(f) AS f, max(l) AS l, max(o) AS o, arg_min(link, pg) AS link, arg_min(id, pg) AS id FROM i GROUP BY u),
+x AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY o DESC, pg) AS n FROM t)
+SELECT 'analytics_trackers' AS category, x.id, coalesce(least(x.f, b.f), x.f) AS first_seen, coalesce(greatest(x.l, b.l), x.l) AS last_seen, greatest(x.o, coalesce(b.o, 0)) AS occurrences, b.link AS pivot_url FROM x LEFT JOIN b ON b.u = x.u AND x.n = 1
+UNION ALL SELECT 'analytics_trackers', id, f, l, o, link FROM b WHERE u NOT IN (SELECT u FROM t)"""
+
+
 def _lookaround_sql() -> dict[str, str]:
     social = []
     for platform, pattern in rules.SOCIAL:
@@ -567,6 +586,7 @@ SELECT page_seq, timestamp, url FROM r JOIN dealt ON dealt.g = r.year AND dealt.
         "rep_co_occurrence": f"{found} SELECT t.key AS title, count(*) AS links FROM f JOIN f t ON t.source_url = f.source_url AND t.category = 'titles' WHERE f.category = 'links' GROUP BY 1",
         "search_postings": "SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT conv_id, term, count(*) AS tf FROM (SELECT conv_id, unnest(regexp_extract_all(translate(lower(text), '" + search._ACCENTED + "', '" + search._PLAIN + "'), '[\\p{L}\\p{N}]+')) AS term FROM conversations) GROUP BY ALL) GROUP BY term",
         "search_postings_turns": "SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT conv_id, turn, term, count(*) AS tf FROM (SELECT conv_id, turn, unnest(regexp_extract_all(translate(lower(text), '" + search._ACCENTED + "', '" + search._PLAIN + "'), '[\\p{L}\\p{N}]+')) AS term FROM conversations) GROUP BY ALL) GROUP BY term",
+        "merge_analytics": _merge_sql(),
         "rep_top_links": f"{found}, {_RANKED} SELECT category, key, occurrences, (row_number() OVER (PARTITION BY category ORDER BY occurrences DESC, first_hit, key))::INT AS place FROM ranked WHERE contains(lower(key), 'a') QUALIFY place <= 20",
         "export_markdown": f"{found}, {_RANKED} SELECT category, rank AS place, '- ' || key || ' (' || first_seen || ' to ' || last_seen || ', ' || occurrences || 'x)' AS line FROM ranked WHERE key <> ''",
         "export_json": f"{found}, {_RANKED} SELECT category, ((rank - 1) // 1000)::BIGINT AS part, '[' || array_to_string(list(to_json({{'key': key, 'first_seen': first_seen, 'last_seen': last_seen, 'occurrences': occurrences, 'attrs': {{'value': key}}, 'source_url': source_url}})::VARCHAR ORDER BY rank), ',') || ']' AS items FROM ranked GROUP BY ALL",
