@@ -37,7 +37,7 @@ BITMAP_WORDS = 1 << 20
 BROADCAST_IDS = 1_000_000
 #: Classes, and items of their differences, in a tile of a component.
 TILE_ROWS, TILE_ITEMS = 1024, 1_000_000
-POSTING = "token long, doc long, n int, pos int"
+POSTING = "token long, doc long, same long, n int, pos int"
 
 
 def _sets_of(part: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,9 +45,9 @@ def _sets_of(part: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray,
     return row, value, np.bincount(row, minlength=part.num_rows).astype(np.int64)
 
 
-def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
     for part in slices(batch, "text"):
-        yield part.column("doc_id"), *_sets_of(part, width)
+        yield part.column("doc_id"), part.column("same"), *_sets_of(part, width)
 
 
 def _signature(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
@@ -64,7 +64,7 @@ def _sum_by_row(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
 
 def _describe(width: int):
     """Per document: size and set signature; per task: tokens that keep returning."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("token", pa.int64()), ("times", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("same", pa.int64()), ("n", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("token", pa.int64()), ("times", pa.int64())])
 
     def rows(**given) -> pa.RecordBatch:
         n = len(next(iter(given.values())))
@@ -78,9 +78,9 @@ def _describe(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for batch in batches:
-            for ids, row, value, size in _sets(batch, width):
+            for ids, same, row, value, size in _sets(batch, width):
                 sig2 = _sum_by_row(row, mix(value ^ np.uint64(0x14057B7EF767814F)), len(ids))
-                yield rows(doc_id=ids, n=size, sig1=_signature(row, value, len(ids)), sig2=sig2.view(np.int64))
+                yield rows(doc_id=ids, same=same, n=size, sig1=_signature(row, value, len(ids)), sig2=sig2.view(np.int64))
                 held.append(value)
                 count += len(value)
                 if count >= WINDOW_TOKENS:
@@ -93,18 +93,18 @@ def _describe(width: int):
 
 
 def _prefixes(width: int, percent: int, heavy, common, wanted):
-    """Per document the tokens of its prefix, rare ones first: (token, doc, size, position).
+    """Per text the tokens of its prefix, rare ones first: (token, doc, text hash, size, position).
 
     ``heavy`` broadcasts (tokens, counts), sorted by token, and ``common`` a bitmap of
     tokens known to return: both order the tokens. ``wanted`` is a bitmap of the tokens
-    worth a posting, or None.
+    worth a posting; without it only the tokens are given.
     """
-    schema = pa.schema([("token", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+    schema = pa.schema([("token", pa.int64()), ("doc", pa.int64()), ("same", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = heavy.value
         for batch in batches:
-            for ids, row, value, size in _sets(batch, width):
+            for ids, same, row, value, size in _sets(batch, width):
                 if not len(value):
                     continue
                 rank = in_bitmap(common.value, value).astype(np.int64) if common is not None else np.zeros(len(value), np.int64)
@@ -119,8 +119,12 @@ def _prefixes(width: int, percent: int, heavy, common, wanted):
                 take = (pos < (size - need + 1)[row]) & _first_of_equals(row, value, size)[row]
                 if wanted is not None:
                     take &= in_bitmap(wanted.value, value)
+                if wanted is None:  # only counted: the tokens are enough
+                    yield pa.RecordBatch.from_arrays([pa.array(value[take].view(np.int64))], ["token"])
+                    continue
                 own, value, pos = row[take], value[take], pos[take]
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), ids.take(pa.array(own)), pa.array(size[own].astype(np.int32)), pa.array(pos.astype(np.int32))], schema=schema)
+                at = pa.array(own)
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), ids.take(at), same.take(at), pa.array(size[own].astype(np.int32)), pa.array(pos.astype(np.int32))], schema=schema)
 
     return run
 
@@ -146,7 +150,7 @@ def _first_of_equals(row: np.ndarray, value: np.ndarray, size: np.ndarray) -> np
 
 def _repeated(texts: DataFrame, width: int, percent: int, heavy, common):
     """A broadcast bitmap of the tokens that stand in the prefixes of two documents or more."""
-    counted = texts.mapInArrow(_prefixes(width, percent, heavy, common, None), POSTING).groupBy("token").count().where("count > 1")
+    counted = texts.mapInArrow(_prefixes(width, percent, heavy, common, None), "token long").groupBy("token").count().where("count > 1")
     return bitmap_of(counted, "token", BITMAP_WORDS)
 
 
@@ -156,11 +160,9 @@ def _set_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                row, value, size = _sets_of(part, width)
-                own = (size == np.asarray(part.column("n"))) & (_signature(row, value, len(size)) == np.asarray(part.column("sig1")))
+                _, value, size = _sets_of(part, width)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
-                rows = pa.RecordBatch.from_arrays([part.column("cls"), pa.ListArray.from_arrays(offsets, pa.array(value.view(np.int64)))], schema=schema)
-                yield rows.filter(pa.array(own))
+                yield pa.RecordBatch.from_arrays([part.column("cls"), pa.ListArray.from_arrays(offsets, pa.array(value.view(np.int64)))], schema=schema)
 
     return run
 
@@ -173,10 +175,10 @@ def _reachable(percent: int, x: str, y: str):
 
 
 def _sets_by_class(texts: DataFrame, wanted: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """(doc, items), materialised: the set of each class in ``wanted(doc)``, from its text with the smallest doc_id."""
-    ids = wanted.join(classes.select(F.col("cls").alias("doc"), "n", "sig1", "rep"), "doc").select(F.col("doc").alias("cls"), "n", "sig1", F.col("rep").alias("doc_id"))
+    """(doc, items), materialised: the set of each class in ``wanted(doc)``, from one of its texts with the smallest doc_id."""
+    ids = wanted.join(classes.select(F.col("cls").alias("doc"), "rep", "text_of"), "doc").select(F.col("doc").alias("cls"), F.col("rep").alias("doc_id"), F.col("text_of").alias("same"))
     n = wanted.count()
-    sets = texts.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id").select("cls", "n", "sig1", "text")
+    sets = texts.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, ["doc_id", "same"]).select("cls", "text")
     sets = materialise(sets.mapInArrow(_set_rows(width), "doc long, items array<long>"))
     if sets.count() > n:  # repeated rows
         return _done(sets.dropDuplicates(["doc"]), sets)
@@ -220,9 +222,10 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, ma
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = materialise(texts.mapInArrow(_describe(width), "doc_id long, n long, sig1 long, sig2 long, token long, times long"))
-    members = described.where("n is not null").select("doc_id", "n", "sig1", "sig2")
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("same"))
+    described = materialise(texts.mapInArrow(_describe(width), "doc_id long, same long, n long, sig1 long, sig2 long, token long, times long"))
+    members = described.where("n is not null").select("doc_id", "same", "n", "sig1", "sig2")
     often = materialise(described.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= LEAST_COUNT))
     top = often.where(F.col("times") >= _least(often, max_ordered)).toArrow()
     token = np.asarray(top["token"]).view(np.uint64)
@@ -231,15 +234,18 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, ma
 
     # a class is one set; from here on sets are named by the number of their class
     known = members.where("n > 0 and doc_id is not null").distinct()
-    classes = materialise(known.groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).withColumn("cls", F.monotonically_increasing_id()))
-    owned = materialise(known.join(classes, ["n", "sig1", "sig2"]).select("doc_id", "n", "sig1", "sig2", "cls"))
+    by_doc = known.groupBy("n", "sig1", "sig2", "doc_id").agg(F.min("same").alias("same"))
+    first = F.min(F.struct("doc_id", "same"))
+    classes = by_doc.groupBy("n", "sig1", "sig2").agg(first.alias("first"), F.count("*").alias("copies")).withColumn("cls", F.monotonically_increasing_id())
+    classes = materialise(classes.select("n", "sig1", "sig2", "cls", "copies", F.col("first.doc_id").alias("rep"), F.col("first.same").alias("text_of")))
+    owned = materialise(known.join(classes, ["n", "sig1", "sig2"]).select("doc_id", "same", "cls"))
     usable = texts.where("doc_id is not null")
 
     # tokens found to return go behind the others, which leaves few of them in the second prefixes
     common = _repeated(usable, width, percent, heavy, None)
     wanted = _repeated(usable, width, percent, heavy, common)
     raw = usable.mapInArrow(_prefixes(width, percent, heavy, common, wanted), POSTING)
-    postings = materialise(raw.join(owned.select(F.col("doc_id").alias("doc"), "n", "cls"), ["doc", "n"]).select("token", F.col("cls").alias("doc"), "n", "pos").groupBy("token", "doc", "n").agg(F.min("pos").alias("pos")))
+    postings = materialise(raw.join(owned.withColumnRenamed("doc_id", "doc"), ["doc", "same"]).select("token", F.col("cls").alias("doc"), "n", "pos").groupBy("token", "doc", "n").agg(F.min("pos").alias("pos")))
 
     for held in (heavy, common, wanted):
         held.destroy()
@@ -247,8 +253,8 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, ma
     # each set against the most central set of its lists
     leads = postings.groupBy("token").agg(F.min(F.struct("pos", "n", "doc")).alias("lead"), F.count("*").alias("k")).where("k > 1").select("token", F.col("lead.doc").alias("ydoc"), F.col("lead.n").alias("yn"), F.col("lead.pos").alias("ypos"))
     mine = postings.select("token", F.col("doc").alias("xdoc"), F.col("n").alias("xn"), F.col("pos").alias("xpos"))
-    first = mine.join(leads, "token").where((F.col("xdoc") != F.col("ydoc")) & _reachable(percent, "x", "y"))
-    first_pairs = materialise(first.select(F.least("xdoc", "ydoc").alias("x"), F.greatest("xdoc", "ydoc").alias("y")).distinct())
+    led = mine.join(leads, "token").where((F.col("xdoc") != F.col("ydoc")) & _reachable(percent, "x", "y"))
+    first_pairs = materialise(led.select(F.least("xdoc", "ydoc").alias("x"), F.greatest("xdoc", "ydoc").alias("y")).distinct())
     answers = _verify(texts, first_pairs, classes, width, percent)
     verified = answers.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
     # the texts of one doc_id are one node
@@ -265,7 +271,7 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, ma
     placed = classes.join(final.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", "copies", F.coalesce("component", "cls").alias("component"))
     smallest = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     facts = placed.join(smallest, "component")
-    out = members.join(owned, ["doc_id", "n", "sig1", "sig2"], "left")
+    out = members.join(owned, ["doc_id", "same"], "left")
     # a wordless row goes by another text of its doc_id
     by_id = owned.join(facts, "cls").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = out.join(by_id, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
