@@ -7,10 +7,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup
+from tidemark.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup, textkit
 from tidemark.llm.queries import vocabulary_path
 
 SCHEMA = "doc_id long, text string, lang string, n long, removed string, marked string, same string, _c0 int"
@@ -207,6 +208,14 @@ def test_bpe_memory_may_start_anew(monkeypatch):
     assert coder.encode(["some words that fill it up quickly indeed"])[0].tolist() == one
 
 
+def test_what_was_learned_goes_when_another_operator_comes():
+    batch, gone = pa.RecordBatch.from_pydict({"text": ["some text", None, ""]}), []
+    textkit.keep_learned("one", lambda: gone.append("one"))
+    assert sum(p.num_rows for p in textkit.slices(batch, "text", 4, "one")) == 3 and not gone
+    assert sum(p.num_rows for p in textkit.slices(batch, "text", 4)) == 3 and gone == ["one"]
+    assert list(textkit.slices(batch.slice(0, 0), "text")) == [] and gone == ["one"]
+
+
 def test_line_dedup(spark):
     rng = random.Random(11)
     own = lambda: "\n".join(words(rng, rng.randrange(4, 12)) for _ in range(rng.randrange(2, 9)))

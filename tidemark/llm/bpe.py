@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textkit import slices
+from tidemark.llm.textkit import keep_learned, slices
 
 #: Fixed value: the split pattern of byte-level BPE vocabularies.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -241,8 +241,9 @@ def _round_trip(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
+        keep_learned("bpe", codec.cache_clear)
         for batch in batches:
-            for part in slices(batch, "text", PIECE_BYTES):
+            for part in slices(batch, "text", PIECE_BYTES, "bpe"):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 ids, counts = bpe.encode(texts)
                 edge = np.concatenate(([0], np.cumsum(counts)))

@@ -28,7 +28,7 @@ from tidemark.session import discard, materialise
 
 PERCENT = 80
 WIDTH = 5
-WINDOW_TOKENS = 2_000_000
+WINDOW_TOKENS = 1_000_000
 #: Tokens (16 bytes each) whose frequency orders the index, and the least count worth knowing.
 MAX_ORDERED = 1_000_000
 LEAST_COUNT = 4

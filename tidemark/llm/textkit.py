@@ -9,7 +9,7 @@ very long text), not the batch.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,11 +76,23 @@ def release() -> None:
         _trim(0)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+_learned: dict[str, Callable[[], None]] = {}
+
+
+def keep_learned(owner: str, forget: Callable[[], None]) -> None:
+    """What a worker has learned for one operator stays from task to task until another operator's texts come."""
+    _learned[owner] = forget
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, owner: str | None = None) -> Iterator[pa.RecordBatch]:
     """Consecutive pieces of a batch, each with at most ``limit`` bytes of text or one row.
 
-    What earlier pieces freed is handed back every ``RELEASE_BYTES`` and after the last one.
+    What earlier pieces freed is handed back every ``RELEASE_BYTES`` and after the last
+    one; what was learned for another operator than ``owner`` is forgotten first.
     """
+    for other in [name for name in _learned if name != owner]:
+        _learned.pop(other)()
+        release()
     if not batch.num_rows:
         return
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
