@@ -58,7 +58,7 @@ FROM s LEFT JOIN c ON c.s = s.s LEFT JOIN m ON m.cls = c.cls LEFT JOIN k ON k.cl
 
 
 def license_scan_sql() -> str:
-    """Base places, and the templates' starts from the postings of their rarest words."""
+    """Base places, and the templates' starts where their key phrase stands."""
     rows = []
     for number, t in enumerate(license_scan.templates()):
         at = next(j for j in range(len(t.words)) if t.words[j : j + len(t.key)] == t.key)
@@ -68,8 +68,8 @@ d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_al
 p AS MATERIALIZED (SELECT rid, i - 1 AS i, w FROM (SELECT rid, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d) WHERE w IN (SELECT w FROM tw)),
 df AS (SELECT w, count(DISTINCT rid) AS df FROM p GROUP BY w),
 idf AS (SELECT v.w, ln(((SELECT count(*) FROM d) + 1) / (coalesce(df, 0) + 1)::DOUBLE) + 0.01::DOUBLE AS idf FROM (SELECT DISTINCT w FROM tw) v LEFT JOIN df ON df.w = v.w),
-t AS (SELECT tw.*, idf, row_number() OVER (PARTITION BY tid ORDER BY idf DESC, j) AS place, sum(idf) OVER (PARTITION BY tid) AS whole, count(*) FILTER (in_key) OVER (PARTITION BY tid) AS key_size FROM tw JOIN idf ON idf.w = tw.w),
-st AS (SELECT DISTINCT p.rid, tid, label, base, size, whole, key_size, p.i - t.j AS s FROM p JOIN t ON t.w = p.w AND t.place <= CASE WHEN base THEN 1 ELSE {license_scan.RAREST} END JOIN d ON d.rid = p.rid WHERE p.i >= t.j AND p.i - t.j + size <= len(d.ws)),
+t AS (SELECT tw.*, idf, sum(idf) OVER (PARTITION BY tid) AS whole, count(*) FILTER (in_key) OVER (PARTITION BY tid) AS key_size FROM tw JOIN idf ON idf.w = tw.w),
+st AS (SELECT DISTINCT p.rid, tid, label, base, size, whole, key_size, p.i - t.j AS s FROM p JOIN t ON t.w = p.w AND t.in_key WHERE p.i >= t.j),
 hit AS (SELECT st.rid, st.label, st.base, st.s, CASE WHEN st.base THEN 1.0::DOUBLE ELSE sum(t.idf) / any_value(st.whole) END AS share FROM st JOIN t ON t.tid = st.tid JOIN p ON p.rid = st.rid AND p.i = st.s + t.j AND p.w = t.w GROUP BY st.rid, st.tid, st.label, st.base, st.s, st.key_size HAVING count(*) FILTER (t.in_key) = st.key_size),
 f AS (SELECT rid, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS a, max(s) FILTER (base) AS z, array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS bl, array_to_string(list_sort(list_distinct(list(label))), ',') AS al, least(max(share), 1) AS score FROM hit WHERE share >= {license_scan.LEAST} GROUP BY rid)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, a AS first_word, z AS last_word, coalesce(bl, '') AS base_labels, coalesce(al, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM d LEFT JOIN f USING (rid)"""
