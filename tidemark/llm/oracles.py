@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import license_scan, url_rules, vector_search
+from tidemark.llm import license_scan, source_audit, url_rules, vector_search
 
 #: Words of a text, A-Z lower-cased, and its shingles of five words; a shorter text is one shingle.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -97,6 +97,26 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS sco
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s QUALIFY rank <= {vector_search.K}"""
 
 
+def source_audit_sql() -> str:
+    """Shares of the kept terms in every group, their distances, and the terms that stand out."""
+    share = "(1 + (1000000000::HUGEINT * ({0} + 2)) // ({1} + 2 * v))::BIGINT"
+    apart = "(((p - q)::HUGEINT * (p - q)) // (p + q))::BIGINT"
+    return rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+t AS MATERIALIZED (SELECT lang, source, rid, term, count(*) AS c FROM (SELECT lang, source, rid, unnest(ws) AS term FROM d) GROUP BY ALL),
+k AS MATERIALIZED (SELECT lang, term, sum(c)::BIGINT AS lc FROM t GROUP BY lang, term HAVING count(*) >= {source_audit.LEAST_DOCS}),
+v AS MATERIALIZED (SELECT lang, count(*) AS v, sum(lc)::BIGINT AS ln FROM k GROUP BY lang),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+c AS MATERIALIZED (SELECT lang, source, term, sum(c)::BIGINT AS c FROM t JOIN k USING (lang, term) GROUP BY ALL),
+n AS MATERIALIZED (SELECT lang, source, coalesce(sum(c), 0)::BIGINT AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS MATERIALIZED (SELECT lang, source, term, coalesce(c, 0) AS c, lc, ln, v, {share.format("coalesce(c, 0)", "n")} AS p FROM n JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum({apart.replace("p", "a.p").replace("q", "b.p")})::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pr AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+q AS (SELECT lang, source, term, p, {share.format("lc", "ln")} AS q FROM p WHERE c > 0),
+tr AS (SELECT lang, source, 'term' AS part, term AS item, {apart} AS value FROM q WHERE p > q),
+r AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM (SELECT * FROM pr UNION ALL SELECT * FROM tr))
+SELECT * FROM r WHERE part = 'pair' OR rank <= {source_audit.TOP}"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_rules": url_rules_sql(),
@@ -104,4 +124,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_license_scan": license_scan_sql(),
         "op5_decontamination": decontamination_sql(),
         "op10_vector_search": vector_search_sql(),
+        "op12_source_audit": source_audit_sql(),
     }

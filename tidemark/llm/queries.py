@@ -10,6 +10,9 @@ from tidemark.llm.jaccard_join import jaccard_join
 from tidemark.llm.language_id import identify
 from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.oracles import oracle_sql  # noqa: F401
+from tidemark.llm.source_audit import audit
+from tidemark.llm.token_alignment import token_alignment
+from tidemark.llm.token_counts import token_counts
 from tidemark.llm.vector_search import nearest
 from tidemark.session import table
 
@@ -71,6 +74,18 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment(table(spark, sf_dir, "documents"), vocabulary_path(), vocabulary_path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,4 +93,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_url_rules, op3_ngram_jaccard_join, op4_license_scan, op5_decontamination, op6_bpe, op7_line_dedup, op8_secret_scan, op9_language_id, op10_vector_search, pipeline)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_rules, op3_ngram_jaccard_join, op4_license_scan, op5_decontamination, op6_bpe, op7_line_dedup, op8_secret_scan, op9_language_id, op10_vector_search, op11_token_counts, op12_source_audit, op13_token_alignment, pipeline)}
