@@ -95,7 +95,7 @@ def _f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return d * d // (p + q)
 
 
-def _tile(cell: pa.Table) -> pa.Table:
+def _tile(cell: pa.Table, block: int) -> pa.Table:
     """Of one tile's terms and two blocks of sources: how much more each pair has than for terms that neither source holds.
 
     Rows without a term tell each source's share ``p`` of a term that it does not hold.
@@ -141,7 +141,7 @@ def _tile(cell: pa.Table) -> pa.Table:
         apart += 1
     a, b = np.nonzero(np.triu(more, 1))
     if left != right:  # pairs within one block are the other cells' work
-        across = (numbers[a] // BLOCK) != (numbers[b] // BLOCK)
+        across = (numbers[a] // block) != (numbers[b] // block)
         a, b = a[across], b[across]
     return pa.table({"lang": pa.array([lang] * len(a), pa.string()), "a": numbers[a], "b": numbers[b], "more": more[a, b]})
 
@@ -160,6 +160,7 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
     gives no rows; other columns are ignored. A language with one source has no pairs, one
     without kept terms has pairs of value 0.
     """
+    block = BLOCK
     counts = materialise(term_counts(docs))
     kept = counts.where("term <> ''").groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("in_docs"), F.count("*").alias("sources")).where(F.col("in_docs") >= least_docs).drop("in_docs")
     postings = materialise(counts.where("term <> ''").join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n", "sources"))
@@ -175,17 +176,17 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
 
     # tiles: about as many postings in each as a tile can emit pairs
     lang = groups.groupBy("lang").agg(F.count("*").alias("n_sources"), F.sum("rows").alias("n_rows"))
-    size = F.greatest(F.lit(TILE_ROWS), 2 * F.least(F.col("n_sources"), F.lit(2 * BLOCK)) * F.least(F.col("n_sources"), F.lit(2 * BLOCK)))
+    size = F.greatest(F.lit(TILE_ROWS), 2 * F.least(F.col("n_sources"), F.lit(2 * block)) * F.least(F.col("n_sources"), F.lit(2 * block)))
     lang = lang.select("lang", "n_sources", F.ceil(F.col("n_rows") / size).cast("int").alias("tiles"))
-    blocks = F.ceil(F.col("n_sources") / BLOCK).cast("int")
-    own = F.floor(F.col("number") / BLOCK).cast("int")
+    blocks = F.ceil(F.col("n_sources") / block).cast("int")
+    own = F.floor(F.col("number") / block).cast("int")
     sides = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(own, k).alias("left"), F.greatest(own, k).alias("right")))).alias("cell")
     numbered = groups.select("lang", "source", "number", "total", "kept", "absent", "lang_total").join(lang, "lang")
     shares = postings.join(numbered, ["lang", "source"]).withColumn("p", _share(F.col("n"), F.col("total"), F.col("kept")))
     held = shares.select("lang", "n_sources", "number", "term", F.pmod(F.xxhash64("term"), F.col("tiles")).cast("int").alias("tile"), "p", (F.col("sources") >= HEAVY_SHARE * F.col("n_sources")).alias("heavy"))
     absent = numbered.where("tiles > 0").select("lang", "n_sources", "number", F.lit(None).cast("string").alias("term"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("absent").alias("p"), F.lit(False).alias("heavy"))
     cells = held.unionByName(absent).where("n_sources > 1").select("lang", "tile", "number", "term", "p", "heavy", sides).select("lang", "tile", "cell.left", "cell.right", "number", "term", "p", "heavy")
-    more = cells.groupBy("lang", "tile", "left", "right").applyInArrow(_tile, "lang string, a long, b long, more long").groupBy("lang", "a", "b").agg(F.sum("more").alias("more"))
+    more = cells.groupBy("lang", "tile", "left", "right").applyInArrow(lambda cell: _tile(cell, block), "lang string, a long, b long, more long").groupBy("lang", "a", "b").agg(F.sum("more").alias("more"))
 
     side = groups.select("lang", "number", "source", "absent", "kept")
     a, b = (side.select("lang", F.col("number").cast("long").alias(k), F.col("source").alias(f"{k}_source"), F.col("absent").alias(f"{k}_absent"), *(["kept"] if k == "a" else [])) for k in "ab")
