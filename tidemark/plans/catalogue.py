@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import rules
 from tidemark.functions.text import host_of, month_of, path_norm
 from tidemark.operators import fold as folding
-from tidemark.operators import health, native_extract, report, search, selection
+from tidemark.operators import health, native_extract, report, search, selection, text_index
 from tidemark.operators.fold import ALL_CATEGORIES, fold
 from tidemark.operators.highlights import highlights
 from tidemark.plans.cases import CASES, case_query, case_sql
@@ -24,7 +24,7 @@ from tidemark.plans.fixtures import fixture_pages, fixture_sql
 from tidemark.sources import sinks
 from tidemark.sources.captures import captures_of_pages, site_index, stamp_of
 from tidemark.streaming import live
-from tidemark.session import spread, table
+from tidemark.session import scratch, spread, table
 
 LINK = '<a href="([^"]+)"'
 TITLE = "(?s)<title>(.*?)</title>"
@@ -255,7 +255,7 @@ def _bm25_sql(tests: list[str], limit: int) -> str:
     """BM25 over ``documents`` with one test of a word ``x`` for each of the query's words."""
     fold = f"translate(lower(coalesce(text, '')), {_quote(search._ACCENTED)}, {_quote(search._PLAIN)})"
     every = range(len(tests))
-    tf = ", ".join(f"len(list_filter(t, lambda x: {test})) AS tf{i}" for i, test in enumerate(tests))
+    tf = ", ".join((test if test.startswith("len(") else f"len(list_filter(t, lambda x: {test}))") + f" AS tf{i}" for i, test in enumerate(tests))
     df = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in every)
     score = " ".join(f"- greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2::DOUBLE / (tf{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / al))" for i in every)
     return f"WITH d AS (SELECT doc_id AS doc, regexp_extract_all({fold}, '[\\p{{L}}\\p{{N}}]+') AS t FROM documents), c AS (SELECT doc, len(t) AS l, {tf} FROM d), f AS (SELECT count(*) AS n, avg(l) AS al, {df} FROM c) SELECT doc, round(0 {score}, 9) AS score FROM c, f WHERE {' AND '.join(f'tf{i} > 0' for i in every)} ORDER BY score, doc LIMIT {limit}"
@@ -405,6 +405,23 @@ def search_postings_turns(spark, sf_dir):
     return found.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+def _searched(spark, sf_dir, query: str, limit: int = 50):
+    """Writes the positional index of all documents, then searches it."""
+    return text_index.write_index(spread(table(spark, sf_dir, "documents")), "doc_id", "text", scratch(spark)).search(query, limit)
+
+
+def search_index(spark, sf_dir):
+    return _searched(spark, sf_dir, "under the mit lic")
+
+
+def search_index_phrase(spark, sf_dir):
+    return _searched(spark, sf_dir, "under-the mit-lic")
+
+
+def search_index_prefix(spark, sf_dir):
+    return _searched(spark, sf_dir, "der keit", 20)
+
+
 def export_csv_rows(spark, sf_dir):
     return sinks.csv_rows(ranked_findings(spark, sf_dir))
 
@@ -541,7 +558,7 @@ def ops_latency(spark, sf_dir):
 _NATIVE = ("analytics_trackers", "analytics_ids", "cloud_buckets", "adsense_ids", "job_boards", "auth_providers", "status_pages", "hosting", "cookie_consent", "github_repos", "emails", "html_comments", "directory_listings", "social_profiles", "api_keys", "connection_strings", "jwt_tokens", "bug_bounty_programs")
 _PLAIN = (
     ext_all_categories, ext_url_subdomains, ext_titles_links, sel_preflight, sel_path_groups, sel_host_groups, sel_year_histogram, sel_day_density, sel_date_range, sel_exclude_keywords, sel_content_dedup, sel_month_collapse, sel_year_allocation, sel_evenly_by_year, sel_score_allocation, sel_full_selection,
-    fold_findings, fold_page_ids, rep_summary, rep_presence, rep_change_feed, rep_lanes, rep_category_rail, rep_co_occurrence, rep_top_links, rep_highlights, merge_analytics, search_bm25, search_accent_fold, search_postings, search_postings_turns, export_csv_rows, export_json, export_markdown,
+    fold_findings, fold_page_ids, rep_summary, rep_presence, rep_change_feed, rep_lanes, rep_category_rail, rep_co_occurrence, rep_top_links, rep_highlights, merge_analytics, search_bm25, search_accent_fold, search_index, search_index_phrase, search_index_prefix, search_postings, search_postings_turns, export_csv_rows, export_json, export_markdown,
     src_site_index, src_urlkey_collapse, sel_density, sel_picks_under_ceiling, sel_scope, sel_estimate, rep_axis_ticks, rep_pivots, rep_category_activity, rep_composed_activity, rep_co_occurrence_block, search_snippets, search_index_rows, export_client_csv, ops_outcomes, ops_moving_average, ops_latency,
     stream_running_counts, stream_windows, stream_sessions, stream_governor, ops_recent, ops_fair_queue, ops_latest_per_owner,
 )
@@ -592,6 +609,9 @@ SELECT page_seq, timestamp, url FROM r JOIN dealt ON dealt.g = r.year AND dealt.
         "export_json": f"{found}, {_RANKED} SELECT category, ((rank - 1) // 1000)::BIGINT AS part, '[' || array_to_string(list(to_json({{'key': key, 'first_seen': first_seen, 'last_seen': last_seen, 'occurrences': occurrences, 'attrs': {{'value': key}}, 'source_url': source_url}})::VARCHAR ORDER BY rank), ',') || ']' AS items FROM ranked GROUP BY ALL",
         "stream_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g) SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", user_id, count(*) AS n FROM s GROUP BY user_id, no",
         "search_bm25": _bm25_sql(_MIT, 50),
+        "search_index": _bm25_sql(_MIT, 50),
+        "search_index_phrase": _bm25_sql(["len(list_filter(range(1, len(t)), lambda i: t[i] = 'under' AND t[i + 1] = 'the'))", "len(list_filter(range(1, len(t)), lambda i: t[i] = 'mit' AND starts_with(t[i + 1], 'lic')))"], 50),
+        "search_index_prefix": _bm25_sql(["x = 'der'", "starts_with(x, 'keit')"], 20),
         "search_accent_fold": _bm25_sql(["starts_with(x, 'etre')"], 20),
         "export_csv_rows": f"{found} SELECT category, key AS value, first_seen, last_seen, occurrences, source_url AS source FROM f WHERE key <> ''",
         "src_site_index": f"{caps}, {_KEYED} SELECT page_seq, timestamp, url FROM (SELECT * FROM keyed WHERE host = 'example.com' OR ends_with(host, '.example.com') QUALIFY row_number() OVER (PARTITION BY url, substr(timestamp, 1, 6) ORDER BY timestamp, url) = 1) ORDER BY key, timestamp, url LIMIT 100",

@@ -31,6 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared folder for tables of a query, removed when the driver's interpreter exits."""
+    path = f"{shared_dir(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
 
