@@ -98,10 +98,14 @@ def findings_of(pages: DataFrame, categories: list[str] | None = None) -> DataFr
     hits = materialise(raw_hits(pages, categories))
     folded = materialise(fold(settle_captchas(hits)).where(F.col("category") != "_errors"))
     discard(hits)
+    return finished(folded, page_ids(pages), categories)
+
+
+def finished(folded: DataFrame, ids: DataFrame, categories: list[str] | None) -> DataFrame:
+    """What follows the fold: social/outgoing reconciliation, provenance by ``ids(source_url, source_page_id)``, rank."""
     if categories is not None:
         folded = folded.where(F.col("category").isin(*categories)) if categories else folded.limit(0)
-    settled = reconcile_social(folded)
-    return ranked(settled.join(page_ids(pages), "source_url", "left"))
+    return ranked(reconcile_social(folded).join(ids, "source_url", "left"))
 
 
 def reconcile_social(findings: DataFrame) -> DataFrame:

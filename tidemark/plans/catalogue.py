@@ -22,6 +22,7 @@ from tidemark.operators.highlights import highlights
 from tidemark.plans.cases import CASES, case_query, case_sql
 from tidemark.plans.fixtures import fixture_pages, fixture_sql
 from tidemark.sources import sinks
+from tidemark.sources.index_source import fetch_index, record_index
 from tidemark.sources.captures import captures_of_pages, site_index, stamp_of
 from tidemark.streaming import live
 from tidemark.session import scratch, spread, table
@@ -477,6 +478,13 @@ def src_site_index(spark, sf_dir):
     return site_index(captures(spark, sf_dir), "example.com", limit=100).select("page_seq", "timestamp", "url")
 
 
+def src_index_fetch(spark, sf_dir):
+    """The index's answers for all captures, recorded as pages with resume keys, one in three refused once, and read through the data source."""
+    path = scratch(spark)
+    record_index(captures(spark, sf_dir), path, rows_each=7, refused_every=3)
+    return fetch_index(spark, path=path, buckets=8, retries=2, wait=0)
+
+
 def src_urlkey_collapse(spark, sf_dir):
     return site_index(captures(spark, sf_dir), "example.net", collapse="urlkey").select("page_seq", "url")
 
@@ -559,7 +567,7 @@ _NATIVE = ("analytics_trackers", "analytics_ids", "cloud_buckets", "adsense_ids"
 _PLAIN = (
     ext_all_categories, ext_url_subdomains, ext_titles_links, sel_preflight, sel_path_groups, sel_host_groups, sel_year_histogram, sel_day_density, sel_date_range, sel_exclude_keywords, sel_content_dedup, sel_month_collapse, sel_year_allocation, sel_evenly_by_year, sel_score_allocation, sel_full_selection,
     fold_findings, fold_page_ids, rep_summary, rep_presence, rep_change_feed, rep_lanes, rep_category_rail, rep_co_occurrence, rep_top_links, rep_highlights, merge_analytics, search_bm25, search_accent_fold, search_index, search_index_phrase, search_index_prefix, search_postings, search_postings_turns, export_csv_rows, export_json, export_markdown,
-    src_site_index, src_urlkey_collapse, sel_density, sel_picks_under_ceiling, sel_scope, sel_estimate, rep_axis_ticks, rep_pivots, rep_category_activity, rep_composed_activity, rep_co_occurrence_block, search_snippets, search_index_rows, export_client_csv, ops_outcomes, ops_moving_average, ops_latency,
+    src_site_index, src_index_fetch, src_urlkey_collapse, sel_density, sel_picks_under_ceiling, sel_scope, sel_estimate, rep_axis_ticks, rep_pivots, rep_category_activity, rep_composed_activity, rep_co_occurrence_block, search_snippets, search_index_rows, export_client_csv, ops_outcomes, ops_moving_average, ops_latency,
     stream_running_counts, stream_windows, stream_sessions, stream_governor, ops_recent, ops_fair_queue, ops_latest_per_owner,
 )
 
@@ -615,6 +623,7 @@ SELECT page_seq, timestamp, url FROM r JOIN dealt ON dealt.g = r.year AND dealt.
         "search_accent_fold": _bm25_sql(["starts_with(x, 'etre')"], 20),
         "export_csv_rows": f"{found} SELECT category, key AS value, first_seen, last_seen, occurrences, source_url AS source FROM f WHERE key <> ''",
         "src_site_index": f"{caps}, {_KEYED} SELECT page_seq, timestamp, url FROM (SELECT * FROM keyed WHERE host = 'example.com' OR ends_with(host, '.example.com') QUALIFY row_number() OVER (PARTITION BY url, substr(timestamp, 1, 6) ORDER BY timestamp, url) = 1) ORDER BY key, timestamp, url LIMIT 100",
+        "src_index_fetch": "SELECT (2010 + page_id % 12)::VARCHAR || lpad((1 + (page_id * 7) % 12)::VARCHAR, 2, '0') || lpad((1 + page_id % 28)::VARCHAR, 2, '0') || '120000' AS timestamp, url, '200' AS status, 'text/html' AS mimetype, md5(html) AS digest FROM pages",
         "src_urlkey_collapse": f"{caps}, {_KEYED} SELECT page_seq, url FROM keyed WHERE host = 'example.net' OR ends_with(host, '.example.net') QUALIFY row_number() OVER (PARTITION BY key ORDER BY timestamp, url) = 1",
         "sel_density": f"{caps}, {_spaced('6', 'substr(timestamp, 1, 4)')} SELECT page_seq, timestamp FROM r WHERE k <= 6 OR list_contains(list_transform(range(6), lambda j: floor(j * ((k - 1)::DOUBLE / 5) + 0.5)), i)",
         "sel_picks_under_ceiling": f"{caps}, y AS (SELECT substr(timestamp, 1, 4) AS year, count(*) AS n FROM caps GROUP BY 1), {_YEARS}, {_spaced('allocated', 'year', 'caps JOIN years ON years.year = substr(timestamp, 1, 4)')} SELECT page_seq, timestamp FROM r WHERE (SELECT count(*) FROM caps) <= 100 OR allocated >= k OR (allocated = 1 AND i = 0) OR (allocated > 1 AND list_contains(list_transform(range(allocated), lambda j: round_even(j * ((k - 1)::DOUBLE / (allocated - 1)), 0)), i))",
