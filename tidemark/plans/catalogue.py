@@ -25,6 +25,7 @@ from tidemark.sources import sinks
 from tidemark.sources.index_source import fetch_index, record_index
 from tidemark.sources.captures import captures_of_pages, site_index, stamp_of
 from tidemark.streaming import live
+from tidemark.streaming.incremental import FindingsTable
 from tidemark.session import scratch, spread, table
 
 LINK = '<a href="([^"]+)"'
@@ -452,6 +453,20 @@ def stream_governor(spark, sf_dir):
     return live.governor(table(spark, sf_dir, "events").select(F.col("event_type").alias("_"), (F.col("user_id") % 50).cast("string").alias("host"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"), outcome.alias("outcome")).select("host", (F.col("us") / 1e6).alias("at"), "outcome"))
 
 
+_STREAMED = ("analytics_trackers", "cloud_buckets", "job_boards", "html_comments")
+
+
+def stream_findings(spark, sf_dir):
+    """All pages as a stream of files, extracted and merged batch by batch."""
+    path = scratch(spark)
+    pages = all_pages(spark, sf_dir)
+    pages.repartition(4).write.parquet(f"{path}/in")
+    found = FindingsTable(spark, f"{path}/out", list(_STREAMED))
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    found.follow(stream, f"{path}/checkpoint").awaitTermination()
+    return found.folded().select("category", "key", F.col("occurrences").alias("n"))
+
+
 def ops_recent(spark, sf_dir):
     """Events of the last seven days before the newest."""
     events = table(spark, sf_dir, "events")
@@ -568,7 +583,7 @@ _PLAIN = (
     ext_all_categories, ext_url_subdomains, ext_titles_links, sel_preflight, sel_path_groups, sel_host_groups, sel_year_histogram, sel_day_density, sel_date_range, sel_exclude_keywords, sel_content_dedup, sel_month_collapse, sel_year_allocation, sel_evenly_by_year, sel_score_allocation, sel_full_selection,
     fold_findings, fold_page_ids, rep_summary, rep_presence, rep_change_feed, rep_lanes, rep_category_rail, rep_co_occurrence, rep_top_links, rep_highlights, merge_analytics, search_bm25, search_accent_fold, search_index, search_index_phrase, search_index_prefix, search_postings, search_postings_turns, export_csv_rows, export_json, export_markdown,
     src_site_index, src_index_fetch, src_urlkey_collapse, sel_density, sel_picks_under_ceiling, sel_scope, sel_estimate, rep_axis_ticks, rep_pivots, rep_category_activity, rep_composed_activity, rep_co_occurrence_block, search_snippets, search_index_rows, export_client_csv, ops_outcomes, ops_moving_average, ops_latency,
-    stream_running_counts, stream_windows, stream_sessions, stream_governor, ops_recent, ops_fair_queue, ops_latest_per_owner,
+    stream_running_counts, stream_windows, stream_sessions, stream_findings, stream_governor, ops_recent, ops_fair_queue, ops_latest_per_owner,
 )
 
 
@@ -623,6 +638,7 @@ SELECT page_seq, timestamp, url FROM r JOIN dealt ON dealt.g = r.year AND dealt.
         "search_accent_fold": _bm25_sql(["starts_with(x, 'etre')"], 20),
         "export_csv_rows": f"{found} SELECT category, key AS value, first_seen, last_seen, occurrences, source_url AS source FROM f WHERE key <> ''",
         "src_site_index": f"{caps}, {_KEYED} SELECT page_seq, timestamp, url FROM (SELECT * FROM keyed WHERE host = 'example.com' OR ends_with(host, '.example.com') QUALIFY row_number() OVER (PARTITION BY url, substr(timestamp, 1, 6) ORDER BY timestamp, url) = 1) ORDER BY key, timestamp, url LIMIT 100",
+        "stream_findings": " UNION ALL ".join(f"SELECT * FROM ({_ext_sql()[f'ext_{c}']})" for c in _STREAMED),
         "src_index_fetch": "SELECT (2010 + page_id % 12)::VARCHAR || lpad((1 + (page_id * 7) % 12)::VARCHAR, 2, '0') || lpad((1 + page_id % 28)::VARCHAR, 2, '0') || '120000' AS timestamp, url, '200' AS status, 'text/html' AS mimetype, md5(html) AS digest FROM pages",
         "src_urlkey_collapse": f"{caps}, {_KEYED} SELECT page_seq, url FROM keyed WHERE host = 'example.net' OR ends_with(host, '.example.net') QUALIFY row_number() OVER (PARTITION BY key ORDER BY timestamp, url) = 1",
         "sel_density": f"{caps}, {_spaced('6', 'substr(timestamp, 1, 4)')} SELECT page_seq, timestamp FROM r WHERE k <= 6 OR list_contains(list_transform(range(6), lambda j: floor(j * ((k - 1)::DOUBLE / 5) + 0.5)), i)",
