@@ -328,6 +328,42 @@ def test_language_id(spark):
     assert set(language_id.identify(docs(spark, rows[:50]), keep=["doc_id", "same", "_c0"]).columns) == {"doc_id", "same", "_c0", "held_out", "lang_pred", "score"}
 
 
+def test_rare_languages_are_learned(spark):
+    rng = random.Random(7)
+    say = lambda sounds: " ".join("".join(rng.choice(sounds) for _ in range(3)) for _ in range(30))
+    rows = [(n, say(["ba", "bo", "bi", "lu"]), "en") for n in range(300)] + [(1000 + n, say(["tre", "kos", "vun", "dra"]), "xx") for n in range(12)] + [(2000, "çßç ßçß " * 9, None)]
+    got = {r.doc_id: r for r in language_id.identify(docs(spark, rows)).collect()}
+    assert all(got[n].lang_pred == lang for n, _, lang in rows if lang) and sum(got[1000 + n].held_out for n in range(12)) > 0
+    assert got[2000].lang_pred in ("en", "xx") and got[2000].score == 0.0  # no known gram, yet letters
+    few = [(n, t, lang) for n, t, lang in rows if n in (1, 2, 1003)]
+    assert [r.lang_pred for r in language_id.identify(docs(spark, few)).orderBy("doc_id").collect()] == ["en", "en", "xx"]
+
+
+def test_decontamination_among_repeated_words(spark):
+    rng = random.Random(4)
+    item = [f"w{i}" for i in range(500)]
+    around = "a b c d e ".split() * 60
+    cases = [around + item[30:477] + around, around + item + around, item[:250] + around[:40] + item[250:], item[:100] * 5]
+    short = [w for k in range(20) for w in ("of", "the", f"x{k}", "of", "the")]
+    cases += [around[:50] + short + around[:50], around[:30] + short[: len(short) - 9] + around[:30], short + short, [rng.choice(short) for _ in range(300)]]
+    found = decontaminate.contaminations(docs(spark, [(k, " ".join(c), "en") for k, c in enumerate(cases)]), spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.first_word, round(r.similarity, 9)) for r in found.collect()}
+    cut = lambda ws: [tuple(ws[i : i + 5]) for i in range(len(ws) - 4)]
+    want = {}
+    for k, case in enumerate(cases):
+        for number, own in ((1, item), (2, short)):
+            hs, its, hits = cut(case), cut(own), []
+            for start in range(1 - len(its), len(hs)):
+                common, union = _multiset_similarity(hs[max(0, start) : start + len(its)], its)
+                if 100 * common >= 80 * union:
+                    hits.append((-common / union, max(start, 0)))
+            if hits:
+                want[k, number] = (len(hits), min(hits)[1], round(-min(hits)[0], 9))
+    assert set(got) == set(want) and (0, 1) in want
+    assert all(got[x][1:] == want[x][1:] for x in want)
+    assert all(0.9 * want[x][0] <= got[x][0] <= want[x][0] for x in want)  # some windows at the edge of the similarity lie outside the radius
+
+
 def test_language_scores_equal_brute_force():
     rng = random.Random(13)
     texts = ["".join(rng.choice("abcdé  1\n") for _ in range(rng.randrange(0, 120))) for _ in range(60)] + ["", " ", "é"]

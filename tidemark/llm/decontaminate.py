@@ -4,7 +4,7 @@ A window of a document has as many words as a benchmark item. Every start of eve
 item length is considered; a window is left out only where it holds too few shingles
 of that length's items for any of them to reach the similarity, whatever their order,
 so none that could match is lost. Each window and each item has a 128-bit SimHash of
-its weighted shingles; 32 blocks of four bits index the fingerprints, so all pairs
+its shingles, the occurrences of one numbered; 32 blocks of four bits index the fingerprints, so all pairs
 within a Hamming distance of 31 share a block and are found. Candidates are verified
 by the exact weighted Jaccard similarity of their shingles, a shingle weighing as
 often as it occurs.
@@ -65,11 +65,25 @@ def _nibbles() -> Column:
 
 
 def fingerprints(occurrences: DataFrame, *keys: str) -> DataFrame:
-    """(keys, blocks) from rows (keys, h): one for each shingle occurrence, so weights are multiplicities."""
+    """(keys, blocks) from rows (keys, h): one for each occurrence of a shingle."""
     rows = occurrences.withColumn("g", F.xxhash64("h"))
     return rows.groupBy(*keys).agg(F.count("*").alias("weight"), *_lanes()).select(*keys, _nibbles().alias("blocks"))
 
 
+def numbered_shingles(hs: Column) -> Column:
+    """Sorted shingles with repeats made distinct: the k-th of equal ones gets a hash of its own.
+
+    As sets, two of these are as similar as the shingles are by weight, so that repeats move
+    a fingerprint no further than their share.
+    """
+
+    def body(xs: Column) -> Column:
+        again = lambda x, i: F.xxhash64(x, i - F.array_position(xs, x).cast("int"))
+        return F.transform(xs, lambda x, i: F.when(F.get(xs, i - 1) == x, again(x, i)).otherwise(x))
+
+    return let(hs, body)
+
+
 def items_of(benchmark: DataFrame) -> DataFrame:
     """(item_id, m, hs): each item's words in number and its shingle hashes; equal texts share the smallest id."""
     words = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("words")).where("item_id is not null and size(words) > 0")
@@ -156,8 +170,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT
     # equal windows share one fingerprint, one search and one verification
     shapes = materialise(cut.select("m", "ws").distinct().withColumn("shape", F.xxhash64("m", "ws")))
     # written, so that the long expressions of the fingerprints stand in one small plan each
-    prints = materialise(fingerprints(shapes.select("m", "shape", F.explode("ws").alias("h")), "m", "shape"))
-    item_prints = materialise(fingerprints(items.select("m", "item_id", F.explode("hs").alias("h")), "m", "item_id"))
+    prints = materialise(fingerprints(shapes.select("m", "shape", F.explode(numbered_shingles(F.col("ws"))).alias("h")), "m", "shape"))
+    item_prints = materialise(fingerprints(items.select("m", "item_id", F.explode(numbered_shingles(F.array_sort("hs"))).alias("h")), "m", "item_id"))
     left = prints.select("m", "shape", "blocks", F.posexplode("blocks").alias("k", "value"))
     right = item_prints.select("m", "item_id", F.col("blocks").alias("item_blocks"), F.posexplode("blocks").alias("k", "value"))
     near = left.join(hint(right), ["m", "k", "value"]).where(_distance(F.col("blocks"), F.col("item_blocks")) <= RADIUS).select("m", "shape", "item_id").distinct()
