@@ -18,10 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.textkit import LOWER, buffers, mix, slices
+from tidemark.session import discard, materialise
 
 ORDERS = (3, 5)
+#: Labelled rows that a model is fitted on at most, the same number of each language.
 MAX_FIT_DOCS = 20_000
-MIN_COUNT = 10
+#: A gram counts for a language from this share of the language's grams on, so a small language keeps all.
+LEAST_SHARE = 2e-7
 #: Slots at least; beyond it the filter has ``SLOTS_EACH`` for each gram of the largest language.
 SLOTS = 1 << 18
 SLOTS_EACH = 13
@@ -122,17 +125,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, max_fit_docs: int = MAX_FIT_DOCS) -> Model:
-    """A model from ``labelled(key, text, lang)``, fitted on about ``max_fit_docs`` of its rows.
+    """A model from ``labelled(key, text, lang)``, fitted on at most about ``max_fit_docs`` of its rows.
 
-    Rows are taken by a hash of ``key``. What reaches the driver is the grams that
-    occur ``MIN_COUNT`` times in that bounded sample.
+    Each language has the same number of them at most, taken by a hash of ``key``, so that a rare
+    language keeps all of its rows beside frequent ones. What reaches the driver is the
+    grams of that bounded sample that make up ``LEAST_SHARE`` of their language.
     """
     usable = labelled.where("text is not null and lang is not null")
-    n = usable.count()
-    share = min(1.0, max_fit_docs / n) if n else 0.0
-    sample = usable.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text", "lang")
-    counts = sample.mapInArrow(_count, "lang string, gram long, times long").groupBy("lang", "gram").agg(F.sum("times").alias("times"))
-    found = counts.where(F.col("times") >= MIN_COUNT).toArrow()
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("_n"))  # a row for each language
+    sizes = sizes.withColumn("_share", F.lit(float(max_fit_docs)) / F.greatest(F.lit(sizes.count()), F.lit(1)) / F.col("_n"))
+    sample = usable.join(F.broadcast(sizes), "lang").where((F.col("_share") >= 1) | (F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < F.col("_share") * 1_000_000)).select("text", "lang")
+    counts = materialise(sample.mapInArrow(_count, "lang string, gram long, times long").groupBy("lang", "gram").agg(F.sum("times").alias("times")))
+    totals = counts.groupBy("lang").agg((F.sum("times") * LEAST_SHARE).alias("least"))
+    found = counts.join(F.broadcast(totals), "lang").where(F.col("times") >= F.col("least")).select("lang", "gram", "times").toArrow()
+    discard(counts)
     names = np.array(found["lang"].to_pylist(), object)
     languages = sorted(set(names.tolist()))
     gram, times = np.asarray(found["gram"]).view(np.uint64), np.asarray(found["times"]).astype(float)
