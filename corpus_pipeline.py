@@ -18,15 +18,15 @@ from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.queries import vocabulary_path
 from tidemark.session import discard, materialise, table
 
-#: Language scores below this are no language's text.
-LEAST_SCORE = 0.0
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose text has a language; ``lang`` becomes the predicted one."""
+    """Keeps the documents whose text has a language; ``lang`` becomes the predicted one.
+
+    Null texts and those without a letter go; a text of grams that no language has stays,
+    under the language that the operator gives it.
+    """
     found = identify(docs, keep=docs.columns)
     rest = [c for c in docs.columns if c != "lang"]
-    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > LEAST_SCORE))
+    kept = found.where(F.col("lang_pred") != UNKNOWN)
     return kept.select(*rest, F.col("lang_pred").alias("lang")).select(*docs.columns)
 
 
