@@ -1,13 +1,14 @@
 """Selection bounds, exports, search index, icons, pacing."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.checksums import icon_hash
 from tidemark.operators import fold, health, report, search, selection
-from tidemark.session import numbered
+from tidemark.session import numbered, running
 from tidemark.sources import captures, sinks
 from tidemark.streaming import live
 
@@ -127,3 +128,18 @@ def test_index_cache_and_size(spark):
     index = captures.site_index(spark.createDataFrame(rows, "timestamp string, url string, status string, mimetype string"), "a.test", limit=5, collapse="urlkey")
     assert sorted(r.timestamp for r in index.collect()) == ["20200101", "20200102"]
     assert spark.range(1).select(captures.url_key(F.lit("https://www.A.test/x?q=1#top"))).first()[0] == "test,a,www)/x?q=1"
+
+
+def test_running_sums_by_ranges(spark):
+    rng = random.Random(5)
+    rows = [(None if i % 7 == 0 else "hot" if i % 3 else f"g{i % 5}", i * 7919 % 1009, rng.randrange(9)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g string, x int, v int").repartition(5)
+    got = {(r.g, r.x): (r.place, r.total) for r in running(df, ["g"], [F.desc("x")], place=F.lit(1), total=F.col("v")).collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        total = 0
+        for k, (_, x, v) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: -r[1])):
+            total += v
+            want[g, x] = (k + 1, total)
+    assert got == want
+    assert running(df.limit(0), ["g"], [F.col("x")], place=F.lit(1)).count() == 0

@@ -56,9 +56,10 @@ def co_occurrence(findings: DataFrame, category: str, key: str, per_category: in
     """Findings introduced by the same page as one finding: the first of each category, and how many there are."""
     own = findings.where((F.col("category") == category) & (F.col("key") == key)).select("source_url")
     peers = findings.join(own, "source_url", "left_semi").where(~((F.col("category") == category) & (F.col("key") == key)))
-    window = W.partitionBy("category")
-    placed = peers.withColumns({"place": F.row_number().over(window.orderBy("first_hit", "key")), "total": F.count("*").over(window)})
-    return placed.where(F.col("place") <= per_category).select("category", "key", "place", "total")
+    totals = peers.groupBy("category").agg(F.count("*").alias("total"))  # a row for each category
+    place = F.row_number().over(W.partitionBy("category").orderBy("first_hit", "key"))
+    first = peers.withColumn("place", place).where(F.col("place") <= per_category)  # each task keeps its first ones before the shuffle
+    return first.join(F.broadcast(totals), "category").select("category", "key", "place", "total")
 
 
 def top_of_category(findings: DataFrame, text: str = "", live: bool | None = None, rows: int = 200) -> DataFrame:

@@ -104,3 +104,24 @@ def numbered(df: DataFrame, name: str, *order) -> DataFrame:
     before = sizes.select(part, (F.sum("_size").over(W.orderBy(part)) - F.col("_size")).alias("_before"))  # a row for each range
     place = F.row_number().over(W.partitionBy(part).orderBy(*order)) + F.col("_before")
     return ranged.join(F.broadcast(before), part).withColumn(name, place).drop(part, "_before")
+
+
+def running(df: DataFrame, groups: list[str], order: list, **values) -> DataFrame:
+    """``df`` with running sums of ``values`` within each group, up to and with each row in a total order.
+
+    Groups are laid out by ranges, so a group of any size is spread over tasks: a row's sum is
+    that of its range and of the group's ranges before it, of which there are as many as
+    ranges. A value of 1 gives a row's place from 1.
+    """
+    part, held = "_running_part", {k: f"_value_{k}" for k in values}
+    valued = df.withColumns({held[k]: v for k, v in values.items()})
+    ranged = materialise(valued.repartitionByRange(*groups, *order).withColumn(part, F.spark_partition_id()))
+    sums = ranged.groupBy(*groups, part).agg(*[F.sum(c).alias(c) for c in held.values()])
+    earlier = W.partitionBy(*groups).orderBy(part).rowsBetween(W.unboundedPreceding, -1)  # a row for each range of a group
+    before = sums.select(*[F.col(g).alias(f"_before_{g}") for g in groups], F.col(part).alias("_before_part"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_before{c}") for c in held.values()])
+    same = F.col(part) == F.col("_before_part")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_before_{g}"))
+    inner = W.partitionBy(part, *groups).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    out = ranged.withColumns({k: F.sum(c).over(inner) for k, c in held.items()}).join(before, same)
+    return out.select(*[c for c in df.columns if c not in values], *[(F.col(k) + F.col(f"_before{c}")).alias(k) for k, c in held.items()])

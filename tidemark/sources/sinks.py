@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.fold import value_of
+from tidemark.session import numbered
 
 
 def csv_rows(findings: DataFrame) -> DataFrame:
@@ -62,8 +63,7 @@ def client_csv(findings: DataFrame) -> DataFrame:
         raw = F.coalesce((F.col(name) if name in have else F.col("attrs")[name]).cast("string"), F.lit(""))
         return F.when(raw.rlike('[",\n]'), F.concat(F.lit('"'), F.replace(raw, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(raw)
 
-    place = F.row_number().over(W.orderBy("category", "rank"))
-    body = findings.select(place.cast("long").alias("place"), F.concat_ws(",", *map(field, CLIENT_COLUMNS)).alias("line"))
+    body = numbered(findings, "_line", F.col("category"), F.col("rank")).select(F.col("_line").cast("long").alias("place"), F.concat_ws(",", *map(field, CLIENT_COLUMNS)).alias("line"))
     head = findings.sparkSession.createDataFrame([(0, ",".join(CLIENT_COLUMNS))], "place long, line string")
     return head.unionByName(body)
 
