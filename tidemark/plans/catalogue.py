@@ -23,6 +23,7 @@ from tidemark.plans.cases import CASES, case_query, case_sql
 from tidemark.plans.fixtures import fixture_pages, fixture_sql
 from tidemark.sources import sinks
 from tidemark.sources.index_source import fetch_index, record_index
+from tidemark.sources.store import KeyedTable
 from tidemark.sources.captures import captures_of_pages, site_index, stamp_of
 from tidemark.streaming import live
 from tidemark.streaming.incremental import FindingsTable
@@ -424,6 +425,17 @@ def search_index_prefix(spark, sf_dir):
     return _searched(spark, sf_dir, "der keit", 20)
 
 
+def snk_upsert_purge(spark, sf_dir):
+    """A partitioned copy of the orders: some written anew with their status kept and new ones added, then old ones expired."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    kept = KeyedTable(spark, scratch(spark), "o_orderkey", "o_orderkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp", buckets=16)
+    kept.replace(orders)
+    news = orders.where("o_orderkey % 97 = 0").select("o_orderkey", F.lit("X").alias("o_orderstatus"), F.lit(1.5).alias("o_totalprice"), "o_orderdate")
+    kept.upsert(news.unionByName(news.withColumn("o_orderkey", -F.col("o_orderkey") - 1)), preserve=("o_orderstatus",))
+    kept.delete(F.col("o_orderdate") < "1994-01-01")
+    return kept.rows()
+
+
 def export_csv_rows(spark, sf_dir):
     return sinks.csv_rows(ranked_findings(spark, sf_dir))
 
@@ -581,7 +593,7 @@ def ops_latency(spark, sf_dir):
 _NATIVE = ("analytics_trackers", "analytics_ids", "cloud_buckets", "adsense_ids", "job_boards", "auth_providers", "status_pages", "hosting", "cookie_consent", "github_repos", "emails", "html_comments", "directory_listings", "social_profiles", "api_keys", "connection_strings", "jwt_tokens", "bug_bounty_programs")
 _PLAIN = (
     ext_all_categories, ext_url_subdomains, ext_titles_links, sel_preflight, sel_path_groups, sel_host_groups, sel_year_histogram, sel_day_density, sel_date_range, sel_exclude_keywords, sel_content_dedup, sel_month_collapse, sel_year_allocation, sel_evenly_by_year, sel_score_allocation, sel_full_selection,
-    fold_findings, fold_page_ids, rep_summary, rep_presence, rep_change_feed, rep_lanes, rep_category_rail, rep_co_occurrence, rep_top_links, rep_highlights, merge_analytics, search_bm25, search_accent_fold, search_index, search_index_phrase, search_index_prefix, search_postings, search_postings_turns, export_csv_rows, export_json, export_markdown,
+    fold_findings, fold_page_ids, rep_summary, rep_presence, rep_change_feed, rep_lanes, rep_category_rail, rep_co_occurrence, rep_top_links, rep_highlights, merge_analytics, search_bm25, search_accent_fold, search_index, search_index_phrase, search_index_prefix, search_postings, search_postings_turns, snk_upsert_purge, export_csv_rows, export_json, export_markdown,
     src_site_index, src_index_fetch, src_urlkey_collapse, sel_density, sel_picks_under_ceiling, sel_scope, sel_estimate, rep_axis_ticks, rep_pivots, rep_category_activity, rep_composed_activity, rep_co_occurrence_block, search_snippets, search_index_rows, export_client_csv, ops_outcomes, ops_moving_average, ops_latency,
     stream_running_counts, stream_windows, stream_sessions, stream_findings, stream_governor, ops_recent, ops_fair_queue, ops_latest_per_owner,
 )
@@ -639,6 +651,7 @@ SELECT page_seq, timestamp, url FROM r JOIN dealt ON dealt.g = r.year AND dealt.
         "export_csv_rows": f"{found} SELECT category, key AS value, first_seen, last_seen, occurrences, source_url AS source FROM f WHERE key <> ''",
         "src_site_index": f"{caps}, {_KEYED} SELECT page_seq, timestamp, url FROM (SELECT * FROM keyed WHERE host = 'example.com' OR ends_with(host, '.example.com') QUALIFY row_number() OVER (PARTITION BY url, substr(timestamp, 1, 6) ORDER BY timestamp, url) = 1) ORDER BY key, timestamp, url LIMIT 100",
         "stream_findings": " UNION ALL ".join(f"SELECT * FROM ({_ext_sql()[f'ext_{c}']})" for c in _STREAMED),
+        "snk_upsert_purge": "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 97 = 0 THEN 1.5::DOUBLE ELSE o_totalprice END AS o_totalprice, o_orderdate FROM orders WHERE o_orderdate >= '1994-01-01' UNION ALL SELECT -o_orderkey - 1, 'X', 1.5::DOUBLE, o_orderdate FROM orders WHERE o_orderkey % 97 = 0 AND o_orderdate >= '1994-01-01'",
         "src_index_fetch": "SELECT (2010 + page_id % 12)::VARCHAR || lpad((1 + (page_id * 7) % 12)::VARCHAR, 2, '0') || lpad((1 + page_id % 28)::VARCHAR, 2, '0') || '120000' AS timestamp, url, '200' AS status, 'text/html' AS mimetype, md5(html) AS digest FROM pages",
         "src_urlkey_collapse": f"{caps}, {_KEYED} SELECT page_seq, url FROM keyed WHERE host = 'example.net' OR ends_with(host, '.example.net') QUALIFY row_number() OVER (PARTITION BY key ORDER BY timestamp, url) = 1",
         "sel_density": f"{caps}, {_spaced('6', 'substr(timestamp, 1, 4)')} SELECT page_seq, timestamp FROM r WHERE k <= 6 OR list_contains(list_transform(range(6), lambda j: floor(j * ((k - 1)::DOUBLE / 5) + 0.5)), i)",
