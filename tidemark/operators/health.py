@@ -13,6 +13,8 @@ from tidemark.functions.checksums import icon_hash
 #: The weight of the past in the moving average, the latency window in seconds and samples, what is slow.
 PAST, FIRST_SECONDS = 0.9, 180.0
 WINDOW, SAMPLES, SLOW, LEAST_SAMPLES = 300, 12, 8.0, 3
+#: Failures in a row that make a service slow, and the seconds they lie within.
+SLOW_FAILURES, FAIL_WINDOW = 2, 120
 #: Icons hashed for a scan, and the bytes of an icon.
 MAX_ICONS, ICON_LEAST, ICON_MOST = 16, 16, 512 * 1024
 #: Samples of the average: the weight of an older one is below 1e-9.
@@ -53,6 +55,36 @@ def latency_state(calls: DataFrame, key: str = "host") -> DataFrame:
     return rows.select(*calls.columns, n.alias("samples"), "median", state.alias("state"))
 
 
+def service_state(calls: DataFrame, key: str = "host", order: tuple[str, ...] = ("at",)) -> DataFrame:
+    """``calls(host, at, seconds, failed)`` with ``samples``, ``median`` and ``state`` after each call: ok, slow or very slow.
+
+    Samples are the latest calls that did not fail, ``SAMPLES`` at most, of the last
+    ``WINDOW`` seconds. A service is slow by their median, or after ``SLOW_FAILURES``
+    failures in a row within ``FAIL_WINDOW`` seconds; a call that did not fail ends the row.
+    A host's calls are cut into stretches of time, each with those of the stretch before, which
+    is all that a state can depend on: a busy host is not one task's. ``order`` is total.
+    """
+    span = max(WINDOW, FAIL_WINDOW)
+    slot = F.floor(F.col("at") / span)
+    each = calls.withColumn("_slot", F.explode(F.array(slot, slot + 1))).withColumn("_own", F.col("_slot") == slot)
+    frame = W.partitionBy(key, "_slot").orderBy(*order)
+    kind = W.partitionBy(key, "_slot", "failed").orderBy(*order).rowsBetween(1 - SAMPLES, W.currentRow)
+    sample = F.struct("at", "seconds")
+    rows = each.withColumn("_latest", F.when(~F.col("failed"), F.collect_list(sample).over(kind)))
+    rows = rows.withColumn("_latest", F.last("_latest", ignorenulls=True).over(frame.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    run = frame.rowsBetween(1 - SLOW_FAILURES, W.currentRow)
+    failing = (F.count_if("failed").over(run) == SLOW_FAILURES) & (F.min("at").over(run) > F.col("at") - FAIL_WINDOW)
+    rows = rows.withColumn("_failing", failing).where("_own")
+    fresh = F.filter(F.coalesce("_latest", F.array().cast("array<struct<at:double,seconds:double>>")), lambda x: x["at"] > F.col("at") - WINDOW)
+    rows = rows.withColumn("fresh", F.array_sort(F.transform(fresh, lambda x: x["seconds"])))
+    n = F.size("fresh")
+    low, high = F.get("fresh", F.floor((n - 1) / 2).cast("int")), F.get("fresh", F.floor(n / 2).cast("int"))
+    rows = rows.withColumn("median", (low + high) / 2)
+    slow = F.col("_failing") | (n >= LEAST_SAMPLES) & (F.col("median") >= SLOW)
+    state = F.when(slow & (F.col("median") >= 2 * SLOW), "very slow").when(slow, "slow").otherwise("ok")
+    return rows.select(*calls.columns, n.alias("samples"), "median", state.alias("state"))
+
+
 @F.pandas_udf(LongType())
 def _icon_hash(content: pd.Series) -> pd.Series:
     return content.map(icon_hash)

@@ -590,11 +590,17 @@ def ops_latency(spark, sf_dir):
     return health.latency_state(calls).select("event_id", "samples", F.round("median", 9).alias("median"), "state")
 
 
+def ops_service_state(spark, sf_dir):
+    """The events as calls of five hosts, errors being failures."""
+    calls = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 5).alias("host"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 100).alias("at"), (F.col("value") / 20).alias("seconds"), F.coalesce(F.col("event_type") == "error", F.lit(False)).alias("failed"))
+    return health.service_state(calls, order=("at", "event_id")).select("event_id", "samples", F.round("median", 9).alias("median"), "state")
+
+
 _NATIVE = ("analytics_trackers", "analytics_ids", "cloud_buckets", "adsense_ids", "job_boards", "auth_providers", "status_pages", "hosting", "cookie_consent", "github_repos", "emails", "html_comments", "directory_listings", "social_profiles", "api_keys", "connection_strings", "jwt_tokens", "bug_bounty_programs")
 _PLAIN = (
     ext_all_categories, ext_url_subdomains, ext_titles_links, sel_preflight, sel_path_groups, sel_host_groups, sel_year_histogram, sel_day_density, sel_date_range, sel_exclude_keywords, sel_content_dedup, sel_month_collapse, sel_year_allocation, sel_evenly_by_year, sel_score_allocation, sel_full_selection,
     fold_findings, fold_page_ids, rep_summary, rep_presence, rep_change_feed, rep_lanes, rep_category_rail, rep_co_occurrence, rep_top_links, rep_highlights, merge_analytics, search_bm25, search_accent_fold, search_index, search_index_phrase, search_index_prefix, search_postings, search_postings_turns, snk_upsert_purge, export_csv_rows, export_json, export_markdown,
-    src_site_index, src_index_fetch, src_urlkey_collapse, sel_density, sel_picks_under_ceiling, sel_scope, sel_estimate, rep_axis_ticks, rep_pivots, rep_category_activity, rep_composed_activity, rep_co_occurrence_block, search_snippets, search_index_rows, export_client_csv, ops_outcomes, ops_moving_average, ops_latency,
+    src_site_index, src_index_fetch, src_urlkey_collapse, sel_density, sel_picks_under_ceiling, sel_scope, sel_estimate, rep_axis_ticks, rep_pivots, rep_category_activity, rep_composed_activity, rep_co_occurrence_block, search_snippets, search_index_rows, export_client_csv, ops_outcomes, ops_moving_average, ops_latency, ops_service_state,
     stream_running_counts, stream_windows, stream_sessions, stream_findings, stream_governor, ops_recent, ops_fair_queue, ops_latest_per_owner,
 )
 
@@ -668,6 +674,7 @@ SELECT page_seq, timestamp, url FROM r JOIN dealt ON dealt.g = r.year AND dealt.
         "export_client_csv": f"{found}, {_RANKED}, q AS (SELECT *, CASE WHEN regexp_matches(key, '[\",\\n]') THEN '\"' || replace(key, '\"', '\"\"') || '\"' ELSE key END AS v, CASE WHEN regexp_matches(source_url, '[\",\\n]') THEN '\"' || replace(source_url, '\"', '\"\"') || '\"' ELSE source_url END AS u FROM ranked) SELECT 0::BIGINT AS place, 'category,value,severity,first_seen,last_seen,occurrences,type,provider,service,domain,source_url,source_page_id,md5,sha256,shodan' AS line UNION ALL SELECT row_number() OVER (ORDER BY category, rank), category || ',' || v || ',CONTEXT,' || first_seen || ',' || last_seen || ',' || occurrences || ',,,,,' || u || ',,,,' FROM q",
         "ops_outcomes": "SELECT CASE WHEN event_type <> 'view' THEN event_type ELSE 'ok' END AS outcome, count(*) AS n FROM events GROUP BY 1",
         "ops_moving_average": "SELECT event_id, round(list_reduce(list_prepend(180.0::DOUBLE, v), lambda s, x: 0.9::DOUBLE * s + (1 - 0.9::DOUBLE) * x), 6) AS average FROM (SELECT event_id, list(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS v FROM events)",
+        "ops_service_state": f"WITH c AS (SELECT event_id, user_id % 5 AS host, epoch_us(ts) / 1e6 / 100 AS spot, value / 20 AS seconds, coalesce(event_type = 'error', false) AS failed FROM events), w AS (SELECT *, list({{'spot': spot, 's': seconds}}) FILTER (NOT failed) OVER (PARTITION BY host ORDER BY spot, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l, lag(failed) OVER p AND failed AND lag(spot) OVER p > spot - {health.FAIL_WINDOW} AS failing FROM c WINDOW p AS (PARTITION BY host ORDER BY spot, event_id)), m AS (SELECT event_id, failing, list_transform(list_filter(coalesce(l[-{health.SAMPLES}:], []), lambda x: x.spot > spot - {health.WINDOW}), lambda x: x.s) AS f FROM w), r AS (SELECT event_id, coalesce(failing, false) AS failing, len(f) AS samples, list_median(f) AS median FROM m) SELECT event_id, samples::INT AS samples, round(median, 9) AS median, CASE WHEN (failing OR (samples >= {health.LEAST_SAMPLES} AND median >= {health.SLOW})) AND median >= 2 * {health.SLOW} THEN 'very slow' WHEN failing OR (samples >= {health.LEAST_SAMPLES} AND median >= {health.SLOW}) THEN 'slow' ELSE 'ok' END AS state FROM r",
         "ops_latency": "WITH c AS (SELECT event_id, user_id % 5 AS host, epoch_us(ts) / 1e6 / 100 AS spot, value / 20 AS seconds FROM events), w AS (SELECT event_id, spot, list({'spot': spot, 's': seconds}) OVER (PARTITION BY host ORDER BY spot ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS l FROM c), m AS (SELECT event_id, list_transform(list_filter(l, lambda x: x.spot > spot - 300), lambda x: x.s) AS f FROM w), r AS (SELECT event_id, len(f) AS samples, list_median(f) AS median FROM m) SELECT event_id, samples::INT AS samples, round(median, 9) AS median, CASE WHEN samples >= 3 AND median >= 16 THEN 'very slow' WHEN samples >= 3 AND median >= 8 THEN 'slow' ELSE 'ok' END AS state FROM r",
         "stream_running_counts": "SELECT event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1",
         "stream_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n FROM events GROUP BY ALL",
