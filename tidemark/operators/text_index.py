@@ -34,8 +34,8 @@ def write_index(texts: DataFrame, doc: str, text: str, path: str, block_docs: in
     """Writes the index of ``texts`` to ``path`` and opens it.
 
     Null texts count as documents without words. ``doc`` names documents: of repeated rows
-    each counts as one, with its own postings. The words of a block of documents and one
-    term meet in one task, so that a frequent term is spread over its blocks.
+    each counts as one, with its own postings. The words of a block of documents meet in
+    one task, so that a frequent term is spread over its blocks.
     """
     spark = texts.sparkSession
     words = F.regexp_extract_all(folded(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0))
@@ -44,9 +44,8 @@ def write_index(texts: DataFrame, doc: str, text: str, path: str, block_docs: in
     facts.select("n", F.coalesce("avg_len", F.lit(1.0)).alias("avg_len"), F.greatest(F.ceil(F.col("n") / block_docs), F.lit(1)).alias("blocks"), F.coalesce("size", F.lit(0)).alias("size")).write.mode("overwrite").parquet(f"{path}/facts")
     told = spark.read.parquet(f"{path}/facts").first()
     block = F.pmod(F.xxhash64("row"), F.lit(told.blocks)).cast("int")
-    each = rows.select("doc", "row", "len", block.alias("block"), F.posexplode("words").alias("pos", "term"))
-    # one shuffle: both groupings below keep to (term, block)
-    dealt = each.repartition("term", "block")
+    # one shuffle, of texts and not of their words: both groupings below keep to the blocks
+    dealt = rows.withColumn("block", block).repartition("block").select("doc", "row", "len", "block", F.posexplode("words").alias("pos", "term"))
     placed = dealt.groupBy("term", "block", "doc", "row", "len").agg(F.array_sort(F.collect_list("pos")).alias("pos"))
     posting = F.struct("doc", "len", "pos", "row")
     made = placed.groupBy("term", "block").agg(F.collect_list(posting).alias("postings"), F.max(F.size("pos")).alias("max_tf"), F.min("len").alias("min_len"), F.count("*").cast("int").alias("n"))
