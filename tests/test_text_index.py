@@ -37,7 +37,7 @@ def test_bounds_hold(index):
     """No document of a block scores beyond the block's bounds, and no block has more documents of a term than its postings."""
     rows = index.postings([(["the"], False)])
     for r in rows.collect():
-        assert r.n == len(r.postings) and r.max_tf == max(len(p.pos) for p in r.postings) and r.min_len == min(p.len for p in r.postings)
+        assert r.n == len(r.doc) == len(r.row) == len(r.len) and r.max_tf == max(map(len, r.pos)) and r.min_len == min(r.len)
 
 
 def test_index_of_nothing(spark, tmp_path):

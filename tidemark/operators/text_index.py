@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.search import K1, WORD, B, folded, parse_query
-from tidemark.session import discard, materialise
+from tidemark.session import materialise
 
 #: Documents of a block, on average.
 BLOCK_DOCS = 1024
@@ -38,21 +38,22 @@ def write_index(texts: DataFrame, doc: str, text: str, path: str, block_docs: in
     one task, so that a frequent term is spread over its blocks.
     """
     spark = texts.sparkSession
-    words = F.regexp_extract_all(folded(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0))
-    rows = materialise(texts.select(F.col(doc).alias("doc"), F.monotonically_increasing_id().alias("row"), words.alias("words")).withColumn("len", F.size("words")))
-    facts = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), F.sum(F.length(F.array_join("words", " "))).alias("size"))
+    plain = folded(F.coalesce(F.col(text), F.lit("")))
+    rows = texts.select(F.col(doc).alias("doc"), F.monotonically_increasing_id().alias("row"), plain.alias("plain"))
+    facts = rows.agg(F.count("*").alias("n"), F.avg(F.regexp_count("plain", F.lit(WORD))).alias("avg_len"), F.sum(F.length("plain")).alias("size"))
     facts.select("n", F.coalesce("avg_len", F.lit(1.0)).alias("avg_len"), F.greatest(F.ceil(F.col("n") / block_docs), F.lit(1)).alias("blocks"), F.coalesce("size", F.lit(0)).alias("size")).write.mode("overwrite").parquet(f"{path}/facts")
     told = spark.read.parquet(f"{path}/facts").first()
     block = F.pmod(F.xxhash64("row"), F.lit(told.blocks)).cast("int")
     # one shuffle, of texts and not of their words: both groupings below keep to the blocks
-    dealt = rows.withColumn("block", block).repartition("block").select("doc", "row", "len", "block", F.posexplode("words").alias("pos", "term"))
-    placed = dealt.groupBy("term", "block", "doc", "row", "len").agg(F.array_sort(F.collect_list("pos")).alias("pos"))
-    posting = F.struct("doc", "len", "pos", "row")
-    made = placed.groupBy("term", "block").agg(F.collect_list(posting).alias("postings"), F.max(F.size("pos")).alias("max_tf"), F.min("len").alias("min_len"), F.count("*").cast("int").alias("n"))
+    dealt = rows.withColumn("block", block).repartition("block").withColumn("words", F.regexp_extract_all("plain", F.lit(WORD), F.lit(0)))
+    each = dealt.select("doc", "row", F.size("words").alias("len"), "block", F.posexplode("words").alias("pos", "term"))
+    placed = each.groupBy("term", "block", "doc", "row", "len").agg(F.array_sort(F.collect_list("pos")).alias("pos"))
+    made = placed.groupBy("term", "block").agg(F.collect_list(F.struct("doc", "row", "len", "pos")).alias("p"), F.max(F.size("pos")).alias("max_tf"), F.min("len").alias("min_len"), F.count("*").cast("int").alias("n"))
+    # an array for each field takes half the room of an array of postings
+    made = made.select("term", "block", "p.doc", "p.row", "p.len", "p.pos", "max_tf", "min_len", "n")
     files = max(1, -(-int(told["size"]) // FILE_TEXT))
     made = made.withColumn("lead", _lead(F.col("term")))
-    made.repartitionByRange(files, "lead", "term", "block").sortWithinPartitions("lead", "term", "block").write.mode("overwrite").partitionBy("lead").parquet(f"{path}/postings")
-    discard(rows)
+    made.repartitionByRange(files, "lead", "term", "block").sortWithinPartitions("lead", "term", "block").write.mode("overwrite").partitionBy("lead").option("compression", "zstd").parquet(f"{path}/postings")
     return TextIndex(spark, path, texts.schema[doc].dataType.simpleString())
 
 
@@ -77,7 +78,7 @@ class TextIndex:
         return self._all().where(F.col("lead").isin(leads) & term)
 
     def _all(self) -> DataFrame:
-        schema = f"term string, block int, postings array<struct<doc: {self.doc_type}, len: int, pos: array<int>, row: bigint>>, max_tf int, min_len int, n int, lead int"
+        schema = f"term string, block int, doc array<{self.doc_type}>, row array<bigint>, len array<int>, pos array<array<int>>, max_tf int, min_len int, n int, lead int"
         return self.spark.read.schema(schema).parquet(f"{self.path}/postings")
 
     def search(self, query: str, limit: int = 50) -> DataFrame:
@@ -115,7 +116,7 @@ class TextIndex:
         return hits.unionByName(others).orderBy("score", "doc").limit(limit)
 
     def _none(self) -> DataFrame:
-        return self._all().select(F.explode("postings").alias("p")).select("p.doc", F.lit(0.0).alias("score")).limit(0)
+        return self._all().select(F.explode("doc").alias("doc")).select("doc", F.lit(0.0).alias("score")).limit(0)
 
     def _bounds(self, rows: DataFrame, phrases: list[tuple[list[str], bool]]) -> DataFrame:
         """(block, min_len, tf): of each block the least length and the most times that each phrase can occur in a document; no postings are read."""
@@ -145,7 +146,7 @@ class TextIndex:
 
     def _occurrences(self, rows: DataFrame, phrases: list[tuple[list[str], bool]]) -> DataFrame:
         """(block, row, doc, len, tf): how often each document of ``rows`` holds each phrase."""
-        each = rows.select("block", "term", F.explode("postings").alias("p")).select("block", "term", "p.*")
+        each = rows.select("block", "term", F.explode(F.arrays_zip("doc", "row", "len", "pos")).alias("p")).select("block", "term", "p.*")
         placed = F.transform("pos", lambda i: F.struct(i.alias("i"), F.col("term").alias("w")))
         docs = each.select("block", "row", "doc", "len", placed.alias("hs")).groupBy("block", "row", "doc", "len").agg(F.array_sort(F.flatten(F.collect_list("hs"))).alias("hs"))
         return docs.select("block", "row", "doc", "len", F.array(*[_count(F.col("hs"), ws, prefix) for ws, prefix in phrases]).alias("tf"))
