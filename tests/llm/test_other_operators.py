@@ -134,6 +134,28 @@ def test_mining_equals_brute_force(spark):
     assert len({t for p, _, _ in rules for t in p}) > 256 and max(map(len, want)) == 3
 
 
+def test_long_urls_are_mined_whole(spark):
+    same = [f"p:{i}" for i in range(240)]
+    rows = [(["h:com", *same], True)] * 3 + [(["h:com", f"p:x{i}"], False) for i in range(5)] + [(["h:com", *same[:120]], False)]
+    found = url_rules.rules_of(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"))
+    assert found.rules.count() < 20 and {r.t for r in found.items.collect()} >= set(same)
+    told = url_rules.spelled_out(found).where("verdict = 'block'").collect()
+    assert {tuple(r.tokens) for r in told} == {(t,) for t in same[120:]}
+    # 20 tokens a row, none of one verdict only: pairs and triples come from unions of blocks
+    rng = random.Random(3)
+    mixed = [(rng.sample([f"q:{j}" for j in range(24)], 20), rng.random() < 0.5) for _ in range(24)]
+    want = [(p, c, s, v) for p, c, s, v in brute_mining(mixed, 0.25, 0.7)]
+    got = url_rules.spelled_out(url_rules.rules_of(spark.createDataFrame(mixed, "tokens array<string>, blocked boolean"), 0.25, 0.7)).collect()
+    assert sorted((tuple(r.tokens), r.confidence, r.support, r.verdict) for r in got) == sorted(want) and max(len(p) for p, *_ in want) == 3
+
+
+def test_mining_without_rows(spark):
+    empty = spark.createDataFrame([], "tokens array<string>, blocked boolean")
+    none = spark.createDataFrame([(None, True), ([], False), (["h:a"], None)], "tokens array<string>, blocked boolean")
+    assert url_rules.mine(empty) == [] and url_rules.mine(none) == []
+    assert {tuple(r.tokens) for r in url_rules.spelled_out(url_rules.rules_of(none)).collect()} == {("h:a",)}
+
+
 def test_license_scan_equals_brute_force(spark):
     rng = random.Random(8)
     phrases = [p for p, _ in license_scan.BASE]
