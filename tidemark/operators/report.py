@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import month_index
+from tidemark.session import numbered
 
 
 def bounds(findings: DataFrame) -> DataFrame:
@@ -115,6 +116,17 @@ def composed_activity(findings: DataFrame, categories, chosen: DataFrame) -> Dat
     return spans.withColumn("pivot", F.lit(False)).unionByName(own.select(F.col("value").alias("label"), F.col("first_seen").alias("first"), F.col("last_seen").alias("last"), F.lit(True).alias("pivot")))
 
 
+def hosts_by_depth(hosts: DataFrame, deepest: int = 3) -> DataFrame:
+    """``hosts(host, domain)``, each once, with ``depth`` below its domain (0 to ``deepest``) and ``place`` from 1, children after their parent.
+
+    Places follow the labels from the last to the first, by code point, over all hosts.
+    """
+    labels = lambda c: F.split(c, r"\.")
+    depth = F.greatest(F.lit(0), F.least(F.lit(deepest), F.size(labels("host")) - F.size(labels("domain"))))
+    rows = hosts.where("host is not null").select("host", "domain", depth.alias("depth"), F.array_join(F.reverse(labels("host")), ".").alias("_order")).distinct()
+    return numbered(rows, "place", "_order", "domain").drop("_order")
+
+
 def favicon_strip(findings: DataFrame, shown: int = 6) -> DataFrame:
     """(rank, image, hash, span) of the first icons: the archived image's raw address, a short hash, the months."""
     source = F.coalesce("source_url", F.lit(""))

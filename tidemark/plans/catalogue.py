@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import rules
 from tidemark.functions.text import host_of, month_of, path_norm
 from tidemark.operators import fold as folding
-from tidemark.operators import health, native_extract, report, search, selection, text_index
+from tidemark.operators import health, history, native_extract, report, search, selection, text_index
 from tidemark.operators.fold import ALL_CATEGORIES, fold
 from tidemark.operators.highlights import highlights
 from tidemark.plans.cases import CASES, case_query, case_sql
@@ -340,6 +340,36 @@ def sel_full_selection(spark, sf_dir):
     return selection.select_captures(captures(spark, sf_dir), selection.ScanConfig(cap=100)).select("page_seq", "timestamp", "url")
 
 
+def sel_stats(spark, sf_dir):
+    return selection.selection_stats(captures(spark, sf_dir), selection.ScanConfig(cap=100))
+
+
+def rep_hosts_by_depth(spark, sf_dir):
+    host = host_of(F.col("url"))
+    hosts = table(spark, sf_dir, "pages").select(host.alias("host"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"))
+    return report.hosts_by_depth(hosts.where("host <> ''"))
+
+
+def _scans(spark, sf_dir):
+    """Orders as scans of their customer's domain, and the time of the newest as a column."""
+    orders = table(spark, sf_dir, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "running").otherwise("failed")
+    now = orders.agg(F.max("o_orderdate").alias("now"))
+    rows = orders.select(F.col("o_orderkey").alias("url_id"), F.col("o_custkey").alias("domain"), status.alias("status"), F.col("o_orderdate").alias("created_at"), (F.col("o_orderdate") + F.expr("interval 1800 days")).alias("expires_at"))
+    return rows.crossJoin(F.broadcast(now))  # one row
+
+
+def ops_scan_history(spark, sf_dir):
+    """The 50 newest scans (its feature)."""
+    return history.recent_scans(_scans(spark, sf_dir), F.col("now")).select("url_id", "domain", "status")
+
+
+def ops_scan_reuse(spark, sf_dir):
+    """What each customer's request for a scan is answered with."""
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"), F.col("c_custkey").alias("domain"))
+    return history.reused(asked, _scans(spark, sf_dir), F.col("now"))
+
+
 def fold_findings(spark, sf_dir):
     return fold(link_hits(spark, sf_dir)).select("category", "key", "first_seen", "last_seen", "occurrences", "source_url")
 
@@ -601,7 +631,7 @@ _PLAIN = (
     ext_all_categories, ext_url_subdomains, ext_titles_links, sel_preflight, sel_path_groups, sel_host_groups, sel_year_histogram, sel_day_density, sel_date_range, sel_exclude_keywords, sel_content_dedup, sel_month_collapse, sel_year_allocation, sel_evenly_by_year, sel_score_allocation, sel_full_selection,
     fold_findings, fold_page_ids, rep_summary, rep_presence, rep_change_feed, rep_lanes, rep_category_rail, rep_co_occurrence, rep_top_links, rep_highlights, merge_analytics, search_bm25, search_accent_fold, search_index, search_index_phrase, search_index_prefix, search_postings, search_postings_turns, snk_upsert_purge, export_csv_rows, export_json, export_markdown,
     src_site_index, src_index_fetch, src_urlkey_collapse, sel_density, sel_picks_under_ceiling, sel_scope, sel_estimate, rep_axis_ticks, rep_pivots, rep_category_activity, rep_composed_activity, rep_co_occurrence_block, search_snippets, search_index_rows, export_client_csv, ops_outcomes, ops_moving_average, ops_latency, ops_service_state,
-    stream_running_counts, stream_windows, stream_sessions, stream_findings, stream_governor, ops_recent, ops_fair_queue, ops_latest_per_owner,
+    stream_running_counts, stream_windows, stream_sessions, stream_findings, stream_governor, sel_stats, rep_hosts_by_depth, ops_scan_history, ops_scan_reuse, ops_recent, ops_fair_queue, ops_latest_per_owner,
 )
 
 
@@ -612,6 +642,11 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     caps, found = f"WITH {_CAPTURES}", f"WITH {_FINDINGS}"
     score = "CASE WHEN regexp_matches(path, '" + "|".join(selection.HIGH_VALUE) + "') THEN 3 WHEN path = '/' THEN 2 ELSE 1 END"
+    selected = f"""{caps}, kept AS (SELECT *, substr(timestamp, 1, 4) AS year FROM caps QUALIFY row_number() OVER (PARTITION BY path, digest ORDER BY timestamp, url) = 1),
+y AS (SELECT year, count(*) AS n FROM kept GROUP BY 1), {_YEARS}, p AS (SELECT kept.year AS g, path, count(*) AS n, {score} AS score, any_value(years.allocated) AS cap FROM kept JOIN years USING (year) GROUP BY 1, 2), {_DEALT},
+r AS (SELECT *, row_number() OVER (PARTITION BY year, path ORDER BY timestamp, url) - 1 AS i, count(*) OVER (PARTITION BY year, path) AS k FROM kept)
+SELECT page_seq, timestamp, url FROM r JOIN dealt ON dealt.g = r.year AND dealt.path = r.path WHERE (SELECT count(*) FROM kept) <= 100 OR allocated >= k OR (allocated = 1 AND i = 0) OR (allocated > 1 AND list_contains(list_transform(range(allocated), lambda j: round_even(j * ((k - 1)::DOUBLE / (allocated - 1)), 0)), i))"""
+    scans = "s AS (SELECT o_orderkey AS url_id, o_custkey AS domain, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'running' ELSE 'failed' END AS status, o_orderdate AS made, o_orderdate + INTERVAL 1800 DAY > (SELECT max(o_orderdate) FROM orders) AS held FROM orders)"
     return _ext_sql() | _lookaround_sql() | {f"case_{c}": case_sql(c) for c in CASES} | {
         "sel_preflight": f"{caps}, s AS (SELECT count(*) AS captures, count(DISTINCT path) AS paths, count(DISTINCT (path, digest)) AS contents, min(substr(timestamp, 1, 4) || '-' || substr(timestamp, 5, 2)) AS first_month, max(substr(timestamp, 1, 4) || '-' || substr(timestamp, 5, 2)) AS last_month FROM caps) SELECT *, greatest(CASE WHEN paths <= 30 THEN least(contents, 100) WHEN paths <= 200 THEN least(3 * paths, 500) WHEN paths <= 1000 THEN least(floor(1.5 * paths), 1000) ELSE 1500 END, least(contents, 50))::BIGINT AS suggested_cap FROM s",
         "sel_path_groups": f'{caps} SELECT path, count(*) AS n, min(timestamp) AS "first", max(timestamp) AS "last", {score} AS score FROM caps GROUP BY path',
@@ -630,10 +665,15 @@ SELECT year, n, least(n, given + base + CASE WHEN given + base < n AND place <=
         "sel_evenly_by_year": f"""{caps}, r AS (SELECT page_seq, timestamp, substr(timestamp, 1, 4) AS year, row_number() OVER (PARTITION BY substr(timestamp, 1, 4) ORDER BY timestamp, url) - 1 AS i, count(*) OVER (PARTITION BY substr(timestamp, 1, 4)) AS k FROM caps)
 SELECT page_seq, timestamp FROM r WHERE k <= 5 OR i IN (round_even(0 * (k - 1) / 4.0, 0), round_even(1 * (k - 1) / 4.0, 0), round_even(2 * (k - 1) / 4.0, 0), round_even(3 * (k - 1) / 4.0, 0), round_even(4 * (k - 1) / 4.0, 0))""",
         "sel_score_allocation": f"{caps}, p AS (SELECT 0 AS g, path, count(*) AS n, {score} AS score, 60 AS cap FROM caps GROUP BY path), {_DEALT} SELECT path, n, score, allocated FROM dealt",
-        "sel_full_selection": f"""{caps}, kept AS (SELECT *, substr(timestamp, 1, 4) AS year FROM caps QUALIFY row_number() OVER (PARTITION BY path, digest ORDER BY timestamp, url) = 1),
-y AS (SELECT year, count(*) AS n FROM kept GROUP BY 1), {_YEARS}, p AS (SELECT kept.year AS g, path, count(*) AS n, {score} AS score, any_value(years.allocated) AS cap FROM kept JOIN years USING (year) GROUP BY 1, 2), {_DEALT},
-r AS (SELECT *, row_number() OVER (PARTITION BY year, path ORDER BY timestamp, url) - 1 AS i, count(*) OVER (PARTITION BY year, path) AS k FROM kept)
-SELECT page_seq, timestamp, url FROM r JOIN dealt ON dealt.g = r.year AND dealt.path = r.path WHERE (SELECT count(*) FROM kept) <= 100 OR allocated >= k OR (allocated = 1 AND i = 0) OR (allocated > 1 AND list_contains(list_transform(range(allocated), lambda j: round_even(j * ((k - 1)::DOUBLE / (allocated - 1)), 0)), i))""",
+        "sel_full_selection": selected,
+        "sel_stats": f"""{caps}, k AS (SELECT count(DISTINCT (path, digest)) AS n FROM caps) SELECT count(*) AS total_snapshots_found, (SELECT count(*) FROM ({selected})) AS snapshots_selected, count(*) - (SELECT n FROM k) AS pages_deduped,
+  min(substr(timestamp, 1, 4) || '-' || substr(timestamp, 5, 2)) AS date_first_seen, max(substr(timestamp, 1, 4) || '-' || substr(timestamp, 5, 2)) AS date_last_seen FROM caps""",
+        "rep_hosts_by_depth": r"""WITH h AS (SELECT DISTINCT lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) AS host FROM pages), d AS (SELECT host, regexp_extract(host, '([^.]+\.[^.]+)$', 1) AS domain FROM h WHERE host <> '')
+SELECT host, domain, greatest(0, least(3, len(string_split(host, '.')) - len(string_split(domain, '.'))))::INT AS depth, row_number() OVER (ORDER BY array_to_string(list_reverse(string_split(host, '.')), '.'), domain) AS place FROM d""",
+        "ops_scan_history": f"WITH {scans} SELECT url_id, domain, status FROM s WHERE held ORDER BY made DESC, url_id LIMIT 50",
+        "ops_scan_reuse": f"""WITH {scans}, p AS (SELECT *, status = 'running' AS live FROM s WHERE status = 'running' OR (status = 'completed' AND held)),
+a AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY domain ORDER BY live DESC, CASE WHEN live THEN made END, made DESC, url_id) = 1)
+SELECT c_custkey AS request_id, c_custkey AS domain, url_id, status, live FROM customer LEFT JOIN a ON a.domain = c_custkey""",
         "fold_findings": f"{found} SELECT category, key, first_seen, last_seen, occurrences, source_url FROM f",
         "fold_page_ids": f"{caps} SELECT 'https://web.archive.org/web/' || timestamp || '/' || url AS source_url, row_number() OVER (ORDER BY min(page_seq)) AS source_page_id FROM caps GROUP BY 1",
         "rep_summary": f"{found} SELECT count(*) AS findings, count(DISTINCT category) AS categories, count(*) FILTER (last_seen >= hi) AS live, count(*) FILTER (last_seen < hi) AS gone FROM f, b",
