@@ -1,7 +1,8 @@
 """A positional index on disk, and BM25 search that reads only the query's terms.
 
-Postings lie in a table partitioned by a term's first character and sorted by term in its
-files, so that a word or a prefix prunes folders first and row groups then. A row holds
+Postings lie in a table partitioned by a term's first character (dealt over ``LEADS`` folders)
+and sorted by term in its files, so that a word or a prefix prunes folders first and row
+groups then. Each task writes the files of its blocks, so postings are never shuffled. A row holds
 the postings of one term in one block of documents, a block being about
 ``BLOCK_DOCS`` of them by hash, with the largest frequency and the least length there: bounds
 of every score in the block, which are read without the postings.
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import let
 from tidemark.operators.search import K1, WORD, B, folded, parse_query
 from tidemark.session import materialise
 
@@ -22,12 +24,31 @@ from tidemark.session import materialise
 BLOCK_DOCS = 1024
 #: Blocks that are scored before the others, to learn which score a hit needs.
 FIRST_BLOCKS = 8
-#: Bytes of text for a file of postings, about.
-FILE_TEXT = 256 << 20
+#: Characters of text whose words meet in one task, about: few enough to be sorted in memory.
+TASK_TEXT = 16 << 20
+#: Folders of postings at most, so that a task writes few files.
+LEADS = 16
 
 
 def _lead(term: Column) -> Column:
-    return F.ascii(term)
+    return F.ascii(term) % LEADS
+
+
+def _places(words: Column) -> Column:
+    """(term, pos) of each distinct word of a text, with its places in order."""
+
+    def runs(sorted_words: Column) -> Column:
+        at = lambda i: F.get(sorted_words, i)
+        begins = F.filter(F.sequence(F.lit(0), F.size(sorted_words) - 1), lambda i: (i == 0) | (at(i)["w"] != at(i - 1)["w"]))
+
+        def terms(begins: Column) -> Column:
+            end = lambda k: F.coalesce(F.get(begins, k + 1), F.size(sorted_words))
+            return F.transform(begins, lambda b, k: F.struct(at(b)["w"].alias("term"), F.transform(F.slice(sorted_words, b + 1, end(k) - b), lambda x: x["i"]).alias("pos")))
+
+        return let(begins, terms)
+
+    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    return F.when(F.size(words) > 0, let(placed, runs))
 
 
 def write_index(texts: DataFrame, doc: str, text: str, path: str, block_docs: int = BLOCK_DOCS) -> TextIndex:
@@ -35,7 +56,8 @@ def write_index(texts: DataFrame, doc: str, text: str, path: str, block_docs: in
 
     Null texts count as documents without words. ``doc`` names documents: of repeated rows
     each counts as one, with its own postings. The words of a block of documents meet in
-    one task, so that a frequent term is spread over its blocks.
+    one task, so that a frequent term is spread over its blocks; the number of tasks follows
+    the text, so that none holds more than it can sort in memory.
     """
     spark = texts.sparkSession
     plain = folded(F.coalesce(F.col(text), F.lit("")))
@@ -44,16 +66,16 @@ def write_index(texts: DataFrame, doc: str, text: str, path: str, block_docs: in
     facts.select("n", F.coalesce("avg_len", F.lit(1.0)).alias("avg_len"), F.greatest(F.ceil(F.col("n") / block_docs), F.lit(1)).alias("blocks"), F.coalesce("size", F.lit(0)).alias("size")).write.mode("overwrite").parquet(f"{path}/facts")
     told = spark.read.parquet(f"{path}/facts").first()
     block = F.pmod(F.xxhash64("row"), F.lit(told.blocks)).cast("int")
-    # one shuffle, of texts and not of their words: both groupings below keep to the blocks
-    dealt = rows.withColumn("block", block).repartition("block").withColumn("words", F.regexp_extract_all("plain", F.lit(WORD), F.lit(0)))
-    each = dealt.select("doc", "row", F.size("words").alias("len"), "block", F.posexplode("words").alias("pos", "term"))
-    placed = each.groupBy("term", "block", "doc", "row", "len").agg(F.array_sort(F.collect_list("pos")).alias("pos"))
+    # one shuffle, of texts and not of their words: the grouping below keeps to the blocks, and so do the files
+    tasks = max(1, -(-int(told["size"]) // TASK_TEXT))
+    dealt = rows.withColumn("block", block).repartition(tasks, "block").withColumn("words", F.regexp_extract_all("plain", F.lit(WORD), F.lit(0)))
+    each = dealt.select("doc", "row", F.size("words").alias("len"), "block", F.explode(_places(F.col("words"))).alias("t"))
+    placed = each.select("doc", "row", "len", "block", "t.term", "t.pos")
     made = placed.groupBy("term", "block").agg(F.collect_list(F.struct("doc", "row", "len", "pos")).alias("p"), F.max(F.size("pos")).alias("max_tf"), F.min("len").alias("min_len"), F.count("*").cast("int").alias("n"))
     # an array for each field takes half the room of an array of postings
     made = made.select("term", "block", "p.doc", "p.row", "p.len", "p.pos", "max_tf", "min_len", "n")
-    files = max(1, -(-int(told["size"]) // FILE_TEXT))
     made = made.withColumn("lead", _lead(F.col("term")))
-    made.repartitionByRange(files, "lead", "term", "block").sortWithinPartitions("lead", "term", "block").write.mode("overwrite").partitionBy("lead").option("compression", "zstd").parquet(f"{path}/postings")
+    made.sortWithinPartitions("lead", "term", "block").write.mode("overwrite").partitionBy("lead").option("compression", "zstd").parquet(f"{path}/postings")
     return TextIndex(spark, path, texts.schema[doc].dataType.simpleString())
 
 
@@ -74,7 +96,7 @@ class TextIndex:
             term = F.col("term").isin(exact)
         for w in begun:
             term = term | F.col("term").startswith(w)
-        leads = sorted({ord(w[0]) for w in [*exact, *begun]})
+        leads = sorted({ord(w[0]) % LEADS for w in [*exact, *begun]})
         return self._all().where(F.col("lead").isin(leads) & term)
 
     def _all(self) -> DataFrame:
